@@ -7,12 +7,64 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import tokens
+from docflow.llm import mixing, packing, splitting, tokens
 from docflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_inputs(table(spark, sf_dir, "inputs"), table(spark, sf_dir, "pack_limits"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batches(spark, sf_dir).filter((F.col("pieces") > 1) & (F.col("piece") == 0)).select("pos")
+
+
+P2_FOUND = """
+select distinct pos from inputs, (select min(max_batch_tokens) as room from pack_limits)
+where coalesce(source_id, '') <> '' and coalesce(artifact_id, '') <> '' and coalesce(chunk."index", 0) >= 0
+  and (length(chunk.text) + 3) // 4 > room
+"""
+
+
+def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batches(spark, sf_dir)
+
+
+def p2_record_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_records(table(spark, sf_dir, "records"), table(spark, sf_dir, "pack_limits"))
+
+
+def p2_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    room = packing.capacity_of(table(spark, sf_dir, "pack_limits"))
+    return packing.fill_report(_batches(spark, sf_dir), room)
+
+
+def _split_args(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("chunks", "artifacts", "chunk_limits")]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_oversized(*_split_args(spark, sf_dir))
+    return pieces.filter("piece_no = 0").select("artifact_id", "chunk_index")
+
+
+P5_FOUND = """
+with types as (select id, min(trim(lower(split_part(media_type, ';', 1)))) as kind from artifacts group by id)
+select distinct c.artifact_id, c.chunk_index
+from chunks c
+left join types t on t.id = c.artifact_id
+left join chunk_limits own on own.media_type = t.kind
+join chunk_limits other on other.media_type = '*'
+where (length(c.text) + 3) // 4 > coalesce(own.max_tokens, other.max_tokens)
+"""
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(*_split_args(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.encode_frame(docs)
@@ -35,9 +87,32 @@ select doc_id, cast(coalesce(length(text), 0) as bigint) as n_chars, true as sam
 """
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixture, _ = mixing.mixture_stages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixture
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(*mixing.mixture_stages(table(spark, sf_dir, "documents"), targets), targets)
+
+
+def p8_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.margins(*mixing.mixture_stages(table(spark, sf_dir, "documents"), targets), targets)
+
+
+QUERIES = (
+    p2_found, p2_batches, p2_record_batches, p2_fill,
+    p5_found, p5_pieces,
+    p7_ids, p7_roundtrip,
+    p8_mixture, p8_shares, p8_margins,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_roundtrip": P7_ROUNDTRIP}
+    return {"p2_found": P2_FOUND, "p5_found": P5_FOUND, "p7_roundtrip": P7_ROUNDTRIP}
