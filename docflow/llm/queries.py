@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import mixing, packing, splitting, tokens
+from docflow.llm import mixing, neardup, neighbours, packing, splitting, tokens
 from docflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> neighbours.NeighbourGraph:
+    return neighbours.NeighbourGraph(table(spark, sf_dir, "records").select("pos", "vector"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).similar_pairs(5, 0.85)
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).neighbours(5)
+
+
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_inputs(table(spark, sf_dir, "inputs"), table(spark, sf_dir, "pack_limits"))
 
@@ -41,6 +53,41 @@ def p2_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_batches(spark, sf_dir), room)
 
 
+def _near(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    """The similarity of problem 4 as stated: triples of words, at least 20 of them, 0.6 of either's."""
+    docs = neardup.artifact_and_chunk_texts(table(spark, sf_dir, "artifacts"), table(spark, sf_dir, "chunks"))
+    return neardup.NearDuplicates(docs, width=3, threshold=0.6, least=20)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _near(spark, sf_dir).pairs()
+    return pairs.select(neardup.field_name(F.col("field")).alias("field"), "a", "b")
+
+
+P4_FOUND = r"""
+with texts as (
+  select 'artifact' as field, id as key, text from artifacts
+  union select 'chunk', artifact_id || '#' || chunk_index, text from chunks
+), words as (
+  select field, key, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from texts where text is not null
+), triples as (
+  select distinct field, key, unnest(list_transform(range(1, len(w) - 1),
+    lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as t from words where len(w) >= 22
+), sizes as (select field, key, count(*) as n from triples group by all having n >= 20
+), pairs as (
+  select x.field, x.key as a, y.key as b, count(*) as both
+  from triples x join triples y on x.field = y.field and x.t = y.t and x.key < y.key group by all
+)
+select p.field, p.a, p.b from pairs p
+join sizes s on s.field = p.field and s.key = p.a join sizes r on r.field = p.field and r.key = p.b
+where p.both >= 0.6 * (s.n + r.n - p.both)
+"""
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).groups().withColumn("field", neardup.field_name(F.col("field")))
+
+
 def _split_args(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [table(spark, sf_dir, t) for t in ("chunks", "artifacts", "chunk_limits")]
 
@@ -103,7 +150,9 @@ def p8_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
+    p1_found, p1_neighbours,
     p2_found, p2_batches, p2_record_batches, p2_fill,
+    p4_found, p4_groups,
     p5_found, p5_pieces,
     p7_ids, p7_roundtrip,
     p8_mixture, p8_shares, p8_margins,
@@ -115,4 +164,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p5_found": P5_FOUND, "p7_roundtrip": P7_ROUNDTRIP}
+    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p7_roundtrip": P7_ROUNDTRIP}
