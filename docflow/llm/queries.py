@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import mixing, neardup, neighbours, packing, splitting, tokens
+from docflow.llm import lookalikes, mixing, neardup, neighbours, packing, splitting, tokens
 from docflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +112,25 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(*_split_args(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.found(table(spark, sf_dir, "artifacts"), table(spark, sf_dir, "page_layouts"))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return lookalikes.character_counts(table(spark, sf_dir, "artifacts"), table(spark, sf_dir, "page_layouts"))
+
+
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    artifacts = table(spark, sf_dir, "artifacts")
+    return lookalikes.canonical_texts(artifacts, "text", _counts(spark, sf_dir), ["id"]).distinct()
+
+
+def p6_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "page_layouts")
+    keys = ["source_id", "page_no"]
+    return lookalikes.canonical_words(pages, _counts(spark, sf_dir), keys, only_changed=False).distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.encode_frame(docs)
@@ -154,6 +173,7 @@ QUERIES = (
     p2_found, p2_batches, p2_record_batches, p2_fill,
     p4_found, p4_groups,
     p5_found, p5_pieces,
+    p6_found, p6_texts, p6_words,
     p7_ids, p7_roundtrip,
     p8_mixture, p8_shares, p8_margins,
 )

@@ -89,12 +89,46 @@ def words_of(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield from flush()
 
 
-def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
-    """The distinct runs of ``width`` consecutive words, as sorted hashes; none if there are fewer words."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the ``width`` words from each place on; runs over the end are left out."""
+    n = max(len(words) - width + 1, 0)
     out = np.zeros(n, dtype=np.uint64)
     for k in range(width):
         out = mix64(out * np.uint64(_BASE) + words[k : k + n])
-    return np.unique(out)
+    return out
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    hashes = np.sort(hashes)
+    if len(hashes) > 1:
+        hashes = hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))]
+    return hashes
+
+
+def shingle_sets_of(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """The distinct runs of ``width`` consecutive words of each text, as sorted hashes; none of a text with
+    fewer words. Runs are hashed for a block of texts at once, those across two texts are dropped."""
+    block: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> Iterator[np.ndarray]:
+        hashes = shingle_hashes(np.concatenate(block), width)
+        at = 0
+        for words in block:
+            yield distinct(hashes[at : at + max(len(words) - width + 1, 0)])
+            at += len(words)
+
+    for words in words_of(texts):
+        block.append(words)
+        size += len(words)
+        if size > BLOCK_CHARS // 8:
+            yield from flush()
+            block, size = [], 0
+    if block:
+        yield from flush()
+
+
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """The distinct runs of ``width`` consecutive words of one text."""
+    return distinct(shingle_hashes(words, width))
