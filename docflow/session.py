@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is at most this many bytes.
 BROADCAST_LIMIT_BYTES = 8 << 20
+#: Seconds between two requests to collect the driver's garbage.
+TIDY_SECONDS = 2.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,7 @@ class Stage:
         self.root = f"{shared_dir(spark).rstrip('/')}/docflow-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: dict[int, str] = {}
+        self.tidied = time.monotonic()
         atexit.register(self.clear)
 
     def put(self, df: DataFrame, *, partition_by: Iterable[str] = ()) -> DataFrame:
@@ -78,8 +82,16 @@ class Stage:
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
+        self._tidy()
         return out
 
+    def _tidy(self) -> None:
+        """Let the driver notice that earlier steps' shuffle files are no longer needed; else they stay on the
+        executors' disks until it happens to collect its garbage."""
+        if time.monotonic() - self.tidied > TIDY_SECONDS:
+            self.spark.sparkContext._jvm.System.gc()
+            self.tidied = time.monotonic()
+
     def drop(self, df: DataFrame) -> None:
         """Remove a table that nothing reads any more."""
         path = self.paths.pop(id(df), None)
