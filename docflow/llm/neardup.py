@@ -20,13 +20,13 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 from docflow.llm.shingles import mix64, shingle_sets_of
 from docflow.session import Stage
 
-#: Rows of a band and bands: of pairs with a similarity of 0.6 one in 800 shares no band. With fewer rows
+#: Rows of a band and bands: of pairs with a similarity of 0.6 one in 250 shares no band. With fewer rows
 #: unrelated texts would meet so often that candidates grew with the square of the collection.
-BAND_ROWS, BANDS = 4, 48
+BAND_ROWS, BANDS = 4, 40
 #: Classes of one bucket up to which its pairs are listed directly.
 HOT_BUCKET = 200
-#: Keys up to which a list of buckets is sent to every task (8 bytes each).
-BROADCAST_KEYS = 500_000
+#: Rows up to which a list of buckets or of texts' keys is sent to every task; beyond, the join is shuffled.
+BROADCAST_KEYS = 200_000
 
 
 def _multipliers() -> np.ndarray:
@@ -100,8 +100,12 @@ def signatures(docs: DataFrame, width: int, least: int) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """``cid, shingles`` of texts given as ``cid, field, text``; only texts whose set is that of the class."""
-    schema = texts.select("cid").schema.add("shingles", ArrayType(LongType()))
+    """``cid, shingles`` of texts given as ``cid, field, text``; only texts whose set is that of the class.
+
+    32 bits of each shingle are enough within a pair: that two of a few hundred agree by chance changes one
+    count in ten thousand pairs by one.
+    """
+    schema = texts.select("cid").schema.add("shingles", ArrayType(IntegerType()))
 
     def run(batches):
         for batch in batches:
@@ -110,10 +114,10 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
             for i, shingles in enumerate(shingle_sets_of(batch.column("text").to_pylist(), width)):
                 if _set_id(shingles, fields[i]) == ids[i]:
                     rows.append(i)
-                    sets.append(shingles.view(np.int64))
+                    sets.append((shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
             offsets = np.zeros(len(sets) + 1, dtype=np.int32)
             np.cumsum([len(s) for s in sets], out=offsets[1:])
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            flat = np.concatenate(sets) if sets else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(rows, pa.int64())), lists], names=schema.names)
 
@@ -151,43 +155,46 @@ class NearDuplicates:
         self.width, self.threshold = width, threshold
         docs = docs.filter(F.col("text").isNotNull() & F.col("key").isNotNull()).select("field", "key", "text")
         self.docs = docs
-        signed = signatures(docs, width, least)
-        signed = self.stage.put(signed)
+        signed = self.stage.put(signatures(docs, width, least))
         # Copies of a row have one class; a key with several keeps the smallest.
-        self.members = signed.groupBy("field", "key").agg(F.min("cid").alias("cid"))
-        self.signed = signed
-        self.links = self._links()
+        self.members = self.stage.put(signed.groupBy("field", "key").agg(F.min("cid").alias("cid")))
+        self.links = self._links(signed)
+
+    @staticmethod
+    def _small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
-    def _links(self) -> DataFrame:
+    def _links(self, signed: DataFrame) -> DataFrame:
         stage = self.stage
-        classes = self.signed.groupBy("cid").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.min("field").alias("field"), F.first("bands").alias("bands"))
-        classes = stage.put(classes)
-        buckets = classes.select("cid", F.explode("bands").alias("band"))
-        met = buckets.groupBy("band").agg(F.count("*").alias("m"), F.min("cid").alias("a"), F.max("cid").alias("b"))
-        met = stage.put(met.filter("m > 1"))
-        pairs = met.filter("m = 2").select("a", "b")
-        more = met.filter("m > 2").select("band", "m")
-        if more.count() <= BROADCAST_KEYS:
-            more = F.broadcast(more)
-        many = stage.put(buckets.join(more, "band"))
-        few = many.filter(F.col("m") <= HOT_BUCKET)
+        buckets = signed.select("cid", F.explode("bands").alias("band"))
+        # Copies have equal bands and classes, so they go no further than the task that reads them.
+        met = buckets.groupBy("band").agg(F.min("cid").alias("a"), F.max("cid").alias("b"))
+        met = stage.put(met.filter("a != b").select("band"))
+        many = stage.put(buckets.join(self._small(met), "band").distinct())
+        stage.drop(met)
+        stage.drop(signed)
+        sizes = many.groupBy("band").agg(F.count("*").alias("m"))
+        hot_bands = stage.put(sizes.filter(F.col("m") > HOT_BUCKET))
+        few = many.join(F.broadcast(hot_bands) if hot_bands.count() <= BROADCAST_KEYS else hot_bands, "band", "left_anti")
         crossed = few.select("band", F.col("cid").alias("a")).join(few.select("band", F.col("cid").alias("b")), "band")
-        pairs = pairs.unionByName(crossed.filter("a < b").select("a", "b"))
-        pairs = stage.put(pairs.distinct())
-        hot = many.filter(F.col("m") > HOT_BUCKET).select("cid").distinct()
-        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-        wanted = stage.put(classes.select("cid", "n", "field", "key").join(ids.union(hot).distinct(), "cid", "left_semi"))
-        text = self.docs.join(wanted.select("cid", "field", "key"), ["field", "key"])
-        sets = shingle_sets(text, self.width).dropDuplicates(["cid"])
-        sets = stage.put(sets)
-        if not hot.isEmpty():
+        pairs = stage.put(crossed.filter("a < b").select("a", "b").distinct())
+        hot = many.join(hot_bands.select("band"), "band", "left_semi").select("cid").distinct()
+        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).union(hot).distinct()
+        first = self.members.groupBy("cid").agg(F.min("key").alias("key"), F.min("field").alias("field"))
+        wanted = stage.put(first.join(ids, "cid", "left_semi"))
+        text = self.docs.join(self._small(wanted), ["field", "key"])
+        # Of repeated rows and of a key with several texts only one set has the class's name.
+        sets = stage.put(shingle_sets(text, self.width).dropDuplicates(["cid"]))
+        if not hot_bands.isEmpty():
             pairs = pairs.union(_prefix_pairs(sets.join(hot, "cid", "left_semi"), self.threshold)).distinct()
         left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         similarity = both / (F.size("sa") + F.size("sb") - both)
         scored = pairs.join(left, "a").join(right, "b").select("a", "b", similarity.alias("similarity"))
-        return stage.put(scored.filter(F.col("similarity") >= self.threshold))
+        links = stage.put(scored.filter(F.col("similarity") >= self.threshold))
+        stage.drop(sets)
+        return links
 
     def pairs(self) -> DataFrame:
         """Every pair of keys, the smaller first: copies with each other and the members of linked classes."""
