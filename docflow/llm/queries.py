@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import lookalikes, mixing, neardup, neighbours, packing, splitting, tokens
+from docflow.llm import abuse, lookalikes, mixing, neardup, neighbours, packing, splitting, tokens
 from docflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +168,27 @@ def p8_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.margins(*mixing.mixture_stages(table(spark, sf_dir, "documents"), targets), targets)
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return abuse.Detector(docs).scores(docs, ["doc_id", "source"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("doc_id", "score")
+
+
+def p9_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.source_rates(_scored(spark, sf_dir))
+
+
+def p9_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.agreement(_scored(spark, sf_dir), table(spark, sf_dir, "review_labels"))
+
+
 QUERIES = (
     p1_found, p1_neighbours,
     p2_found, p2_batches, p2_record_batches, p2_fill,
@@ -176,6 +197,7 @@ QUERIES = (
     p6_found, p6_texts, p6_words,
     p7_ids, p7_roundtrip,
     p8_mixture, p8_shares, p8_margins,
+    p9_found, p9_scores, p9_source_rates, p9_agreement,
 )
 
 
