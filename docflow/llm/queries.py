@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import abuse, lookalikes, mixing, neardup, neighbours, packing, splitting, tokens
+from docflow.llm import abuse, lookalikes, mixing, neardup, neighbours, packing, scanned, splitting, tokens
 from docflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,24 @@ def p2_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_batches(spark, sf_dir), room)
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> scanned.ScannedPages:
+    return scanned.ScannedPages(table(spark, sf_dir, "page_layouts").select("source_id", "page_no", "words"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).findings.select("source_id", "page_no", "word_no", "kind")
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).paragraphs()
+
+
+def p3_text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "page_texts")
+    pages = scanned.pages_of_texts(texts, "coalesce(raw_text, text)")
+    return scanned.ScannedPages(pages).paragraphs()
+
+
 def _near(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     """The similarity of problem 4 as stated: triples of words, at least 20 of them, 0.6 of either's."""
     docs = neardup.artifact_and_chunk_texts(table(spark, sf_dir, "artifacts"), table(spark, sf_dir, "chunks"))
@@ -192,6 +210,7 @@ def p9_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     p1_found, p1_neighbours,
     p2_found, p2_batches, p2_record_batches, p2_fill,
+    p3_found, p3_paragraphs, p3_text_paragraphs,
     p4_found, p4_groups,
     p5_found, p5_pieces,
     p6_found, p6_texts, p6_words,
