@@ -339,7 +339,7 @@ def canonical_words(pages: DataFrame, counts: dict[str, int], keep: list[str], *
         canon = Canon(counts)
         for batch in batches:
             rows, numbers, texts = [], [], []
-            for i, words in enumerate(batch.column("__words").to_pylist()):
+            for i, words in enumerate(w for at in range(0, batch.num_rows, 256) for w in batch.column("__words").slice(at, 256).to_pylist()):
                 words = words or []
                 changed = canon.words(words)
                 if only_changed:
