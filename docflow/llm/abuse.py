@@ -12,6 +12,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from docflow.session import Stage
 #: Passages of each kind (voted abusive, voted harmless, without votes) that the classifier is trained on, at most.
 MAX_TRAIN = 20_000
 #: One of so many passages without votes is offered for training.
-UNVOTED_PART = 16
+UNVOTED_PART = 8
 #: Words that a task remembers as plain, at most.
 PLAIN_WORDS = 300_000
 #: A document is reported from this score on.
@@ -110,6 +111,7 @@ _KINDS = {"insult": frozenset(INSULTS), "profane": frozenset(PROFANE), "sexual":
 _LEXICON = _KINDS["insult"] | _KINDS["profane"] | _KINDS["sexual"]
 _TECHNICAL = frozenset(HARMLESS)
 _KIND_WORDS = frozenset().union(*_KINDS.values())
+_ZEROS = repeat(0.0)
 _ASCII_DIGITS = frozenset("0123456789")
 # Words that speak to or of a person or people.
 _PEOPLE = _KINDS["group"] | frozenset(
@@ -127,7 +129,8 @@ _TRIGGERS = _LEXICON | _KINDS["group"] | frozenset(
     locked rounded breed poison live world crawled kind steal ruin decent only gutters jette retournent gehören rausgeworfen sind son echarlos sirven vayan
     bend jerks sex nudes tongue wet hot dream scream show photos fotos people accent believers come run break hurt mistake sea favour favor find fill spell nicer subhuman cages camps zoos prison deserve deserves sterilised sterilized nothing saying let banned deported gassed finger trash animals criminals strangle hunt crush would like hope watch""".split()
 )
-_SPLIT = re.compile(r"[.!?。！？]+\s+|\n+|[。！？]+")
+# Ends of passages besides a full stop and a blank.
+_ENDS, _WIDE_ENDS = ("\n", "! ", "? "), ("。", "！", "？")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 # What a hidden word has: marks or digits between letters, single letters set apart, stretched letters.
 _HINT = re.compile(r"[a-zà-ÿ][@$*+!|€0-9][a-zà-ÿ@$*+!|€0-9]|[a-zà-ÿ][._][a-zà-ÿ]|\b[a-zà-ÿ]-[a-zà-ÿ]-[a-zà-ÿ]\b|([a-zà-ÿ])\1\1|\b[a-zà-ÿ][@$*+!|€0-9]+")
@@ -171,7 +174,9 @@ class Reader:
         if "  " in text or "\t" in text:
             text = _BLANKS.sub(" ", text)
         hints = self._hints(text)
-        for passage in _SPLIT.split(text):
+        for end in _ENDS if text.isascii() else _ENDS + _WIDE_ENDS:
+            text = text.replace(end, ". ")
+        for passage in text.split(". "):
             if hints and any(h in passage for h in hints):
                 yield self.read(passage)
             elif passage:
@@ -299,13 +304,9 @@ class Linear(dict):
 
     bias = 0.0
 
-    def __missing__(self, key) -> float:
-        return 0.0
-
     def logit(self, words: list[str]) -> float:
         words = _numbers_alike(words)
-        weight = self.__getitem__
-        return self.bias + sum(map(weight, words)) + sum(map(weight, zip(words, words[1:])))
+        return self.bias + sum(map(self.get, words, _ZEROS)) + sum(map(self.get, zip(words, words[1:]), _ZEROS))
 
 
 def train(rows: list[tuple[list[str], float, float]], rounds: int = 12, decay: float = 2e-5, seed: int = 3) -> Linear:
@@ -336,7 +337,7 @@ def train(rows: list[tuple[list[str], float, float]], rounds: int = 12, decay: f
             bias -= 0.3 * e / math.sqrt(gb)
     model = Linear({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3})
     for word in _KIND_WORDS:
-        model[word] = model[word] + sum(model[f"<{k}>"] for k, s in _KINDS.items() if word in s)
+        model[word] = model.get(word, 0.0) + sum(model.get(f"<{k}>", 0.0) for k, s in _KINDS.items() if word in s)
     model.bias = bias
     return model
 
