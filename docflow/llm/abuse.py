@@ -179,8 +179,8 @@ class Reader:
         for passage in text.split(". "):
             if hints and any(h in passage for h in hints):
                 yield self.read(passage)
-            elif passage:
-                yield passage, _TOKEN.findall(passage), 0
+            elif words := _TOKEN.findall(passage):
+                yield passage, words, 0
 
     def _hints(self, text: str) -> list[str]:
         """Strings of the text that may hide a word. Words seen to be plain aren't looked at again."""

@@ -206,7 +206,7 @@ def shares(mixture: DataFrame, sizes: DataFrame, mix_targets: DataFrame) -> Data
 def margins(mixture: DataFrame, sizes: DataFrame, mix_targets: DataFrame) -> DataFrame:
     """For languages and topics: share of the targets' corpus, which is the aim, and share of the mixture."""
     weights, _ = targets_of(mix_targets)
-    corpus = sizes.filter(F.col("source").isin(*weights)) if weights else sizes.limit(0)
+    corpus = sizes.filter((F.col("tokens") > 0) & F.col("source").isin(*weights)) if weights else sizes.limit(0)
 
     def by(df: DataFrame, tokens: Column, out: str) -> DataFrame:
         pair = F.explode(F.array(F.struct(F.lit("lang").alias("axis"), F.col("lang").alias("value")), F.struct(F.lit("topic").alias("axis"), F.col("topic").alias("value"))))

@@ -23,8 +23,11 @@ from docflow.session import Stage
 SAMPLE = 4096
 #: Orders along random hyperplanes, bits of a code, vectors compared in one block.
 ORDERS, BITS, BLOCK = 6, 30, 512
-#: Neighbours kept for a vector while searching, and offers to a node that one join sends on.
+#: Neighbours kept for a vector while searching (a parameter: more find more, at quadratic cost), and offers to a
+#: node that one join sends on.
 KEEP, OFFERS = 16, 6
+#: Nodes that a search keeps in view, nodes it looks behind in one step, and steps at most.
+VIEW, EXPAND, STEPS = 32, 4, 12
 #: Rounds of joins at most, and the share of changed entries at which they end.
 ROUNDS, SETTLED = 8, 0.005
 #: What the one-byte similarity may be off, at most.
@@ -85,11 +88,11 @@ class NeighbourGraph:
     """The graph over ``rows`` (``pos bigint, vector array<float>``), searched with NN-descent.
 
     Rows whose vector isn't usable are left out. A repeated ``pos`` counts once, of different vectors under one
-    ``pos`` the smallest. ``queries``, if given, are rows of the same form whose entry points are found along.
+    ``pos`` the smallest.
     """
 
-    def __init__(self, rows: DataFrame, *, dims: int = 64, stage: Stage | None = None, seed: int = 5):
-        self.spark, self.dims, self.seed = rows.sparkSession, dims, seed
+    def __init__(self, rows: DataFrame, *, dims: int = 64, keep: int = KEEP, stage: Stage | None = None, seed: int = 5):
+        self.spark, self.dims, self.keep, self.seed = rows.sparkSession, dims, keep, seed
         self.stage = stage or Stage(self.spark)
         good = rows.filter(F.col("pos").isNotNull() & usable(F.col("vector"), dims)).select("pos", "vector")
         one = good.groupBy("pos").agg(F.min("vector").alias("vector"))
@@ -131,12 +134,12 @@ class NeighbourGraph:
 
     def _start(self) -> DataFrame:
         """``u, q, edges``: the best neighbours within the blocks of all orders."""
-        dims = self.dims
+        dims, keep = self.dims, self.keep
         codes = self.stage.put(self._codes(self.vectors, []))
         schema = StructType([StructField("u", LongType()), StructField("edges", ArrayType(_EDGE))])
 
         def compare(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            n, k = len(ids), min(KEEP, len(ids) - 1)
+            n, k = len(ids), min(keep, len(ids) - 1)
             s = x @ x.T
             np.fill_diagonal(s, -2)
             best = np.argpartition(-s, max(k - 1, 0), axis=1)[:, :k]
@@ -171,7 +174,7 @@ class NeighbourGraph:
 
     def _merge(self, state: DataFrame, offers: DataFrame) -> DataFrame:
         """``state`` with the offers taken in; entries that stay are no longer new."""
-        schema = StructType(state.schema.fields)
+        schema, keep = StructType(state.schema.fields), self.keep
         lists = offers.groupBy("u").agg(F.collect_list(F.struct("v", "s")).alias("offers"))
         both = state.join(lists, "u", "left")
 
@@ -189,7 +192,7 @@ class NeighbourGraph:
                 row, v, s, was = map(np.concatenate, (rows, vs, ss, old))
                 # An entry that is there already stays old: it comes first among equals.
                 s = np.where(was, s + np.float32(1e-4), s)
-                pick = top_edges(row, v, s, KEEP)
+                pick = top_edges(row, v, s, keep)
                 out = np.where(was[pick], s[pick] - np.float32(1e-4), s[pick]).astype(np.float32)
                 counts = np.bincount(row[pick], minlength=batch.num_rows)
                 yield _edges_batch(["u", "q"], [batch.column("u"), batch.column("q")], counts, v[pick], out, ~was[pick])
@@ -202,20 +205,20 @@ class NeighbourGraph:
             self.stage.drop(state)
             state = new_state
             changed = state.select(F.sum(F.size(F.filter("edges", lambda e: e.fresh)))).first()[0] or 0
-            if changed <= SETTLED * KEEP * self.count:
+            if changed <= SETTLED * self.keep * self.count:
                 break
         return state
 
     def _join(self, state: DataFrame) -> DataFrame:
         """``u, v, s``: what nodes that meet at a third are to each other, where that improves their lists."""
         dims = self.dims
-        last = F.when(F.size("edges") >= KEEP, F.element_at("edges", -1)["s"]).otherwise(F.lit(-2.0)).cast("float")
+        last = F.when(F.size("edges") >= self.keep, F.element_at("edges", -1)["s"]).otherwise(F.lit(-2.0)).cast("float")
         known = state.select("u", "q", last.alias("kth"), "edges")
         edges = known.select("u", "q", "kth", F.posexplode("edges").alias("rank", "e"))
         edges = edges.select("u", "q", "kth", "rank", "e.v", "e.fresh")
         # Reverse entries: of those that point to a node a fixed number is taken, fresh and close ones first.
         order = Window.partitionBy("v").orderBy(F.desc("fresh"), "rank", F.xxhash64("u", "v"))
-        back = edges.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= KEEP)
+        back = edges.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= self.keep)
         back = back.select(F.col("v").alias("w"), F.col("u").alias("m"), "q", "kth", "fresh")
         there = known.select(F.col("u").alias("m"), "q", "kth")
         ahead = edges.select(F.col("u").alias("w"), F.col("v").alias("m"), "fresh").join(there, "m")
@@ -256,22 +259,99 @@ class NeighbourGraph:
         # The same offer comes from many nodes; one is enough.
         return lists.mapInArrow(run, schema).groupBy("u", "v").agg(F.max("s").alias("s"))
 
-    # -- results -------------------------------------------------------------------------------------
+    # -- search --------------------------------------------------------------------------------------
 
-    def _exact(self, pairs: DataFrame) -> DataFrame:
-        """``u, v, cosine`` for pairs ``u < v`` of classes, from the given numbers."""
+    def _entries(self, queries: DataFrame) -> DataFrame:
+        """``u, q, view``: for each query the best nodes of the blocks that it falls into, in all orders."""
         dims = self.dims
-        left = self.vectors.select(F.col("cid").alias("u"), F.col("vector").alias("x"))
-        right = self.vectors.select(F.col("cid").alias("v"), F.col("vector").alias("y"))
-        schema = StructType([StructField("u", LongType()), StructField("v", LongType())]).add("cosine", DoubleType())
+        mark = lambda df, f: self._codes(df, []).withColumn("asks", F.lit(f))
+        both = self.stage.put(mark(self.vectors, False).union(mark(queries.select(F.col("u").alias("cid"), "vector"), True)))
+        schema = StructType([StructField("u", LongType()), StructField("edges", ArrayType(_EDGE))])
+
+        def look(ids: np.ndarray, x: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
+            mine, nodes = np.flatnonzero(asks), np.flatnonzero(~asks)
+            s = x[mine] @ x[nodes].T
+            k = min(8, len(nodes))
+            best = np.argsort(-s, axis=1)[:, :k]
+            return _edges_batch(["u"], [pa.array(ids[mine])], np.full(len(mine), k), ids[nodes][best].ravel(), np.take_along_axis(s, best, 1).ravel())
 
         def run(batches: Iterator[pa.RecordBatch]):
+            held: list[tuple] = []
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(at, BLOCK)
+                    held.append((part.column("cid").to_numpy(), _flat_bytes(part.column("q")), part.column("asks").to_numpy(zero_copy_only=False)))
+                    ids, q, asks = (np.concatenate(c) for c in zip(*held[-2:]))
+                    if asks.any():
+                        yield look(ids, _floats(q, dims), asks)
+                    held = held[-1:]
+
+        ordered = both.repartitionByRange("part", "code", "cid").sortWithinPartitions("part", "code", "cid")
+        found = ordered.select("cid", "q", "asks").mapInArrow(run, schema)
+        asked = both.filter("asks and part = 0").select(F.col("cid").alias("u"), "q")
+        offers = found.select("u", F.explode("edges").alias("e")).select("u", "e.v", "e.s")
+        return self._view(asked.withColumn("edges", F.array().cast(_STATE_EDGES)), offers)
+
+    def _view(self, state: DataFrame, offers: DataFrame) -> DataFrame:
+        keep, self.keep = self.keep, VIEW
+        try:
+            return self.stage.put(self._merge(state, offers))
+        finally:
+            self.keep = keep
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """``id, neighbour, cosine, rank`` for queries ``id, vector``: the ``k`` most similar rows found greedily.
+
+        Each query keeps the best nodes seen in view and looks behind the best ones not looked behind yet, until
+        none of its view is left or the steps are used up. Queries that aren't usable have no rows.
+        """
+        fine = queries.filter(F.col("id").isNotNull() & usable(F.col("vector"), self.dims))
+        fine = self.stage.put(fine.groupBy("id").agg(F.min("vector").alias("vector")).select(F.col("id").alias("u"), "vector"))
+        if not self.count or fine.isEmpty():
+            return self.spark.createDataFrame([], "id bigint, neighbour bigint, cosine double, rank int")
+        dims = self.dims
+        view = self._entries(fine)
+        ahead = self.graph.select(F.col("u").alias("v"), F.transform("edges", lambda e: e.v).alias("next"))
+        codes = self.graph.select(F.col("u").alias("v"), F.col("q").alias("qv"))
+        behind = None
+        schema = StructType([StructField("u", LongType()), *_EDGE.fields])
+
+        def compare(batches: Iterator[pa.RecordBatch]):
             for b in batches:
-                x = _unit(b.column("x").flatten().to_numpy(zero_copy_only=False), dims)
-                y = _unit(b.column("y").flatten().to_numpy(zero_copy_only=False), dims)
-                yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array((x * y).sum(axis=1))], names=schema.names)
+                x, y = _floats(_flat_bytes(b.column("q")), dims), _floats(_flat_bytes(b.column("qv")), dims)
+                yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array((x * y).sum(axis=1), pa.float32())], names=schema.names)
+
+        for _ in range(STEPS):
+            each = view.select("u", "q", F.posexplode("edges").alias("rank", "e")).select("u", "q", "rank", "e.v")
+            if behind is not None:
+                each = each.join(behind, ["u", "v"], "left_anti")
+            order = Window.partitionBy("u").orderBy("rank")
+            chosen = self.stage.put(each.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= EXPAND).select("u", "q", "v"))
+            if chosen.isEmpty():
+                break
+            done = chosen.select("u", "v")
+            behind = self.stage.put(done if behind is None else behind.union(done))
+            new = chosen.join(ahead, "v").select("u", "q", F.explode("next").alias("v")).distinct()
+            offers = new.join(codes, "v").select("u", "v", "q", "qv").mapInArrow(compare, schema)
+            view = self._view(view, offers)
+        pairs = view.select("u", F.explode(F.slice("edges", 1, 2 * k)).alias("e")).select("u", "e.v")
+        left = fine.select("u", F.col("vector").alias("x"))
+        right = self.vectors.select(F.col("cid").alias("v"), F.col("vector").alias("y"))
+        exact = pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_cosines(dims), _COSINE)
+        ordinal = F.row_number().over(Window.partitionBy("cid").orderBy("pos"))
+        first = self.rows.select("cid", "pos").withColumn("n", ordinal).filter(F.col("n") <= k)
+        rows = exact.join(first.select(F.col("cid").alias("v"), F.col("pos").alias("neighbour")), "v")
+        best = Window.partitionBy("u").orderBy(F.desc("cosine"), "neighbour")
+        ranked = rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return ranked.select(F.col("u").alias("id"), "neighbour", "cosine", "rank")
+
+    # -- results -------------------------------------------------------------------------------------
 
-        return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, schema)
+    def _exact(self, pairs: DataFrame) -> DataFrame:
+        """``u, v, cosine`` for pairs ``u < v`` of classes, from the given numbers."""
+        left = self.vectors.select(F.col("cid").alias("u"), F.col("vector").alias("x"))
+        right = self.vectors.select(F.col("cid").alias("v"), F.col("vector").alias("y"))
+        return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_cosines(self.dims), _COSINE)
 
     def neighbours(self, k: int, least: float | None = None) -> DataFrame:
         """``pos, neighbour, cosine, rank``: the ``k`` most similar rows of each row, on a tie smaller ``pos``
@@ -308,6 +388,21 @@ class NeighbourGraph:
         return near.select(F.least("pos", "neighbour").alias("a"), F.greatest("pos", "neighbour").alias("b")).distinct()
 
 
+_COSINE = StructType([StructField("u", LongType()), StructField("v", LongType()), StructField("cosine", DoubleType())])
+
+
+def _cosines(dims: int):
+    """Cosines of ``x`` and ``y`` in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            x = _unit(b.column("x").flatten().to_numpy(zero_copy_only=False), dims)
+            y = _unit(b.column("y").flatten().to_numpy(zero_copy_only=False), dims)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array((x * y).sum(axis=1))], names=_COSINE.names)
+
+    return run
+
+
 _STATE_EDGES = "array<struct<v:bigint,s:float,fresh:boolean>>"
 
 

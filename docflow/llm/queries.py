@@ -13,8 +13,8 @@ from docflow.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> neighbours.NeighbourGraph:
-    return neighbours.NeighbourGraph(table(spark, sf_dir, "records").select("pos", "vector"))
+def _graph(spark: SparkSession, sf_dir: str, **options) -> neighbours.NeighbourGraph:
+    return neighbours.NeighbourGraph(table(spark, sf_dir, "records").select("pos", "vector"), **options)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir).neighbours(5)
+    return _graph(spark, sf_dir, keep=24).neighbours(5)
+
+
+def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows whose pos is divisible by 100, searched as if they weren't known; each finds itself first."""
+    asked = table(spark, sf_dir, "records").filter("pos % 100 = 0").select(F.col("pos").alias("id"), "vector")
+    return _graph(spark, sf_dir).search(asked, 6)
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +214,7 @@ def p9_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    p1_found, p1_neighbours,
+    p1_found, p1_neighbours, p1_search,
     p2_found, p2_batches, p2_record_batches, p2_fill,
     p3_found, p3_paragraphs, p3_text_paragraphs,
     p4_found, p4_groups,
