@@ -74,7 +74,7 @@ def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "page_texts")
     pages = scanned.pages_of_texts(texts, "coalesce(raw_text, text)")
-    return scanned.ScannedPages(pages).paragraphs()
+    return scanned.ScannedPages(pages, own_blocks=False).paragraphs()
 
 
 def _near(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
