@@ -48,3 +48,8 @@ def test_query_is_its_sql(spark, db, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_pdf_extract_takes_every_document(spark, db):
+    got = sorted(r.id for r in QUERIES["pdf_extract"](spark, DATA).select("id").distinct().collect())
+    assert got == sorted(str(x) for (x,) in db.sql("select doc_id from documents").fetchall())
