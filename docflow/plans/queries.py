@@ -322,15 +322,28 @@ def _spans(df: DataFrame) -> DataFrame:
 
 @query
 def chunk_pack(spark, d):
-    """Paragraphs packed without overlap; only texts of which no paragraph is over the budget."""
+    """Paragraphs packed without overlap; only texts of which no paragraph is over the budget, as its SQL has it.
+    ``chunk_pack_all`` has every text."""
     return _spans(ch.chunk(_small_paragraphs(spark, d), ["id"], max_tokens=400, no_overlap=True))
 
 
 @query
 def chunk_pack_overlap(spark, d):
+    """The same texts with overlap; ``chunk_pack_overlap_all`` has every text."""
     return _spans(ch.chunk(_small_paragraphs(spark, d), ["id"], max_tokens=400, overlap_tokens=150))
 
 
+@query
+def chunk_pack_all(spark, d):
+    """All texts packed without overlap, paragraphs over the budget cut; SQL can't express the cuts, so it has none."""
+    return _spans(ch.chunk(_texts(spark, d), ["id"], max_tokens=400, no_overlap=True))
+
+
+@query
+def chunk_pack_overlap_all(spark, d):
+    return _spans(ch.chunk(_texts(spark, d), ["id"], max_tokens=400, overlap_tokens=150))
+
+
 def _small_paragraphs(spark, d) -> DataFrame:
     parts = F.regexp_extract_all("text", F.lit(r"(?s).*?\n(?:\r?\n)++|.+\z"), F.lit(0))
     return _texts(spark, d).filter(~tx.is_blank(F.col("text")) & F.forall(parts, lambda p: tx.estimate_tokens(p) <= 400))
