@@ -9,6 +9,7 @@ Searching works on vectors of one byte a number; the final order is computed fro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +31,20 @@ KEEP, OFFERS = 16, 6
 VIEW, EXPAND, STEPS = 32, 4, 12
 #: Rounds of joins at most, and the share of changed entries at which they end.
 ROUNDS, SETTLED = 8, 0.005
+#: What is kept and the orders where they grow with the number of vectors: up to GROWN_FROM vectors, and added for
+#: each ten times more.
+GROWN_FROM, GROWN_KEEP, GROWN_ORDERS = 12_500, (28, 16), (6, 6)
 #: What the one-byte similarity may be off, at most.
 SLACK = 0.02
 
 _EDGE = StructType([StructField("v", LongType()), StructField("s", FloatType())])
 
 
+def grown(count: int, least: int, more: int) -> int:
+    """``least`` for up to ``GROWN_FROM`` vectors, ``more`` added for each ten times more."""
+    return least + round(more * max(0.0, math.log10(max(count, 1) / GROWN_FROM)))
+
+
 def usable(vector: Column, dims: int) -> Column:
     """Vectors of ``dims`` finite numbers that aren't all zero."""
     finite = F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")) & x.isNotNull())
@@ -88,17 +97,20 @@ class NeighbourGraph:
     """The graph over ``rows`` (``pos bigint, vector array<float>``), searched with NN-descent.
 
     Rows whose vector isn't usable are left out. A repeated ``pos`` counts once, of different vectors under one
-    ``pos`` the smallest.
+    ``pos`` the smallest. Fewer of the true neighbours are found among more vectors; with ``keep`` or ``orders``
+    of None that number grows with the vectors.
     """
 
-    def __init__(self, rows: DataFrame, *, dims: int = 64, keep: int = KEEP, stage: Stage | None = None, seed: int = 5):
-        self.spark, self.dims, self.keep, self.seed = rows.sparkSession, dims, keep, seed
+    def __init__(self, rows: DataFrame, *, dims: int = 64, keep: int | None = KEEP, orders: int | None = ORDERS, stage: Stage | None = None, seed: int = 5):
+        self.spark, self.dims, self.seed = rows.sparkSession, dims, seed
         self.stage = stage or Stage(self.spark)
         good = rows.filter(F.col("pos").isNotNull() & usable(F.col("vector"), dims)).select("pos", "vector")
         one = good.groupBy("pos").agg(F.min("vector").alias("vector"))
         self.rows = self.stage.put(one.withColumn("cid", F.xxhash64("vector")))
         self.vectors = self.stage.put(self.rows.groupBy("cid").agg(F.min("vector").alias("vector")))
         self.count = self.vectors.count()
+        self.keep = grown(self.count, *GROWN_KEEP) if keep is None else keep
+        self.orders = grown(self.count, *GROWN_ORDERS) if orders is None else orders
         self.graph = self._descend(self._start()) if self.count else None
 
     # -- start ---------------------------------------------------------------------------------------
@@ -110,22 +122,22 @@ class NeighbourGraph:
         part = max(1, self.count // SAMPLE)
         picked = self.vectors.filter(F.pmod(F.xxhash64("cid"), F.lit(part)) == 0).limit(2 * SAMPLE)
         sample = _unit(np.array([r.vector for r in picked.collect()] or np.ones((1, self.dims))), self.dims)
-        a, b = rng.integers(0, len(sample), (2, ORDERS * BITS))
-        planes = sample[a] - sample[b] + 0.05 * rng.standard_normal((ORDERS * BITS, self.dims))
+        a, b = rng.integers(0, len(sample), (2, self.orders * BITS))
+        planes = sample[a] - sample[b] + 0.05 * rng.standard_normal((self.orders * BITS, self.dims))
         return planes, np.median(sample @ planes.T, axis=0)
 
     def _codes(self, vectors: DataFrame, extra: list[str]) -> DataFrame:
         planes, medians = self._planes()
-        dims, weights = self.dims, (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
+        dims, orders, weights = self.dims, self.orders, (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
         schema = StructType(vectors.select("cid", *extra).schema.fields)
         schema = schema.add("part", LongType()).add("code", LongType()).add("q", BinaryType())
 
         def run(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
                 unit = _unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False), dims)
-                bits = (unit @ planes.T > medians).reshape(len(unit), ORDERS, BITS)
+                bits = (unit @ planes.T > medians).reshape(len(unit), orders, BITS)
                 codes, q = bits @ weights, _binary(_bytes_of(unit))
-                for k in range(ORDERS):
+                for k in range(orders):
                     part = pa.array(np.full(len(unit), k, dtype=np.int64))
                     kept = [batch.column(c) for c in ("cid", *extra)]
                     yield pa.RecordBatch.from_arrays([*kept, part, pa.array(codes[:, k]), q], names=schema.names)
@@ -179,7 +191,7 @@ class NeighbourGraph:
         both = state.join(lists, "u", "left")
 
         def run(batches: Iterator[pa.RecordBatch]):
-            for batch in batches:
+            for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
                 have, more = batch.column("edges"), batch.column("offers")
                 rows, vs, ss, old = [], [], [], []
                 for column, is_old in ((have, True), (more, False)):
@@ -226,11 +238,13 @@ class NeighbourGraph:
         lists = met.groupBy("w").agg(F.collect_list(F.struct("m", "q", "kth", "fresh")).alias("l"))
         lists = lists.filter(F.exists("l", lambda x: x.fresh) & (F.size("l") > 1)).select("l")
         schema = StructType([StructField("u", LongType()), *_EDGE.fields])
+        # As many comparisons at a time, however many entries are kept.
+        step = max(1, 1_024_000 // (2 * self.keep) ** 2)
 
         def run(batches: Iterator[pa.RecordBatch]):
             for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    column = whole.column("l").slice(at, 1000)
+                for at in range(0, whole.num_rows, step):
+                    column = whole.column("l").slice(at, step)
                     sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                     flat = column.flatten()
                     widest = int(sizes.max())

@@ -22,13 +22,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir, keep=24).neighbours(5)
+    return _graph(spark, sf_dir, keep=None, orders=None).neighbours(5)
 
 
 def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows whose pos is divisible by 100, searched as if they weren't known; each finds itself first."""
     asked = table(spark, sf_dir, "records").filter("pos % 100 = 0").select(F.col("pos").alias("id"), "vector")
-    return _graph(spark, sf_dir).search(asked, 6)
+    return _graph(spark, sf_dir, keep=None, orders=None).search(asked, 6)
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,34 @@ def test_similar_vectors(spark):
     assert empty.neighbours(5).count() == empty.similar_pairs(5, 0.5).count() == empty.search(asked, 3).count() == 0
 
 
+@pytest.mark.parametrize("name", ["p1_neighbours", "p1_search"])
+def test_graphs_grow_with_the_table(spark, monkeypatch, tmp_path, name):
+    from docflow.llm import queries
+
+    made = []
+
+    class Spied(neighbours.NeighbourGraph):
+        def _start(self):
+            made.append((self.keep, getattr(self, "orders", neighbours.ORDERS)))
+            return super()._start()
+
+    monkeypatch.setattr(neighbours, "NeighbourGraph", Spied)
+    monkeypatch.setattr(neighbours, "GROWN_FROM", 120, raising=False)
+    x = np.random.default_rng(8).normal(size=(1200, 64))
+    vectors(spark, list(enumerate(x))).write.parquet(str(tmp_path / "records.parquet"))
+    got = queries.queries()[name](spark, str(tmp_path)).collect()
+    assert made == [(44, 12)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    if name == "p1_neighbours":
+        np.fill_diagonal(s, -2)
+    k = 5 if name == "p1_neighbours" else 6
+    best = np.argsort(-s, axis=1)[:, :k]
+    found = {(r[0], r.neighbour) for r in got}
+    asked = range(1200) if name == "p1_neighbours" else range(0, 1200, 100)
+    assert len({(i, int(j)) for i in asked for j in best[i]} & found) >= 0.9 * k * len(asked)
+
+
 def test_packing_places_everything_once(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANK_GROUP", 50)  # one length holds most rows and is split over tasks
     sizes = [(k, 10 if k % 3 else k % 40) for k in range(400)] + [(1000, 95), (1001, 64), (1002, None), (1003, 0)]
