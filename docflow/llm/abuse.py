@@ -11,8 +11,11 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import repeat
+from operator import or_
+from re import _constants as _sre
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -121,14 +124,72 @@ _PEOPLE = _KINDS["group"] | frozenset(
     du dich dir dein deine sie er wer solche leute jemand niemand
     tú tu ti te tus eres ellos ellas gente quien nadie alguien""".split()
 )
-# Words one of which is in whatever a pattern above matches.
-_TRIGGERS = _LEXICON | _KINDS["group"] | frozenset(
-    """kill shoot beat stab burn bury smash throw hang drown bullet eye park sleep dead spit beating casser crève tuer verreck verrecke um tot partir mueras
-    brücke ventana screw damn hell shut lost piss gueule klappe leck vete hijo cierra waste brains brain smarter thinking miss existing mother best enclosure
-    cage smell smells born count disgrace enfants pleurera toi savent bande vermissen solche bleibst schule tú menos hijos pedazo sabe sait knows shipped thrown
-    locked rounded breed poison live world crawled kind steal ruin decent only gutters jette retournent gehören rausgeworfen sind son echarlos sirven vayan
-    bend jerks sex nudes tongue wet hot dream scream show photos fotos people accent believers come run break hurt mistake sea favour favor find fill spell nicer subhuman cages camps zoos prison deserve deserves sterilised sterilized nothing saying let banned deported gassed finger trash animals criminals strangle hunt crush would like hope watch""".split()
-)
+# Words that are in many passages, so that others of a pattern are looked for.
+_FREQUENT = frozenset("i a an am are is it in to of on the this that they them her him he she you your u ur me my we us our will would for de des la les dans que qu te toi tu du dich dir die ein un une son sind no a".split())
+
+
+def _is_gap(item: tuple) -> bool:
+    """Whether no letter can be on this side of a neighbour in a parsed pattern."""
+    op, value = item
+    if op is _sre.AT:
+        return value is _sre.AT_BOUNDARY
+    if op is _sre.LITERAL:
+        return not re.match(r"\w", chr(value))
+    if op is _sre.IN:
+        return value == [(_sre.CATEGORY, _sre.CATEGORY_SPACE)]
+    return op is _sre.MAX_REPEAT and value[0] > 0 and len(value[2]) == 1 and _is_gap(value[2][0])
+
+
+def needed(parsed, left: bool = False, right: bool = False) -> set[tuple[bool, str, bool]] | None:
+    """Runs of letters one of which is in whatever a parsed pattern matches, and whether a word begins and ends
+    with it; None if there is no such set. Of several sets that of longer and less frequent runs is taken."""
+    items, sets, k = list(parsed), [], 0
+    while k < len(items):
+        op, value = items[k]
+        before, first = (_is_gap(items[k - 1]) if k else left), k
+        k += 1
+        if op is _sre.LITERAL and chr(value).isalpha():
+            while k < len(items) and items[k][0] is _sre.LITERAL and chr(items[k][1]).isalpha():
+                k += 1
+            after = _is_gap(items[k]) if k < len(items) else right
+            sets.append({(before, "".join(chr(x) for _, x in items[first:k]), after)})
+            continue
+        after = _is_gap(items[k]) if k < len(items) else right
+        if op is _sre.BRANCH:
+            each = [needed(x, before, after) for x in value[1]]
+            sets.append(None if None in each else set().union(*each))
+        elif op is _sre.SUBPATTERN:
+            sets.append(needed(value[3], before, after))
+        elif op is _sre.MAX_REPEAT and value[0] > 0:
+            sets.append(needed(value[2]))
+    whole = [x for x in sets if x]
+    return max(whole, key=lambda x: (not any(w in _FREQUENT for _, w, _ in x), min(len(w) for _, w, _ in x), -len(x)), default=None)
+
+
+def _stems(pattern: re.Pattern) -> re.Pattern:
+    """A pattern for words: one of them is in whatever ``pattern`` matches."""
+    letter = r"[^\W\d_]"
+    stems = sorted(needed(_parser.parse(pattern.pattern)))
+    return re.compile("|".join(f"(?<!{letter})" * a + w + f"(?!{letter})" * b for a, w, b in stems))
+
+
+# Calling names counts with a word of a lexicon only, so nothing need be looked for.
+_STEMS = {name: (1 << k, _stems(p)) for k, (name, p) in enumerate(_PATTERNS.items()) if name != "name_calling"}
+
+
+class _May(dict):
+    """Bits of the patterns that a passage with a word may match; one none of whose words has the bit doesn't."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= PLAIN_WORDS:
+            self.clear()
+        self[word] = bits = sum(bit for bit, stems in _STEMS.values() if stems.search(word))
+        return bits
+
+
+_MAY = _May()
+
+
 # Ends of passages besides a full stop and a blank.
 _ENDS, _WIDE_ENDS = ("\n", "! ", "? "), ("。", "！", "？")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
@@ -219,11 +280,12 @@ class Reader:
     def votes(passage: str, words: list[str], hidden: int) -> int:
         """A bit for each voter that votes."""
         there = set(words)
-        if not hidden and there.isdisjoint(_TRIGGERS):
+        may = reduce(or_, map(_MAY.__getitem__, there), 0)
+        if not hidden and not may and there.isdisjoint(_LEXICON):
             return 0
         insult, profane = not there.isdisjoint(_KINDS["insult"]), not there.isdisjoint(_KINDS["profane"])
         group = not there.isdisjoint(_KINDS["group"])
-        found = {name: bool(p.search(passage)) for name, p in _PATTERNS.items()}
+        found = {name: bool(may & bit and _PATTERNS[name].search(passage)) for name, (bit, _) in _STEMS.items()}
         cast = {
             "insult": insult,
             "profane": profane,
@@ -234,7 +296,7 @@ class Reader:
             "demeaning": found["demeaning"],
             "dehumanising": found["dehumanising"] and (group or insult or not there.isdisjoint(_PEOPLE)),
             "explicit": found["explicit"],
-            "called": found["name_calling"] and (insult or profane),
+            "called": (insult or profane) and bool(_PATTERNS["name_calling"].search(passage)),
             "group": group and (insult or profane or found["dehumanising"]) and len(there & _TECHNICAL) < 2,
             "self": found["self"],
             "literal": found["literal"],
