@@ -284,3 +284,15 @@ def test_every_alternative_of_a_pattern_votes():
     assert tried > 300 and silent == 0
     for text in ("go back to where you came from", "retourne dans ton pays", "nique ta", "te voy a matar", "te mato", "te buter", "ich mach dich fertig", "we will put him in the"):
         assert abuse.Reader.votes(text, abuse.Reader.read(text)[1], 0), text
+
+
+def test_few_pairs_at_the_threshold_share_no_band():
+    rng = np.random.default_rng(4)
+    lost, pairs = 0, 8000
+    multipliers = neardup._multipliers()
+    for _ in range(pairs):
+        x = rng.integers(0, 1 << 64, 100, dtype=np.uint64)
+        signed = np.stack([neardup.signature(part, multipliers) for part in (x[:80], x[20:])])
+        keys = neardup.band_keys(signed, np.zeros(2, dtype=np.int64))
+        lost += not np.any(keys[0] == keys[1])
+    assert lost / pairs <= 1 / 500
