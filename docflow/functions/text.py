@@ -19,8 +19,11 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def utrim(text: Column) -> Column:
-    """``text`` without white space (Unicode White_Space) at both ends."""
-    return F.regexp_replace(text, rf"\A{WHITE_SPACE}+|{WHITE_SPACE}+\z", "")
+    """``text`` without white space (Unicode White_Space) at both ends.
+
+    The lookbehind lets a run of white space within the text be tried once, at its start, and not at each place.
+    """
+    return F.regexp_replace(text, rf"\A{WHITE_SPACE}++|(?<!{WHITE_SPACE}){WHITE_SPACE}++\z", "")
 
 
 def is_blank(text: Column) -> Column:
@@ -29,10 +32,14 @@ def is_blank(text: Column) -> Column:
 
 
 def normalize_whitespace(text: Column) -> Column:
-    """Lines trimmed, runs of blank lines made one, the whole trimmed."""
-    lines = F.transform(F.split(text, "\n", -1), utrim)
-    kept = F.filter(lines, lambda x, i: (x != "") | (i == 0) | (F.get(lines, i - 1) != ""))
-    return utrim(F.array_join(kept, "\n"))
+    """Lines trimmed, runs of blank lines made one, the whole trimmed.
+
+    Lines are only ever separated by white space that holds a line end, so a run of white space with one line end
+    becomes that one and a run with more becomes two: one pass over the text.
+    """
+    inline = WHITE_SPACE.replace(r"\x{9}-\x{d}", r"\x{9}\x{b}-\x{d}")
+    runs = rf"(?<!{inline}){inline}*+(\n){inline}*+(?:(\n){WHITE_SPACE}*+)?"
+    return utrim(F.regexp_replace(text, runs, "$1$2"))
 
 
 def strip_bom(text: Column) -> Column:

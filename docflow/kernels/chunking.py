@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
+from docflow.kernels.text_norm import WHITE_SPACE
 from docflow.kernels.utf8 import aligned, estimate, rune_ceil, rune_floor
 
 DEFAULT_MAX_TOKENS = 512
@@ -23,7 +24,6 @@ Boundaries = Callable[[bytes], list[Span]]
 # UTF-8 encodings of Unicode's White_Space.
 _SPACE = rb"[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 _SPACES = re.compile(_SPACE)
-_LEADING, _TRAILING = re.compile(rb"(?:" + _SPACE + rb")*"), re.compile(rb"(?:" + _SPACE + rb")+\Z")
 _PARAGRAPH_END = re.compile(rb"\n(?:\r?\n)+")
 _LINE = re.compile(rb"[^\n]*\n|[^\n]+\Z")
 _FENCE = re.compile(rb" {0,3}(?P<run>`{3,}|~{3,})(?P<info>.*)\Z", re.S)
@@ -237,9 +237,10 @@ def split(text: str | None, cfg: ChunkConfig | None = None, units: list[Span] |
     valid counts as one unit.
     """
     cfg = cfg or ChunkConfig()
-    whole = (text or "").encode("utf-8", "surrogatepass")
-    off = _LEADING.match(whole).end()
-    data = _TRAILING.sub(b"", whole[off:])
+    text = text or ""
+    body = text.lstrip(WHITE_SPACE)
+    off = len(text[: len(text) - len(body)].encode("utf-8"))
+    data = body.rstrip(WHITE_SPACE).encode("utf-8", "surrogatepass")
     if not data:
         return []
     spans = units if units is not None else (cfg.boundaries or paragraphs)(data)

@@ -15,7 +15,10 @@ _FNV_OFFSET, _FNV_PRIME, _MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) -
 
 @dataclass(frozen=True)
 class EmbedConfig:
-    """Limits of 0 or less mean the defaults; the rest is passed on to the client."""
+    """Limits of 0 or less mean the defaults; the rest is passed on to the client.
+
+    ``estimate`` is an expression over a column of texts (Column to Column) for inputs that bring no token count.
+    """
 
     max_batch_inputs: int = 0
     max_batch_tokens: int = 0
@@ -23,6 +26,7 @@ class EmbedConfig:
     purpose: str = "embedding"
     dimensions: int = 0
     disable_bisect: bool = False
+    estimate: Callable | None = None
 
     @property
     def inputs(self) -> int:

@@ -214,10 +214,15 @@ def assemble_reading_order(words: list[dict]) -> tuple[str, list[dict]]:
     return out.page()
 
 
+def finite(x: float) -> float:
+    """0 for no number."""
+    return 0.0 if math.isnan(x) else x
+
+
 def char_unit(words: list[dict]) -> float:
-    """Median width of a character, at least one point."""
-    widths = [(w["box"]["x1"] - w["box"]["x0"]) / len(w["text"]) for w in words if w["text"]]
-    usable = [x for x in widths if x > 0 and math.isfinite(x)]
+    """Median width of a character of a row's words, at least one point."""
+    widths = ((finite(w["box"]["x1"]) - finite(w["box"]["x0"]), len(w["text"])) for w in words if w["text"])
+    usable = [x / n for x, n in widths if 0 < x < math.inf]
     return max(median(usable), 1.0) if usable else 1.0
 
 
@@ -234,30 +239,15 @@ def assemble_rows(words: list[dict], options: AssembleOptions = AssembleOptions(
     From the top down, a word joins the latest row if they overlap by enough of the shorter one's height; the
     row then reaches as far as the word.
     """
-    finite = lambda x: 0.0 if math.isnan(x) else x
-    boxes = []
-    for w in words:
-        b = w["box"]
-        y0, y1 = finite(b["y0"]), finite(b["y1"])
-        boxes.append((finite(b["x0"]), min(y0, y1), finite(b["x1"]), max(y0, y1), y0))
-    rows: list[list[int]] = []
-    top = bottom = 0.0
-    for k in sorted(range(len(words)), key=lambda k: boxes[k][4]):
-        _, a, _, b, _ = boxes[k]
-        overlap = min(bottom, b) - max(top, a)
-        if rows and overlap >= 0 and overlap >= options.row_overlap * min(bottom - top, b - a):
-            rows[-1].append(k)
-            top, bottom = min(top, a), max(bottom, b)
-        else:
-            rows.append([k])
-            top, bottom = a, b
-    unit = char_unit(words)
+    boxes = [_extent(w["box"]) for w in words]
     out = _Writer(len(words))
-    for r, row in enumerate(rows):
+    for r, row in enumerate(rows_of(boxes, options.row_overlap)):
+        # A page's rows may be set in different sizes, so each has its own unit.
+        unit = char_unit([words[k] for k in row])
         end = None
         if r:
             out.owe("\n")
-        for k in sorted(row, key=lambda k: boxes[k][0]):
+        for k in row:
             text = words[k]["text"]
             if text and end is not None:
                 out.owe(" " * gap_spaces(boxes[k][0] - end, unit, options.max_gap_spaces))
@@ -265,3 +255,30 @@ def assemble_rows(words: list[dict], options: AssembleOptions = AssembleOptions(
             if text:
                 end = boxes[k][2]
     return out.page()
+
+
+def units_of(words: list[dict], options: AssembleOptions = AssembleOptions()) -> list[float]:
+    """The width of a character of each row."""
+    rows = rows_of([_extent(w["box"]) for w in words], options.row_overlap)
+    return [char_unit([words[k] for k in row]) for row in rows]
+
+
+def _extent(b: dict) -> tuple[float, float, float, float, float]:
+    y0, y1 = finite(b["y0"]), finite(b["y1"])
+    return finite(b["x0"]), min(y0, y1), finite(b["x1"]), max(y0, y1), y0
+
+
+def rows_of(boxes: list[tuple[float, float, float, float, float]], least: float) -> list[list[int]]:
+    """Places of the words of each row, rows from the top, words from the left."""
+    rows: list[list[int]] = []
+    top = bottom = 0.0
+    for k in sorted(range(len(boxes)), key=lambda k: boxes[k][4]):
+        _, a, _, b, _ = boxes[k]
+        overlap = min(bottom, b) - max(top, a)
+        if rows and overlap >= 0 and overlap >= least * min(bottom - top, b - a):
+            rows[-1].append(k)
+            top, bottom = min(top, a), max(bottom, b)
+        else:
+            rows.append([k])
+            top, bottom = a, b
+    return [sorted(row, key=lambda k: boxes[k][0]) for row in rows]

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 # Unicode's White_Space.
-_CLASS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_ENDS = re.compile(f"\\A[{_CLASS}]+|[{_CLASS}]+\\Z")
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def utrim(text: str) -> str:
-    return _ENDS.sub("", text)
+    return text.strip(WHITE_SPACE)
 
 
 def normalize_whitespace(text: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, MapType, StringType, StructField, StructType, TimestampType
 
@@ -88,28 +88,45 @@ def children(artifacts: DataFrame) -> DataFrame:
     return pairs.groupBy("parent").agg(F.count("*").alias("children"))
 
 
-def provenance(artifacts: DataFrame, max_depth: int = 64) -> DataFrame:
+def provenance(artifacts: DataFrame) -> DataFrame:
     """``id, root, depth`` of every artifact: the ancestor that isn't an artifact itself, and the steps to it.
 
     Paths double in each round (an artifact's parent's path is taken over whole), so a tree of depth d takes
-    log2(d) joins. Ids on a cycle, or deeper than ``max_depth``, have a null root. Repeated rows count once; of
-    several parents under one id the smallest counts.
+    log2(d) joins. What still moves once paths are longer than there are artifacts hangs on a cycle and has a null
+    root. Repeated rows count once; of several parents under one id the smallest counts.
     """
     stage = Stage(artifacts.sparkSession)
     parents = artifacts.filter(~_empty(F.col("id"))).groupBy("id").agg(F.min(F.coalesce("derived_from", F.lit(""))).alias("up"))
-    paths = stage.put(parents.select("id", "up", F.lit(1).alias("depth")))
-    reach = 1
-    while reach < max_depth:
+    paths = stage.put(parents.select("id", "up", F.lit(1).cast("bigint").alias("depth"), F.lit(True).alias("moved")))
+    reach, count = 1, paths.count()
+    while reach <= count:
         above = paths.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         joined = paths.join(above, "up", "left")
-        moved = joined.select(
-            "id", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")
+        moved = stage.put(
+            joined.select(
+                "id", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")
+            )
         )
-        moved = stage.put(moved)
-        if moved.filter("moved").isEmpty():
+        stage.drop(paths)
+        paths, reach = moved, reach * 2
+        if paths.filter("moved").isEmpty():
             break
-        paths, reach = moved.drop("moved"), reach * 2
-    known = parents.select(F.col("id").alias("up"), F.lit(True).alias("cyclic"))
+    known = paths.select(F.col("id").alias("up"), F.lit(True).alias("cyclic"))
+    fine = F.col("cyclic").isNull()
     done = paths.join(known, "up", "left")
-    fine = F.col("cyclic").isNull() & (F.col("depth") <= max_depth)
-    return done.select("id", F.when(fine, F.col("up")).alias("root"), F.when(fine, F.col("depth")).alias("depth"))
+    return done.select("id", F.when(fine, F.col("up")).alias("root"), F.when(fine, F.col("depth")).cast("int").alias("depth"))
+
+
+def running_total(df: DataFrame, key: list[str], order: str, value: str, out: str, width: int = 1000) -> DataFrame:
+    """``df`` with ``out``, the sum of ``value`` over the key's rows before each in the order of the integer ``order``.
+
+    A key's rows are added up in parts of ``width`` places, and only the parts' sums in one go, so that no task has
+    to order a whole large key. Rows of one key need different places; null values count as 0.
+    """
+    part = df.withColumns({"__part": F.floor(F.col(order) / width), "__value": F.coalesce(F.col(value), F.lit(0)).cast("bigint")})
+    sums = part.groupBy(*key, "__part").agg(F.sum("__value").alias("__sum"))
+    before = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*key, "__part", F.coalesce(F.sum("__sum").over(before(key, "__part")), F.lit(0)).alias("__base"))
+    within = F.coalesce(F.sum("__value").over(before([*key, "__part"], order)), F.lit(0))
+    joined = part.withColumn("__within", within).join(base, [*key, "__part"])
+    return joined.withColumn(out, F.col("__base") + F.col("__within")).select(*df.columns, out)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,10 @@ def input_error() -> Column:
     )
 
 
-def input_tokens() -> Column:
-    """The chunk's own count if it is positive, else its text's size."""
+def input_tokens(estimate: Callable[[Column], Column] | None = None) -> Column:
+    """The chunk's own count if it is positive, else its text's size by ``estimate``."""
     count = F.col("chunk.token_count")
-    return F.when(count > 0, count).otherwise(estimate_tokens(F.col("chunk.text")))
+    return F.when(count > 0, count).otherwise((estimate or estimate_tokens)(F.col("chunk.text")))
 
 
 def distinct_inputs(inputs: DataFrame) -> DataFrame:
@@ -200,6 +201,16 @@ class EmbedRun:
         return not self.result.filter("error_code = 'CANCELLED'").isEmpty()
 
 
+def _bounds(sizes: DataFrame, cfg: EmbedConfig, stage: Stage) -> np.ndarray:
+    """Positions at which some of the batches over the order of ``pos`` begin: a few for each core, in order."""
+    starts = stage.put(batch_ids(sizes, cfg, stage).groupBy("batch_id").agg(F.min("pos").alias("pos")))
+    groups = 4 * sizes.sparkSession.sparkContext.defaultParallelism
+    step = max(1, -(-starts.count() // groups))
+    found = [r.pos for r in starts.filter(F.col("batch_id") % step == 0).select("pos").collect()]
+    stage.drop(starts)
+    return np.array(sorted(found), dtype=np.int64)
+
+
 def embed_run(
     inputs: DataFrame, client_factory: Callable[[], EmbeddingClient], cfg: EmbedConfig = EmbedConfig(), *, scope: str = "global", stage: Stage | None = None
 ) -> EmbedRun:
@@ -208,23 +219,32 @@ def embed_run(
     Invalid inputs never reach the client; each is a failure of its own. ``scope="global"`` packs batches over
     the order of ``pos``; ``scope="block"`` packs each block of ``max_batch_inputs`` positions by itself, which needs
     no look at the order: same records, other batches. A cancelled call ends its task's run; what is done stays.
+
+    Texts are shuffled twice, to be distinct and to come together in runs of batches. Runs are cut where a batch
+    begins, so packing each from its start gives the batches of the whole order.
     """
+    if scope not in ("global", "block"):
+        raise ValueError(f"unknown scope {scope!r}")
     stage = stage or Stage(inputs.sparkSession)
-    rows = distinct_inputs(inputs).withColumns({"error": input_error(), "tokens": input_tokens()})
+    rows = distinct_inputs(inputs).withColumns({"error": input_error(), "tokens": input_tokens(cfg.estimate)})
     rows = stage.put(rows.select("pos", "source_id", "artifact_id", "chunk", "title", "metadata", "error", "tokens"))
     valid = rows.filter("error is null").drop("error")
     if scope == "global":
-        batched = valid.join(batch_ids(valid.select("pos", "tokens"), cfg, stage).select("pos", "batch_id"), "pos")
-    elif scope == "block":
-        batched = valid.withColumn("batch_id", F.floor(F.col("pos") / cfg.inputs))
+        bounds = _bounds(valid.select("pos", "tokens"), cfg, stage)
+
+        @F.pandas_udf(LongType())
+        def run_of(pos: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(bounds, pos.to_numpy(), side="right").astype(np.int64))
+
+        run = run_of("pos")
     else:
-        raise ValueError(f"unknown scope {scope!r}")
+        run = F.floor(F.col("pos") / cfg.inputs)
     carried = ["pos", "source_id", "artifact_id", "chunk", "title", "metadata", "tokens"]
     extra = [
         StructField("vector", ArrayType(FloatType())), StructField("error_code", StringType()), StructField("error_message", StringType()),
         StructField("retryable", BooleanType()), StructField("failure", LongType()),
     ]
-    schema = StructType([*batched.select(*carried).schema.fields, *extra])
+    schema = StructType([*valid.select(*carried).schema.fields, *extra])
 
     def call(batches):
         from pyspark.sql.pandas.types import to_arrow_type
@@ -232,56 +252,48 @@ def embed_run(
         types = [to_arrow_type(f.dataType) for f in extra]
         client = client_factory()
         stopped = False
-        for table in _groups(batches, "batch_id"):
+        for table in _packs(batches, cfg):
             texts, titles = table.column("chunk").combine_chunks().field("text").to_pylist(), table.column("title").to_pylist()
             positions = table.column("pos").to_pylist()
-            parts = _limits(list(zip(positions, texts, [t or "" for t in titles])), table.column("tokens").to_pylist(), cfg, scope)
             out = {p: (None, "CANCELLED", "the run was cancelled", False, p) for p in positions}
-            for part in parts:
-                if stopped:
-                    break
+            if not stopped:
                 try:
-                    result = embed_batch(client, part, cfg)
+                    result = embed_batch(client, list(zip(positions, texts, [t or "" for t in titles])), cfg)
+                    out.update((p, (v, None, None, None, None)) for p, v in result.vectors.items())
+                    for failed, code, message, retryable in result.failures:
+                        out.update((p, (None, code, message, retryable, min(failed))) for p in failed)
                 except RunCancelled:
                     stopped = True
-                    break
-                out.update((p, (v, None, None, None, None)) for p, v in result.vectors.items())
-                for failed, code, message, retryable in result.failures:
-                    out.update((p, (None, code, message, retryable, min(failed))) for p in failed)
             columns = [pa.array(c, t) for c, t in zip(zip(*(out[p] for p in positions)), types)]
             kept = [table.column(c).combine_chunks() for c in carried]
             yield pa.RecordBatch.from_arrays([*kept, *columns], names=schema.names)
 
-    done = batched.repartition("batch_id").sortWithinPartitions("batch_id", "pos").select(*carried, "batch_id").mapInArrow(call, schema)
+    together = valid.withColumn("__run", run).repartition("__run").sortWithinPartitions("__run", "pos")
+    done = together.select(*carried, "__run").mapInArrow(call, schema)
     invalid = rows.filter("error is not null").select(
         *carried, F.lit(None).cast("array<float>").alias("vector"), F.col("error").alias("error_code"), F.col("error").alias("error_message"),
         F.lit(False).alias("retryable"), F.col("pos").alias("failure"),
     )
-    return EmbedRun(stage.put(done.unionByName(invalid)), client_factory().model())
+    result = stage.put(done.unionByName(invalid))
+    stage.drop(rows)
+    return EmbedRun(result, client_factory().model())
 
 
-def _limits(batch: list, tokens: list[int], cfg: EmbedConfig, scope: str) -> list[list]:
-    """A batch cut where it is over the limits, which only happens outside the global scope."""
-    if scope == "global":
-        return [batch]
-    starts, _, _ = _pack_stretch(np.array(tokens), 0, 0, cfg)
-    return [batch[a:b] for a, b in zip([0, *starts], [*starts, len(batch)])]
-
-
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of rows with one key, from batches sorted by it."""
+def _packs(batches: Iterator[pa.RecordBatch], cfg: EmbedConfig) -> Iterator[pa.Table]:
+    """Embedding batches of rows sorted by ``__run`` and ``pos``; each run begins with a new one."""
     held: list[pa.RecordBatch] = []
+    n = total = 0
     current = None
     for batch in batches:
-        ids = batch.column(key).to_numpy()
-        cuts = np.flatnonzero(np.diff(ids)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(ids)]):
-            if a == b:
-                continue
-            if current is not None and ids[a] != current:
+        first = 0
+        for k, (run, tokens) in enumerate(zip(batch.column("__run").to_pylist(), batch.column("tokens").to_pylist())):
+            if n and (run != current or n >= cfg.inputs or total + tokens > cfg.tokens):
+                if k > first:
+                    held.append(batch.slice(first, k - first))
                 yield pa.Table.from_batches(held)
-                held = []
-            current = ids[a]
-            held.append(batch.slice(a, b - a))
+                held, first, n, total = [], k, 0, 0
+            current, n, total = run, n + 1, total + tokens
+        if batch.num_rows > first:
+            held.append(batch.slice(first))
     if held:
         yield pa.Table.from_batches(held)

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from docflow.errors import DocflowError, malformed
-from docflow.functions.pdf import box_size, displayed, rotation
+from docflow.functions.pdf import box_size, clamp_conf, displayed, gap_spaces, rotation
 from docflow.kernels import images, pdf_layout, pdf_reader
 from docflow.kernels.process import DEFAULT_TIMEOUT, Run, run
-from docflow.operators.content import LAYOUT, PAGE_TEXT
+from docflow.operators.content import LAYOUT, PAGE_TEXT, running_total
 
 # Limits of the programs' output, the newest layout format.
 MAX_TEXT, MAX_TSV, MAX_INFO = 64 << 20, 128 << 20, 16 << 20
@@ -181,6 +181,50 @@ def assembled(pages: DataFrame, key: list[str], words: str = "words", *, strateg
     return pages.select(*key, F.col(words).alias("__words")).mapInArrow(step, schema)
 
 
+def row_units(pages: DataFrame, key: list[str], words: str = "words", options=pdf_layout.AssembleOptions()) -> DataFrame:
+    """``key, row, unit``: the width of a character in each row of a page, rows numbered from the top."""
+    numbers = [StructField("row", IntegerType()), StructField("unit", DoubleType())]
+    schema = StructType([*pages.select(*key).schema.fields, *numbers])
+
+    def step(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                found = [(i, r, u) for i, ws in enumerate(batch.column("__words").to_pylist()) for r, u in enumerate(pdf_layout.units_of([w | {"text": w["text"] or ""} for w in ws or []], options))]
+                places, rows, units = zip(*found) if found else [()] * 3
+                keys = [batch.column(c).take(pa.array(places, pa.int64())) for c in key]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(rows, pa.int32()), pa.array(units, pa.float64())], names=schema.names)
+
+    return pages.select(*key, F.col(words).alias("__words")).mapInArrow(step, schema)
+
+
+def line_gaps(pages: DataFrame, key: list[str], unit: float, most: int, words: str = "words") -> DataFrame:
+    """``key, k, spaces``: blanks for the gap between each word and the one before on its line."""
+    each = pages.select(*key, F.posexplode(words).alias("k", "w"))
+    rows = each.select(*key, "k", F.col("w.line").alias("line"), F.col("w.box.x0").alias("x0"), F.col("w.box.x1").alias("x1"))
+    before = F.lag("x1").over(Window.partitionBy(*key, "line").orderBy("k"))
+    gaps = rows.withColumn("gap", F.col("x0") - before).filter("gap is not null")
+    return gaps.select(*key, "k", gap_spaces(F.col("gap"), F.lit(unit), F.lit(most)).alias("spaces"))
+
+
+def zip_pages(layouts: DataFrame, texts: DataFrame) -> DataFrame:
+    """``source_id, page_no, words, spans, agree``: numbers of words and of spans of a page; of a page that only
+    one side has the other's number is null."""
+    left = layouts.select("source_id", "page_no", F.size("words").alias("words"))
+    right = texts.groupBy("source_id", "page_no").agg(F.max(F.size("spans")).alias("spans"))
+    both = left.join(right, ["source_id", "page_no"], "full")
+    return both.select("source_id", "page_no", "words", "spans", F.col("words").eqNullSafe(F.col("spans")).alias("agree"))
+
+
+def citations(pages: DataFrame, every: int) -> DataFrame:
+    """``source_id, page_no, byte``: the page of a source's joined text in which every ``every``-th byte lies."""
+    size = pages.select("source_id", "page_no", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n"))
+    spans = running_total(size, ["source_id"], "page_no", "n", "start").filter("n > 0")
+    first, last = F.ceil(F.col("start") / every).cast("bigint"), F.floor((F.col("start") + F.col("n") - 1) / every).cast("bigint")
+    hits = spans.withColumns({"a": first, "b": last}).filter("a <= b")
+    return hits.select("source_id", "page_no", F.explode(F.sequence("a", "b")).alias("k")).select("source_id", "page_no", (F.col("k") * every).alias("byte"))
+
+
 def reading_order_text(pages: DataFrame, key: list[str], words: str = "words") -> DataFrame:
     """``key, text`` of each page's words in reading order, by relational means.
 
@@ -218,8 +262,6 @@ def tsv_words(tables: DataFrame, key: str, tsv: str = "tsv") -> DataFrame:
         "fb": F.min("pos").over(Window.partitionBy(key, "page", "par", "b")),
         "fl": F.min("pos").over(Window.partitionBy(key, "page", "par", "b", "l")),
     })
-    from docflow.functions.pdf import clamp_conf
-
     return rows.select(
         key, "page", (F.row_number().over(page.orderBy("pos")) - 1).alias("word_no"), "text",
         F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"),

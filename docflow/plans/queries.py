@@ -6,6 +6,7 @@ Each has its SQL in :mod:`docflow.plans.oracles` under the same name where SQL c
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -18,8 +19,8 @@ from docflow.functions import text as tx
 from docflow.functions.media import canonical, is_valid
 from docflow.kernels.chunking import atx_level, fence_of, is_setext
 from docflow.kernels.embedding import ClientError, EmbedConfig, HashEmbedder, hash_vector
-from docflow.kernels.ooxml import DOCX, PPTX
-from docflow.kernels.pdf_layout import TSV_HEADER, char_unit
+from docflow.kernels.ooxml import DOCX, PPTX, Archive, slide_names
+from docflow.kernels.pdf_layout import TSV_HEADER
 from docflow.operators import chunk as ch
 from docflow.operators import content as ct
 from docflow.operators import embed as em
@@ -99,7 +100,7 @@ def utf8_repair(spark, d):
     rows = docs(spark, d).filter("text is not null").select(F.col("doc_id").cast("string").alias("id"), F.lit("text/plain").alias("media_type"), "text")
     broken = rows.withColumn("content", F.concat(F.lit(b"a\xff\xfe"), F.col("text").cast("binary"), F.lit(b"\xe4\xb8 z")))
     out = ex.extract(broken, ex.preset())
-    return out.select(F.col("derived_from").alias("id"), (F.instr("text", "a\ufffd") == 1).alias("head"), F.endswith("text", F.lit("\ufffd z")).alias("tail"))
+    return out.select(F.col("derived_from").alias("id"), tx.sha256_hex(F.col("text")).alias("hash"))
 
 
 # -- validation and provenance -------------------------------------------------------------------------
@@ -206,9 +207,7 @@ def _archives(spark, d, media_type: str, build) -> DataFrame:
 
     made = rows.mapInArrow(run, "id string, content binary")
     out = ex.extract(made.withColumn("media_type", F.lit(media_type)), ex.preset())
-    want = rows.select("id", tx.normalize_whitespace(F.array_join(F.split("text", "\n", -1), "\n\n")).alias("want"))
-    joined = out.withColumnRenamed("derived_from", "id").join(want, "id")
-    return joined.select("id", (F.coalesce("text", F.lit("")) == F.col("want")).alias("same"), "error")
+    return out.select(F.col("derived_from").alias("id"), tx.sha256_hex(F.col("text")).alias("hash"), "error")
 
 
 def _zip(parts: dict[str, str]) -> bytes:
@@ -281,25 +280,17 @@ def _texts(spark, d) -> DataFrame:
 
 @query
 def paragraph_units(spark, d):
-    spans = _texts(spark, d).select("id", F.posexplode(ch.paragraph_units(F.col("text"))).alias("unit", "s"))
-    return spans.select("id", "unit", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    return ch.segments(_texts(spark, d), ["id"])
 
 
 @query
 def heading_units(spark, d):
-    return ch.heading_units(_texts(spark, d), ["id"])
+    return ch.segments(_texts(spark, d), ["id"], boundaries="headings")
 
 
 @query
 def line_marks(spark, d):
-    """Headings and fences of every line, by native expressions."""
-    lines = _texts(spark, d).select("id", F.posexplode(F.split("text", r"\r?\n", -1)).alias("n", "line"))
-    tick = "`"
-    level = F.char_length(F.regexp_extract("line", r"\A {0,3}(#{1,6})(?:[ \t]|\z)", 1))
-    return lines.select(
-        "id", "n", level.alias("atx"), F.col("line").rlike(r"\A {0,3}(?:=+|-+)[ \t]*\z").alias("setext"),
-        F.col("line").rlike(rf"\A {{0,3}}(?:{tick}{{3,}}[^{tick}]*\z|~{{3,}})").alias("fence"),
-    ).filter("atx > 0 or setext or fence")
+    return ch.line_marks(_texts(spark, d), ["id"])
 
 
 @query
@@ -322,33 +313,15 @@ def _spans(df: DataFrame) -> DataFrame:
 
 @query
 def chunk_pack(spark, d):
-    """Paragraphs packed without overlap; only texts of which no paragraph is over the budget, as its SQL has it.
-    ``chunk_pack_all`` has every text."""
-    return _spans(ch.chunk(_small_paragraphs(spark, d), ["id"], max_tokens=400, no_overlap=True))
-
-
-@query
-def chunk_pack_overlap(spark, d):
-    """The same texts with overlap; ``chunk_pack_overlap_all`` has every text."""
-    return _spans(ch.chunk(_small_paragraphs(spark, d), ["id"], max_tokens=400, overlap_tokens=150))
-
-
-@query
-def chunk_pack_all(spark, d):
-    """All texts packed without overlap, paragraphs over the budget cut; SQL can't express the cuts, so it has none."""
+    """Paragraphs packed without overlap, those over the budget cut."""
     return _spans(ch.chunk(_texts(spark, d), ["id"], max_tokens=400, no_overlap=True))
 
 
 @query
-def chunk_pack_overlap_all(spark, d):
+def chunk_pack_overlap(spark, d):
     return _spans(ch.chunk(_texts(spark, d), ["id"], max_tokens=400, overlap_tokens=150))
 
 
-def _small_paragraphs(spark, d) -> DataFrame:
-    parts = F.regexp_extract_all("text", F.lit(r"(?s).*?\n(?:\r?\n)++|.+\z"), F.lit(0))
-    return _texts(spark, d).filter(~tx.is_blank(F.col("text")) & F.forall(parts, lambda p: tx.estimate_tokens(p) <= 400))
-
-
 @query
 def chunk_small(spark, d):
     small = ch.small_chunks(docs(spark, d).filter(~tx.is_blank(F.col("text"))), max_tokens=384)
@@ -378,8 +351,8 @@ def chunk_fenced(spark, d):
 @query
 def chunk_pages(spark, d):
     """Pages as the caller's own units."""
-    pages = table(spark, d, "page_texts").groupBy("source_id", "page_no").agg(F.max("text").alias("text"))
-    units = ch.turn_units(pages.filter(~tx.is_blank(F.col("text"))).withColumn("text", tx.utrim(F.col("text"))), "source_id", "page_no", "text")
+    pages = _page_texts(spark, d).filter(~tx.is_blank(F.col("text")))
+    units = ch.turn_units(pages.select(_volume(), "page_no", tx.utrim(F.col("text")).alias("text")), "source_id", "page_no", "text")
     return ch.chunk(units, ["source_id"], max_tokens=900, no_overlap=True, units="units").select("source_id", "chunk_index", "start_byte", "end_byte", "token_count")
 
 
@@ -387,9 +360,7 @@ def chunk_pages(spark, d):
 def chunk_integrity(spark, d):
     """Stored chunks held against their artifacts: whether the bytes of the span are the text."""
     chunks = table(spark, d, "chunks").dropDuplicates(["artifact_id", "chunk_index"])
-    joined = chunks.join(_texts(spark, d).select(F.col("id").alias("artifact_id"), F.col("text").cast("binary").alias("whole")), "artifact_id")
-    part = F.substring("whole", F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte"))
-    return joined.select("artifact_id", "chunk_index", (part == F.col("text").cast("binary")).alias("same"))
+    return ch.integrity(chunks, _texts(spark, d))
 
 
 # -- embedding -----------------------------------------------------------------------------------------
@@ -552,19 +523,40 @@ def _layouts(spark, d) -> DataFrame:
     return table(spark, d, "page_layouts").groupBy("source_id", "page_no").agg(F.max(F.struct("width", "height", "rotation", "words")).alias("p")).select("source_id", "page_no", "p.*")
 
 
+#: Pages of a source that are one document: of a source with more each further thousand is a volume of its own.
+VOLUME = 1000
+
+
+def _volume():
+    return F.concat_ws("#", "source_id", F.floor(F.col("page_no") / VOLUME).cast("string")).alias("source_id")
+
+
+def _page_texts(spark, d) -> DataFrame:
+    return table(spark, d, "page_texts").groupBy("source_id", "page_no").agg(F.max("text").alias("text"))
+
+
 @query
 def pdf_split_pages(spark, d):
-    """Sources' pages joined by form feeds and split again."""
-    pages = table(spark, d, "page_texts").groupBy("source_id", "page_no").agg(F.max("text").alias("text"))
-    whole = pages.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
-    joined = whole.select("source_id", F.concat(F.array_join(F.col("p.text"), "\f", ""), F.lit("\f")).alias("out"))
-    split = joined.select("source_id", F.explode(page.split_pages(F.col("out"))).alias("p"))
+    """Volumes' pages joined by form feeds and split again."""
+    split = _printed(spark, d).select("source_id", F.explode(page.split_pages(F.col("out"))).alias("p"))
     return split.select("source_id", F.col("p.number").alias("number"), F.sha2("p.text", 256).alias("hash"))
 
 
+def _printed(spark, d) -> DataFrame:
+    pages = _page_texts(spark, d).select(_volume(), "page_no", "text")
+    whole = pages.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    return whole.select("source_id", F.concat(F.array_join(F.col("p.text"), "\f", ""), F.lit("\f")).alias("out"))
+
+
+def _numbered(spark, d) -> DataFrame:
+    """Layouts of volumes, their pages numbered from 1."""
+    pages = _layouts(spark, d).filter("words is not null").select(_volume(), "page_no", "width", "height", "rotation", "words")
+    return pages.withColumn("number", F.row_number().over(Window.partitionBy("source_id").orderBy("page_no")))
+
+
 def _tables(spark, d) -> DataFrame:
-    """Word tables as a program would print them, a source's pages numbered from 1."""
-    pages = _layouts(spark, d).filter("words is not null").withColumn("number", F.row_number().over(Window.partitionBy("source_id").orderBy("page_no")))
+    """Word tables as a program would print them."""
+    pages = _numbered(spark, d)
     show = lambda *xs: F.concat_ws("\t", *(x.cast("string") if not isinstance(x, str) else F.lit(x) for x in xs))
     head = show(F.lit(1), F.col("number"), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height"), F.lit(-1), "###PAGE###")
     row = lambda w, k: show(
@@ -575,6 +567,55 @@ def _tables(spark, d) -> DataFrame:
     return joined.select("source_id", F.concat(F.lit("\t".join(TSV_HEADER) + "\n"), F.array_join(F.col("x.t"), "\n"), F.lit("\n")).alias("tsv"))
 
 
+# -- Poppler's programs, for which stand-ins print what is marked for them in a document -----------------
+
+_STANDINS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "standins")
+
+
+def _engine() -> pd.PopplerEngine:
+    return pd.PopplerEngine(text_program=f"{_STANDINS}/text", info_program=f"{_STANDINS}/info", image_program=f"{_STANDINS}/image")
+
+
+def _marked(text, mark: str):
+    return F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit("\n" + mark)))
+
+
+def _sizes(spark, d) -> DataFrame:
+    line = F.format_string(
+        "I:Page %4d rot:  %d\nI:Page %4d CropBox: 0.00 0.00 %s %s", "number", F.coalesce("rotation", F.lit(0)), "number", F.col("width").cast("string"), F.col("height").cast("string")
+    )
+    pages = _numbered(spark, d).select("source_id", "number", line.alias("line"))
+    lists = pages.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("l"))
+    return lists.select("source_id", F.concat(F.lit("I:Pages: "), F.size("l").cast("string"), F.lit("\n"), F.array_join(F.col("l.line"), "\n")).alias("sizes"))
+
+
+@query
+def pdf_program_pages(spark, d):
+    """Volumes' texts through the text program and extraction: one artifact a page that isn't blank."""
+    made = _printed(spark, d).select(F.col("source_id").alias("id"), F.lit("application/pdf").alias("media_type"), _marked(F.col("out"), "P:").alias("content"))
+    out = ex.extract(made, ex.preset(_engine())).filter("error is null or error != 'NO_CONTENT'")
+    return out.select(F.col("derived_from").alias("source_id"), F.col("metadata")["pdf.page"].cast("int").alias("page"), tx.sha256_hex(F.col("text")).alias("hash"), "error")
+
+
+@query
+def pdf_program_layout(spark, d):
+    """Words and sizes of volumes through the table and information programs."""
+    made = _tables(spark, d).join(_sizes(spark, d), "source_id").select("source_id", F.concat(_marked(F.regexp_replace("tsv", r"\n\z", ""), "T:"), F.lit("\n"), F.col("sizes")).alias("content"))
+    pages = pd.layouts(made, ["source_id"], _engine()).select("source_id", "error", F.explode("layout.pages").alias("p"))
+    return pages.select(
+        "source_id", F.col("p.number").alias("page"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), F.col("p.rotation").alias("rotation"),
+        F.size("p.words").alias("words"), F.sha2(F.array_join(F.col("p.words.text"), " "), 256).alias("hash"), "error",
+    )
+
+
+@query
+def pdf_program_render(spark, d):
+    """The first page of each volume through the rendering program."""
+    made = _sizes(spark, d).select("source_id", F.col("sizes").alias("content"))
+    image = pd.renders(made, ["source_id"], _engine(), 1, dpi=300.0, max_pixels=2000)
+    return image.select("source_id", F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.round("image.scale_x", 6).alias("scale_x"), "error")
+
+
 @query
 def pdf_tsv_words(spark, d):
     out = pd.tsv_words(_tables(spark, d), "source_id")
@@ -604,7 +645,7 @@ def pdf_geometry(spark, d):
     line = F.format_string(
         "Page %4d rot:  %d\nPage %4d CropBox: %s %s %s %s", "page_no", turn, "page_no", F.lit("0.00"), F.lit("0.00"), F.col("width").cast("string"), F.col("height").cast("string")
     )
-    pages = _layouts(spark, d).select("source_id", "page_no", line.alias("line"))
+    pages = _layouts(spark, d).select(_volume(), "page_no", line.alias("line"))
     info = pages.groupBy("source_id").agg(F.concat(F.lit("Title: x\nPages:          9\n"), F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("info"))
     return pd.geometry_rows(info, "source_id")
 
@@ -624,12 +665,10 @@ def pdf_reading_order_kernel(spark, d):
 
 @query
 def pdf_spans(spark, d):
-    """Every word found again at its span of the assembled page."""
-    pages = _layouts(spark, d).filter("words is not null")
-    out = pd.assembled(pages, ["source_id", "page_no"], strategy="rows").join(pages.select("source_id", "page_no", "words"), ["source_id", "page_no"])
-    data = F.col("text").cast("binary")
-    pairs = F.zip_with("spans", "words", lambda s, w: F.decode(F.substring(data, s.start + 1, s.end - s.start), "utf-8") == w.text)
-    return out.select("source_id", "page_no", F.forall(pairs, lambda x: x).alias("all_found"))
+    """The bytes of every word in its page, assembled by rows."""
+    out = pd.assembled(_layouts(spark, d).filter("words is not null"), ["source_id", "page_no"], strategy="rows")
+    spans = out.select("source_id", "page_no", F.posexplode("spans").alias("word_no", "s"))
+    return spans.select("source_id", "page_no", "word_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
 @query
@@ -640,35 +679,15 @@ def pdf_rows(spark, d):
 
 @query
 def pdf_char_unit(spark, d):
-    """Median width of a character of each page, relationally."""
-    words = _layouts(spark, d).select("source_id", "page_no", F.explode("words").alias("w"))
-    width = (F.col("w.box.x1") - F.col("w.box.x0")) / F.char_length("w.text")
-    usable = words.filter(F.char_length("w.text") > 0).select("source_id", "page_no", width.alias("x")).filter("x > 0")
-    return usable.groupBy("source_id", "page_no").agg(F.round(F.greatest(F.percentile("x", F.lit(0.5)), F.lit(1.0)), 6).alias("unit"))
-
-
-@query
-def pdf_char_unit_kernel(spark, d):
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
-                units = [round(char_unit(w), 6) for w in b.column("words").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("source_id"), b.column("page_no"), pa.array(units)], names=["source_id", "page_no", "unit"])
-
-    pages = _layouts(spark, d).filter("size(words) > 0").select("source_id", "page_no", "words")
-    return pages.mapInArrow(run, "source_id string, page_no int, unit double")
+    """Median width of a character of each row."""
+    units = pd.row_units(_layouts(spark, d), ["source_id", "page_no"])
+    return units.select("source_id", "page_no", "row", F.round("unit", 6).alias("unit"))
 
 
 @query
 def pdf_gap_spaces(spark, d):
     """Blanks for the gap to the word before on the same line."""
-    words = _layouts(spark, d).select("source_id", "page_no", F.posexplode("words").alias("k", "w"))
-    rows = words.select("source_id", "page_no", "k", F.col("w.line").alias("line"), F.col("w.box.x0").alias("x0"), F.col("w.box.x1").alias("x1"))
-    before = F.lag("x1").over(Window.partitionBy("source_id", "page_no", "line").orderBy("k"))
-    return rows.withColumn("gap", F.col("x0") - before).filter("gap is not null").select(
-        "source_id", "page_no", "k", page.gap_spaces(F.col("gap"), F.lit(5.0), F.lit(8)).alias("spaces")
-    )
+    return pd.line_gaps(_layouts(spark, d), ["source_id", "page_no"], 5.0, 8)
 
 
 @query
@@ -703,45 +722,52 @@ def render_options(spark, d):
 def layout_json(spark, d):
     """Layouts to JSON and back."""
     pages = _layouts(spark, d).select(
-        "source_id", F.struct(F.col("page_no").alias("number"), "width", "height", "rotation", F.coalesce("words", F.array().cast(ct.PAGE_LAYOUT["words"].dataType)).alias("words")).alias("p")
+        _volume(), F.struct(F.col("page_no").alias("number"), "width", "height", "rotation", F.coalesce("words", F.array().cast(ct.PAGE_LAYOUT["words"].dataType)).alias("words")).alias("p")
     )
     layout = pages.groupBy("source_id").agg(F.sort_array(F.collect_list("p")).alias("pages"))
     made = layout.select("source_id", F.struct(F.lit(1).alias("version"), F.lit("pdftotext").alias("engine"), F.lit("crop").alias("box"), "pages").cast(ct.LAYOUT).alias("layout"))
-    back = made.select("source_id", "layout", pd.parse_layout_json(pd.layout_json(F.col("layout"))).alias("back"))
-    return back.select("source_id", F.size("back.pages").alias("pages"), (F.col("back") == F.col("layout")).alias("same"))
+    back = made.select("source_id", F.explode(pd.parse_layout_json(pd.layout_json(F.col("layout")))["pages"]).alias("p"))
+    return back.select(
+        "source_id", F.col("p.number").alias("page_no"), F.col("p.width").alias("width"), F.sha2(F.array_join(F.col("p.words.text"), " "), 256).alias("hash"),
+        F.coalesce(F.round(F.aggregate("p.words", F.lit(0.0), lambda a, w: a + w.box.x1 + w.conf), 3), F.lit(0.0)).alias("sum"),
+    )
 
 
 @query
 def page_zip(spark, d):
     """Layout and text of a page by its number; pages that only one side has are named."""
-    left = _layouts(spark, d).select("source_id", "page_no", F.size("words").alias("words"))
-    right = table(spark, d, "page_texts").groupBy("source_id", "page_no").agg(F.max(F.size("spans")).alias("spans"))
-    return left.join(right, ["source_id", "page_no"], "full").select("source_id", "page_no", "words", "spans", F.col("words").eqNullSafe(F.col("spans")).alias("agree"))
+    return pd.zip_pages(_layouts(spark, d), table(spark, d, "page_texts"))
 
 
 @query
 def page_citation(spark, d):
-    """The page of a source's joined text in which every 500th byte lies: a range join on running lengths."""
-    pages = table(spark, d, "page_texts").groupBy("source_id", "page_no").agg(F.max("text").alias("text"))
-    size = pages.select("source_id", "page_no", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
-    order = Window.partitionBy("source_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = size.withColumn("end", F.sum("n").over(order)).withColumn("start", F.col("end") - F.col("n")).filter("n > 0")
-    first, last = F.ceil(F.col("start") / 500).cast("bigint"), F.floor((F.col("end") - 1) / 500).cast("bigint")
-    hits = spans.withColumns({"a": first, "b": last}).filter("a <= b")
-    return hits.select("source_id", "page_no", F.explode(F.sequence("a", "b")).alias("k")).select("source_id", "page_no", (F.col("k") * 500).alias("byte"))
+    """The page of a source's joined text in which every 500th byte lies."""
+    return pd.citations(_page_texts(spark, d), 500)
 
 
 @query
 def slide_order(spark, d):
-    """Slides of generated decks: named ones in the presentation's order, then the others by number."""
-    slides = table(spark, d, "artifacts").select("derived_from", "id").filter("derived_from != ''").distinct()
-    numbered = slides.withColumn("num", F.row_number().over(Window.partitionBy("derived_from").orderBy("id")))
-    files = numbered.select("derived_from", "num", F.concat(F.lit("ppt/slides/slide"), F.col("num").cast("string"), F.lit(".xml")).alias("name"))
-    named = files.filter("num % 3 != 0").select("derived_from", "name", (-F.col("num")).alias("place"))
-    orphans = files.join(named, ["derived_from", "name"], "left_anti").select("derived_from", "name", F.lit(1).alias("late"), F.col("num").alias("place"))
-    both = named.select("derived_from", "name", F.lit(0).alias("late"), "place").unionByName(orphans)
-    rank = F.row_number().over(Window.partitionBy("derived_from").orderBy("late", "place"))
-    return both.select("derived_from", "name", rank.alias("rank"))
+    """Slides of a deck a document: named ones in the presentation's order (downwards, every third left out), then
+    the others by number."""
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def deck(n: int) -> Archive:
+        named = [k for k in range(n, 0, -1) if k % 3]
+        order = "".join(f'<p:sldId r:id="r{k}"/>' for k in named)
+        rels = "".join(f'<Relationship Id="r{k}" Type="{office}/slide" Target="slides/slide{k}.xml"/>' for k in named)
+        parts = {f"ppt/slides/slide{k}.xml": "<s/>" for k in range(1, n + 1)} | {
+            "ppt/presentation.xml": f'<p:presentation xmlns:p="urn:p" xmlns:r="{office}"><p:sldIdLst>{order}</p:sldIdLst></p:presentation>',
+            "ppt/_rels/presentation.xml.rels": f"<Relationships>{rels}</Relationships>",
+        }
+        return Archive(_zip(parts), PPTX)
+
+    def run(batches):
+        for b in batches:
+            names = [slide_names(deck(n)) for n in b.column("n").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "names"])
+
+    decks = docs(spark, d, "n_chars").select("doc_id", (F.coalesce("n_chars", F.lit(0)) % 12 + 1).cast("int").alias("n"))
+    return decks.mapInArrow(run, "doc_id bigint, names array<string>").select("doc_id", F.posexplode("names").alias("rank", "name"))
 
 
 # -- the chain -----------------------------------------------------------------------------------------

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable
 
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is at most this many bytes.
 BROADCAST_LIMIT_BYTES = 8 << 20
-#: Seconds between two requests to collect the driver's garbage.
-TIDY_SECONDS = 2.0
+#: Fixed value: the setting by which Spark removes a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,35 +67,31 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/docflow-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
-        self.tidied = time.monotonic()
         atexit.register(self.clear)
 
     def put(self, df: DataFrame, *, partition_by: Iterable[str] = ()) -> DataFrame:
-        """Write ``df`` and read it back."""
+        """Write ``df`` and read it back. What was shuffled for it leaves the executors' disks when it is written."""
         self.count += 1
         path = f"{self.root}/{self.count:04d}"
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        self._tidy()
+        out.staged_at = path
         return out
 
-    def _tidy(self) -> None:
-        """Let the driver notice that earlier steps' shuffle files are no longer needed; else they stay on the
-        executors' disks until it happens to collect its garbage."""
-        if time.monotonic() - self.tidied > TIDY_SECONDS:
-            self.spark.sparkContext._jvm.System.gc()
-            self.tidied = time.monotonic()
-
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table that nothing reads any more."""
-        path = self.paths.pop(id(df), None)
-        if path:
-            self._delete(path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for df in tables:
+            path = df.__dict__.pop("staged_at", None)
+            if path:
+                self._delete(path)
 
     def clear(self) -> None:
         try:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from docflow.errors import error_column
@@ -47,6 +49,15 @@ def list_objects(objects: DataFrame, prefix: str = "", limit: int | None = None,
     return found if limit is None else found.limit(limit)
 
 
+def each_object(objects: DataFrame, prefix: str, call: Callable[[Row], None], key: str = "key") -> None:
+    """Hand the objects under a prefix to ``call``, one after another by key; what it raises ends the listing.
+
+    Partitions come to the driver one at a time, and none after the last that is needed.
+    """
+    for row in list_objects(objects, prefix, key=key).toLocalIterator(prefetchPartitions=False):
+        call(row)
+
+
 def range_error(size: Column, offset: Column, length: Column) -> Column:
     """Why a range can't be read: a negative offset before a missing object (null size) before the range."""
     return error_column((offset < 0, "INVALID_ARGUMENT"), (size.isNull(), "OBJECT_NOT_FOUND"), (offset >= size, "RANGE_NOT_SATISFIABLE"))
@@ -71,17 +82,16 @@ def compose(objects: DataFrame, requests: DataFrame, key: str = "key", content:
     source missing nothing is written. Ask for more by composing in levels, see :func:`compose_levels`.
     """
     there = objects.select(F.col(key).alias("src"), F.col(content).cast("binary").alias("__data"))
-    parts = requests.join(there, "src", "left")
+    # Requests are counted before any content is looked at: what is gathered has at most 32 pieces.
+    counts = requests.groupBy(key).agg(F.count("*").alias("n"))
+    fits = F.col("n").between(1, MAX_COMPOSE_SOURCES)
+    parts = requests.join(counts.filter(fits), key).join(there, "src", "left")
     piece = F.struct("ord", F.hex("__data").alias("h"))
-    gathered = parts.groupBy(key).agg(
-        F.count("*").alias("n"),
-        F.count("__data").alias("found"),
-        F.array_sort(F.collect_list(F.when(F.col("ord") < MAX_COMPOSE_SOURCES, piece))).alias("pieces"),
-    )
-    error = error_column((~F.col("n").between(1, MAX_COMPOSE_SOURCES), "INVALID_ARGUMENT"), (F.col("found") < F.col("n"), "OBJECT_NOT_FOUND"))
-    judged = gathered.withColumn("error", error)
-    done = judged.filter("error is null").select(key, F.unhex(F.array_join(F.col("pieces.h"), "")).alias(content))
-    return done, judged.filter("error is not null").select(key, "error")
+    gathered = parts.groupBy(key, "n").agg(F.count("__data").alias("found"), F.array_sort(F.collect_list(piece)).alias("pieces"))
+    whole = F.col("found") == F.col("n")
+    done = gathered.filter(whole).select(key, F.unhex(F.array_join(F.col("pieces.h"), "")).alias(content))
+    refused = counts.filter(~fits).select(key, F.lit("INVALID_ARGUMENT").alias("error"))
+    return done, refused.union(gathered.filter(~whole).select(key, F.lit("OBJECT_NOT_FOUND").alias("error")))
 
 
 def compose_levels(parts: DataFrame, key: str = "key", content: str = "content") -> DataFrame:

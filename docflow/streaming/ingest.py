@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -13,6 +13,7 @@ from docflow.kernels.embedding import EmbedConfig, EmbeddingClient
 from docflow.operators.chunk import chunk
 from docflow.operators.embed import embed_run
 from docflow.operators.extract import Registry, extract
+from docflow.session import Stage
 
 #: Media types by file extension.
 EXTENSIONS = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "htm": "text/html", "pdf": "application/pdf"}
@@ -47,19 +48,22 @@ def embed_sink(
 ) -> DataStreamWriter:
     """A writer that embeds each micro-batch of chunks and appends records and failures.
 
-    A micro-batch that is run again writes the folder of its number again.
+    A micro-batch that is run again writes the folder of its number again. Positions only tell a micro-batch's
+    chunks apart; they are given where the chunks lie and written with them, so no task sees all of them.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        order = F.row_number().over(Window.orderBy("derived_from", "ordinal", "chunk_index"))
-        inputs = batch.select(
-            (order - 1).cast("bigint").alias("pos"), F.col("derived_from").alias("source_id"),
+        stage = Stage(batch.sparkSession)
+        numbered = stage.put(batch.withColumn("pos", F.monotonically_increasing_id()))
+        inputs = numbered.select(
+            "pos", F.col("derived_from").alias("source_id"),
             F.concat_ws("#", "derived_from", F.col("ordinal").cast("string")).alias("artifact_id"),
             F.struct("text", F.col("chunk_index").alias("index"), "token_count").alias("chunk"),
             F.lit(None).cast("string").alias("title"), F.lit(None).cast("map<string,string>").alias("metadata"),
         )
-        run = embed_run(inputs, client_factory, cfg)
+        run = embed_run(inputs, client_factory, cfg, stage=stage)
         run.records.write.mode("overwrite").parquet(f"{records_path}/batch={number}")
         run.failures.write.mode("overwrite").parquet(f"{failures_path}/batch={number}")
+        stage.clear()
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

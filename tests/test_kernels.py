@@ -212,6 +212,14 @@ def test_rows():
     assert "\n" not in pdf_layout.assemble_rows([word("a", 0, 0, 9, 10), word("b", 20, 7, 29, 17)], wide)[0]
 
 
+def test_each_row_has_its_own_unit():
+    title = [word("GREAT", 0, 0, 150, 40), word("TITLE", 210, 0, 360, 40)]  # 30 points a character
+    body = [word("small", 0, 60, 25, 70), word("print", 65, 60, 90, 70)]  # 5 points a character
+    assert pdf_layout.units_of(title + body) == [30.0, 5.0]
+    assert pdf_layout.assemble_rows(title + body)[0] == "GREAT  TITLE\nsmall" + " " * 8 + "print"
+    assert pdf_layout.char_unit([word("ab", math.nan, 0, 20, 9), word("c", 0, 0, math.inf, 9), word("", 0, 0, 9, 9)]) == 10.0
+
+
 def png(width, height):
     return b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", width, height) + b"\x08\x02\0\0\0"
 

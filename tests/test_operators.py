@@ -39,6 +39,30 @@ def test_text_functions(spark):
         assert one(spark, canonical(F.col("t")), t=("string", kind)) == want
 
 
+def test_white_space_takes_linear_time(spark):
+    import time
+
+    rows = [("\n\n".join(" line %d " % k for k in range(20_000)),), ("a" + " " * 200_000 + "b",), ("x" + " \n" * 100_000 + "y",)]
+    df = spark.createDataFrame(rows, "t string")
+    start = time.perf_counter()
+    got = [r[0] for r in df.select(tx.normalize_whitespace(F.col("t"))).collect()]
+    assert time.perf_counter() - start < 20
+    assert got[0] == "\n\n".join("line %d" % k for k in range(20_000)) and got[1] == rows[1][0] and got[2] == "x\n\ny"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_white_space_is_that_of_lines(spark, seed):
+    import random
+
+    from docflow.kernels.text_norm import normalize_whitespace
+
+    r = random.Random(seed)
+    texts = ["".join(r.choice(["a", "b", " ", "\n", "\n", "\t", "\r", "\u2003", "\u2028", "\x85"]) for _ in range(r.randrange(30))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.normalize_whitespace(F.col("t")).alias("n"))
+    for row in df.collect():
+        assert row.n == normalize_whitespace(row.t)
+
+
 def test_page_functions(spark):
     sizes = [((612.0, 792.0, 72.0, 2048), (612, 792)), ((612.0, 792.0, 150.0, 2048), (1275, 1650)), ((612.0, 792.0, 300.0, 2048), (1583, 2048)), ((792.0, 612.0, 300.0, 1000), (1000, 773)),
              ((500.0, 500.0, 1000.0, 100), (100, 100)), ((612.0, 792.0, 0.01, 2048), (1, 1)), ((1.0, 10000.0, 72.0, 2048), (1, 2048))]
@@ -64,6 +88,24 @@ def test_content(spark):
     assert ct.provenance(a.limit(0)).count() == ct.children(a.limit(0)).count() == 0
 
 
+def test_provenance_of_long_chains_and_cycles(spark):
+    chain = [(f"n{k}", "x", f"n{k + 1}" if k < 299 else "source", None) for k in range(300)]
+    ring = [("r0", "x", "r1", None), ("r1", "x", "r2", None), ("r2", "x", "r0", None), ("in", "x", "r1", None), ("self", "x", "self", None)]
+    got = {r.id: (r.root, r.depth) for r in ct.provenance(artifacts(spark, chain + ring)).collect()}
+    assert got == {f"n{k}": ("source", 300 - k) for k in range(300)} | {i: (None, None) for i in ("r0", "r1", "r2", "in", "self")}
+
+
+def test_running_total(spark):
+    rows = [("a", k, k % 7 if k % 5 else None) for k in range(50)] + [("b", 3, 9), (None, 1, 2), (None, 4, 5)]
+    df = spark.createDataFrame(rows, "k string, o int, v int")
+    got = {(r.k, r.o): r.before for r in ct.running_total(df, ["k"], "o", "v", "before", width=8).filter("k is not null").collect()}
+    want, total = {("b", 3): 0}, 0
+    for k in range(50):
+        want["a", k] = total
+        total += k % 7 if k % 5 else 0
+    assert got == want
+
+
 def sources(spark, rows):
     return spark.createDataFrame([(i, m, None if c is None else bytearray(c), "clash") for i, m, c in rows], "id string, media_type string, content binary, text string")
 
@@ -124,6 +166,39 @@ def inputs(spark, rows):
     return spark.createDataFrame([(p, s, a, (t, i, n), None, None) for p, s, a, t, i, n in rows], ct.INPUT)
 
 
+def test_sizes_are_the_callers(spark):
+    df = spark.createDataFrame([("a", "one two three four")], "k string, t string")
+    words = lambda data: len(data.split())
+    assert [r.token_count for r in ch.chunk(df, ["k"], "t", max_tokens=4, no_overlap=True, estimate=words).collect()] == [4]
+    assert ch.chunk(df, ["k"], "t", max_tokens=2, no_overlap=True, estimate=words).count() > 1
+    inputs = spark.createDataFrame([(1, "s", "a", ("one two", 0, 0), None, None), (2, "s", "a", ("one", 0, 7), None, None)], ct.INPUT)
+    run = em.embed_run(inputs, lambda: HashEmbedder(2), EmbedConfig(estimate=lambda t: F.size(F.split(t, " "))))
+    assert values(run.records, "pos", "token_count") == [(1, 2), (2, 7)]
+
+
+@pytest.mark.parametrize("cfg", [EmbedConfig(3, 1 << 30), EmbedConfig(100, 40), EmbedConfig(7, 60)])
+def test_calls_are_the_batches_of_the_whole_order(spark, tmp_path, cfg):
+    """Each call's inputs are written down; together they must be the batches of one pass over all positions."""
+    import os
+    import uuid
+
+    log = str(tmp_path)
+
+    class Logged(HashEmbedder):
+        def embed(self, request):
+            with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+                f.write(" ".join(i.removeprefix("in-") for i, _, _ in request.inputs))
+            return super().embed(request)
+
+    rows = [(k * 3, "s", "a", ("x" * (k * 7919 % 150 + 1), 0, 0), None, None) for k in range(400)]
+    em.embed_run(spark.createDataFrame(rows, ct.INPUT), lambda: Logged(2), cfg)
+    calls = sorted(([int(x) for x in p.read_text().split()] for p in tmp_path.iterdir()), key=min)
+    want = {}
+    for pos, batch in pack_batches([(k * 3, -(-(k * 7919 % 150 + 1) // 4)) for k in range(400)], cfg):
+        want.setdefault(batch, []).append(pos)
+    assert calls == list(want.values())
+
+
 def test_embed_run(spark):
     rows = [(0, "s", "a", "good", 0, 1), (1, "s", "", "x", 0, 1), (2, "", "a", "x", 0, 1), (3, "s", "a", " \u2003", 0, 1), (4, "s", "a", "x", -1, 1), (5, "s", "a", "good", 1, None), (5, "s", "a", "good", 1, None)]
     run = em.embed_run(inputs(spark, rows), lambda: HashEmbedder(4))
@@ -168,6 +243,64 @@ def test_object_store(spark):
     assert bytes(ob.compose_levels(parts).first().content) == bytes(65 + n % 26 for n in range(1100))
 
 
+def test_compose_counts_sources_and_not_their_numbers(spark):
+    objects = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"2"))], "key string, content binary")
+    asked = [("far", 90, "b"), ("far", 40, "a"), ("gone", 0, "a"), ("gone", 1, "z")] + [("many", k, "a") for k in range(33)]
+    done, failed = ob.compose(objects, spark.createDataFrame(asked, "key string, ord int, src string"))
+    assert [(r.key, bytes(r.content)) for r in done.collect()] == [("far", b"12")]
+    assert values(failed, "key", "error") == [("gone", "OBJECT_NOT_FOUND"), ("many", "INVALID_ARGUMENT")]
+
+
+def test_listing_ends_with_its_callback(spark):
+    objects = spark.createDataFrame([(f"p/{k:02d}", k) for k in range(20)] + [("q", 1)], "key string, size int")
+    seen = []
+
+    def call(row):
+        seen.append(row.key)
+        if len(seen) == 3:
+            raise StopIteration("enough")
+
+    with pytest.raises(StopIteration, match="enough"):
+        ob.each_object(objects, "p/", call)
+    assert seen == ["p/00", "p/01", "p/02"]
+
+
+def test_memory_store_and_reads(spark):
+    import io
+    from datetime import datetime, timedelta, timezone
+
+    from docflow.errors import DocflowError
+    from docflow.kernels.process import Cancelled
+    from docflow.sources import stores
+
+    clock = iter(datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(hours=k) for k in range(9))
+    store = stores.MemoryStore(lambda: next(clock))
+    store.put("a", b"hello")
+    store.put("b", b" you")
+    store.compose("c", ["a", "b", "a"])
+    assert store.get("c") == b"hello youhello" and store.get_range("a", 1, -1) == b"ello" and store.get_range("a", 1, 2) == b"el"
+    for call, code in ((lambda: store.get("x"), "OBJECT_NOT_FOUND"), (lambda: store.delete("x"), "OBJECT_NOT_FOUND"), (lambda: store.get_range("a", -1, 1), "INVALID_ARGUMENT"),
+                       (lambda: store.get_range("a", 5, 1), "RANGE_NOT_SATISFIABLE"), (lambda: store.compose("d", []), "INVALID_ARGUMENT"), (lambda: store.compose("d", ["a", "x"]), "OBJECT_NOT_FOUND")):
+        with pytest.raises(DocflowError) as e:
+            call()
+        assert e.value.code == code
+    store.delete("b")
+    rows = ob.list_objects(store.table(spark)).collect()
+    assert [(r.key, r.size) for r in rows] == [("a", 5), ("c", 14)] and rows[1].created - rows[0].created == timedelta(hours=2)
+    assert not store.exists("b") and stores.read_all(io.BytesIO(b"12345"), 5) == b"12345"
+    with pytest.raises(DocflowError):
+        stores.read_all(io.BytesIO(b"123456"), 5)
+    asked = iter([False, True])
+    with pytest.raises(Cancelled):
+        stores.read_all(io.BytesIO(b"x" * 10), None, lambda: next(asked))
+    for wrong in (lambda: stores.Store("", spark), lambda: stores.Store("b", None), lambda: stores.connect(""), lambda: stores.connect_emulator("b", ""), lambda: stores.Store("b", spark, "ftp")):
+        with pytest.raises(ValueError):
+            wrong()
+    shared = stores.Store("bucket", spark)
+    shared.close()
+    assert shared.uri("k y") == "gs://bucket/k%20y" and shared.spark.range(1).count() == 1
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_bytes(b"hello")

@@ -107,7 +107,7 @@ def naive_chunks(text, budget, overlap):
     return out
 
 
-@pytest.mark.parametrize(("name", "overlap"), [("chunk_pack_all", 0), ("chunk_pack_overlap_all", 150)])
+@pytest.mark.parametrize(("name", "overlap"), [("chunk_pack", 0), ("chunk_pack_overlap", 150)])
 def test_texts_with_large_paragraphs_are_packed_whole(spark, tmp_path, name, overlap):
     small = lambda n: "wörd " * (n - 1) + "end."
     large = "Ein Satz über nichts. " * 150
