@@ -72,9 +72,13 @@ def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both texts of the pages, ``field`` naming which, repaired together: what one says helps to read the other."""
     texts = table(spark, sf_dir, "page_texts")
-    pages = scanned.pages_of_texts(texts, "coalesce(raw_text, text)")
-    return scanned.ScannedPages(pages, own_blocks=False).paragraphs()
+    both = [texts.select(F.concat_ws(":", F.lit(c), "source_id").alias("source_id"), "page_no", F.col(c).alias("body")) for c in ("raw_text", "text")]
+    pages = scanned.pages_of_texts(both[0].unionByName(both[1]).filter("body is not null"), "body")
+    found = scanned.ScannedPages(pages, own_blocks=False).paragraphs()
+    field, source = F.substring_index("source_id", ":", 1), F.expr("substring(source_id, instr(source_id, ':') + 1)")
+    return found.select(field.alias("field"), source.alias("source_id"), "page_no", "paragraph_no", "text")
 
 
 def _near(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:

@@ -1,26 +1,33 @@
 """Text of scanned pages repaired: running headers, broken words, misread characters, reflow.
 
 Steps, all over whole tables: (1) lines at the pages' edges that recur within a source, count its pages or stand
-apart are furniture; (2) every form of a word is counted, and rare forms are linked to frequent words from which
-plausible glyph edits lead to them, by a join on a key that those edits don't change; (3) skip-gram vectors,
-trained on the co-occurrences of frequent words, choose among a form's candidates by the words around it;
-(4) halves of words broken at a line's or page's end are put together if the whole is written elsewhere;
-(5) what is left is joined into paragraphs.
+apart are furniture; (2) skip-gram vectors are trained on the co-occurrences of all words, part by part of the
+table and averaged, and every form of a word, however rare, has its place among them by the contexts it was seen
+in; (3) a rare form is linked to a frequent word if the two are neighbours in that space and plausible glyph
+edits lead from the one to the other; (4) at each occurrence the linked word that fits the context best is chosen;
+(5) halves of words broken at a line's or page's end are put together if the whole is written elsewhere; (6) what
+is left is joined into paragraphs.
+
+Which of the conditions of a link is tested first makes no difference to the links. Pairs are found by a join on a
+key that the edits don't change, then held against the vectors, then against the edits: no search over all pairs.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from docflow.llm.lookalikes import Canon
+from docflow.operators.content import running_total
 from docflow.session import Stage
 
 # What is printed and what recognition makes of it.
@@ -30,8 +37,15 @@ TIMES = 8
 #: The same where the engine itself was unsure of the word.
 TIMES_UNSURE = 3
 UNSURE = 80
-#: Words with skip-gram vectors, their dimensions, words on either side that count as context.
-VOCABULARY, DIMENSIONS, REACH = 2000, 24, 2
+#: Rows of either table of vectors, into which words are hashed; numbers in a vector; words on either side that
+#: count as context.
+BUCKETS, DIMENSIONS, REACH = 1 << 15, 24, 2
+#: Times that the parts' models are averaged, and passes over a part's pairs between.
+ROUNDS, PASSES = 2, 3
+#: Words of which one is to be the other misread have at least this cosine.
+NEAR = 0.1
+#: The same for forms of two and three letters, from which an edit leads to many words.
+CLOSE = 0.5
 #: Frequent words that a task knows to need no looking up.
 TRUSTED = 20_000
 
@@ -41,7 +55,7 @@ _NUMBER = re.compile(r"(?i)^[\W_]*(?:[ivxlcdm]+|[\dolb]+)[\W_]*$")
 _COUNTING = re.compile(r"\d+|\b[ivxlcdm]+\b")
 _BAD_NUMBER = re.compile(r"^[(\[$€£]?(?:[A-Z]{2}-)?(?=[\dolbzIOSBZ.,/:%-]*\d)[\dolbzIOSBZ.,/:%-]*[olbzIOSBZ][\dolbzIOSBZ.,/:%-]*$")
 _PLAIN_NUMBER = re.compile(r"^[\W\d_]*$")
-_FOLD = str.maketrans({"e": "c", "(": "c", "0": "o", "a": "o", "f": "t", "u": "n", "l": "i", "1": "i", "5": "s", "q": "g", "b": "h", "6": "h", "8": "h", "|": "i", "z": "2", "d": "ci", "w": "vv", "ü": "ii"})
+_FOLD = str.maketrans({"e": "c", "(": "c", "0": "o", "a": "o", "f": "t", "u": "n", "l": "i", "1": "i", "5": "s", "q": "g", "b": "h", "6": "h", "8": "h", "é": "h", "ó": "h", "|": "i", "z": "2", "d": "ci", "w": "vv", "ü": "ii"})
 
 
 def core(word: str) -> str:
@@ -56,12 +70,10 @@ def fold(word: str) -> str:
 
 def fold_keys(word: str) -> list[str]:
     """Keys under which a form meets the word it stands for: folded, with each glyph that may take the place of
-    two written as either pair, and with what a 6 may be."""
-    shapes = [word] if "6" not in word else [word.replace("6", p) for p in "béó"]
-    if word.count("6") == 2:
-        shapes += [word.replace("6", p, 1).replace("6", q) for p in "béó" for q in "béó" if p != q]
+    two written as either pair."""
     pairs = [(m, h) for m in ("m", "rn", "in") for h in ("h", "ii", "ti")]
-    return sorted({base.replace("m", m).replace("h", h) for base in map(fold, shapes) for m, h in pairs})
+    base = fold(word)
+    return sorted({base.replace("m", m).replace("h", h) for m, h in pairs})
 
 
 _EDITS: list[tuple[str, str]] = [tuple(e.split(" ")) for e in GLYPH_EDITS.lower().split("|")]
@@ -102,17 +114,27 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Re
 # -- pages ---------------------------------------------------------------------------------------------
 
 
-def lines_of(words: list[dict]) -> list[list[int]]:
-    """Places of the words of each line, in reading order."""
-    lines: list[list[int]] = []
-    last = None
-    for k, w in enumerate(words):
-        key = (w["block"], w["line"])
-        if key != last:
-            lines.append([])
-            last = key
-        lines[-1].append(k)
-    return lines
+class Words:
+    """The words of some pages, column by column: page ``p`` has those from ``starts[p]`` to ``starts[p + 1]``."""
+
+    def __init__(self, column: pa.Array):
+        sizes = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.starts = np.r_[0, np.cumsum(sizes)]
+        flat = column.flatten()
+        self.fields = dict(zip((f.name for f in flat.type), flat.flatten()))
+        self.text: list[str | None] = self.fields["text"].to_pylist()
+
+    def numbers(self, name: str) -> np.ndarray:
+        """A whole-number column; null is -1, as where the engine gives none."""
+        return pc.fill_null(self.fields[name], -1).to_numpy(zero_copy_only=False)
+
+    def line_starts(self) -> np.ndarray:
+        """Places at which a line begins."""
+        block, line = self.numbers("block"), self.numbers("line")
+        first = np.ones(len(block), dtype=bool)
+        first[1:] = (block[1:] != block[:-1]) | (line[1:] != line[:-1])
+        first[self.starts[:-1][self.starts[:-1] < len(block)]] = True
+        return np.flatnonzero(first)
 
 
 def skeleton(text: str, page: int) -> tuple[str, int | None]:
@@ -139,6 +161,7 @@ EDGE_FIELDS = StructType(
         StructField("source_id", StringType()),
         StructField("page_no", IntegerType()),
         StructField("top", BooleanType()),
+        StructField("depth", IntegerType()),
         StructField("first", IntegerType()),
         StructField("last", IntegerType()),
         StructField("level", StringType()),
@@ -147,72 +170,81 @@ EDGE_FIELDS = StructType(
         StructField("alone", BooleanType()),
     ]
 )
+#: Lines from an edge that may be furniture by standing apart or being set off; further ones only by recurring.
+OUTER = 2
 
 
-def edge_lines(page: int, words: list[dict], own_blocks: bool = True) -> list[tuple]:
-    """The first and last two lines of a page as candidates for furniture.
+def edge_lines(words: Words, pages: list[int], own_blocks: bool = True) -> Iterator[tuple]:
+    """Lines from either edge of each page inwards, up to the first body block, as candidates for furniture.
 
-    With ``own_blocks`` a header or footer is a block of its own; without, as in plain page texts, the outermost
+    With ``own_blocks`` a header or footer has blocks of its own; without, as in plain page texts, the outermost
     line of a paragraph may be one, but only by recurring or counting.
     """
-    lines = lines_of(words)
-    if not lines:
-        return []
-    box = [(min(words[k]["box"]["y0"] for k in ln), max(words[k]["box"]["y1"] for k in ln), words[ln[0]]["box"]["x0"]) for ln in lines]
-    blocks = Counter(words[ln[0]]["block"] for ln in lines)
-    margin = Counter(round(x) for _, _, x in box).most_common(1)[0][0]
-    height = float(np.median([b - a for a, b, _ in box])) or 1.0
-    out = []
-    for top, order in ((True, range(min(2, len(lines)))), (False, range(len(lines) - 1, max(len(lines) - 3, 1 if len(lines) > 1 else -1), -1))):
-        for k in order:
-            inside = blocks[words[lines[k][0]]["block"]] > 1
-            if inside and (own_blocks or k not in (0, len(lines) - 1)):
-                break  # part of a paragraph, as is what lies further in
-            text = " ".join(words[i]["text"] or "" for i in lines[k])
-            level, ahead = skeleton(text, page)
-            if ahead is None and not level.strip():
-                ahead = None
-            roman = _roman(text) if len(lines[k]) <= 3 and _NUMBER.match(text) else None
-            if roman is not None:
-                level, ahead = "", roman - page
-            gap = box[k + 1][0] - box[k][1] if top and k + 1 < len(lines) else box[k][0] - box[k - 1][1] if not top and k else 0.0
-            apart = gap > 4 * height
-            # Set off from the body's margin and no sentence.
-            alone = abs(box[k][2] - margin) > 3 and not text.rstrip().endswith((".", ",", ";", ":")) and len(lines) > 2
-            out.append((top, lines[k][0], lines[k][-1], level, ahead, bool(apart) and not inside, bool(alone) and not inside))
-            if inside:
-                break
-    return out
+    begins = words.line_starts()
+    if not len(begins):
+        return
+    ends = np.r_[begins[1:], words.starts[-1]]
+    box = words.fields["box"]
+    x0, y0, y1 = (pc.fill_null(f, 0.0).to_numpy(zero_copy_only=False) for f in (pc.struct_field(box, c) for c in ("x0", "y0", "y1")))
+    tops, bottoms, lefts = np.minimum.reduceat(y0, begins), np.maximum.reduceat(y1, begins), x0[begins]
+    line_block = words.numbers("block")[begins]
+    for p, page in enumerate(pages):
+        a, b = np.searchsorted(begins, words.starts[p : p + 2])
+        n, at = int(b - a), int(words.starts[p])
+        if not n:
+            continue
+        blocks = line_block[a:b].tolist()
+        sizes = Counter(blocks)
+        left, top_y, bottom_y = lefts[a:b].tolist(), tops[a:b].tolist(), bottoms[a:b].tolist()
+        margin = Counter(map(round, left)).most_common(1)[0][0]
+        height = float(np.median(bottoms[a:b] - tops[a:b])) or 1.0
+        for top, order in ((True, range(n)), (False, range(n - 1, 0 if n > 1 else -1, -1))):
+            for depth, k in enumerate(order):
+                inside = sizes[blocks[k]] > 1
+                if inside and (own_blocks or k not in (0, n - 1)):
+                    break  # part of a paragraph, as is what lies further in
+                first, last = int(begins[a + k]), int(ends[a + k])
+                text = " ".join(w or "" for w in words.text[first:last])
+                level, ahead = skeleton(text, page)
+                roman = _roman(text) if last - first <= 3 and _NUMBER.match(text) else None
+                if roman is not None:
+                    level, ahead = "", roman - page
+                gap = top_y[k + 1] - bottom_y[k] if top and k + 1 < n else top_y[k] - bottom_y[k - 1] if not top and k else 0.0
+                outer = depth < OUTER and not inside
+                # Set off from the body's margin and no sentence.
+                alone = abs(left[k] - margin) > 3 and not text.rstrip().endswith((".", ",", ";", ":")) and n > 2
+                yield p, top, depth, first - at, last - at - 1, level, ahead, outer and gap > 4 * height, outer and alone
+                if inside:
+                    break
 
 
 def furniture(pages: DataFrame, stage: Stage, own_blocks: bool = True) -> DataFrame:
     """``source_id, page_no, ranges`` with the words (first and last) of running headers, footers, page numbers.
 
     An edge line is furniture if its level recurs at that edge on another page of the source and the line stands
-    alone or counts the pages or has no number; if it stands far apart from the body; or if it is set off.
+    alone or counts the pages or has no number; if it stands far apart from the body; or if it is set off. A line
+    further in is only if all lines between it and the edge are.
     """
 
     def run(batches):
-        for batch in _small(batches):
-            rows = []
-            columns = [batch.column(c).to_pylist() for c in ("source_id", "page_no", "words")]
-            for source, page, words in zip(*columns):
-                rows += [(source, page, *e) for e in edge_lines(page or 0, words or [], own_blocks)]
+        for batch in _small(batches, 512):
+            sources, numbers = batch.column("source_id").to_pylist(), [n or 0 for n in batch.column("page_no").to_pylist()]
+            rows = [(sources[p], numbers[p], *e) for p, *e in edge_lines(Words(batch.column("words")), numbers, own_blocks)]
             yield _rows_batch(rows, EDGE_FIELDS)
 
     edges = stage.put(pages.mapInArrow(run, EDGE_FIELDS))
+    # Lines that count the pages are told apart by what they count; each line meets one row of either sum.
+    edges = edges.withColumn("ahead_key", F.coalesce("ahead", F.lit(-(1 << 31))))
     recurring = edges.groupBy("source_id", "top", "level").agg(F.count("*").alias("pages"))
-    counting = edges.filter("ahead is not null").groupBy("source_id", "top", "level", "ahead").agg(F.count("*").alias("steady"))
-    joined = edges.join(recurring, ["source_id", "top", "level"]).join(
-        counting.withColumnRenamed("ahead", "ahead2"), ["source_id", "top", "level"], "left"
-    )
-    joined = joined.filter("ahead2 is null or ahead2 <=> ahead or ahead is null")
-    named = F.length("level") >= 4
-    recurs = (F.col("pages") >= 2) & named & F.col("ahead").isNull()
-    counts = F.col("ahead").isNotNull() & (F.coalesce("steady", F.lit(0)) >= 2)
-    kept = joined.filter(F.col("apart") | recurs | counts | F.col("alone"))
-    span = F.struct("first", "last")
-    return kept.groupBy("source_id", "page_no").agg(F.collect_set(span).alias("ranges"))
+    counting = edges.groupBy("source_id", "top", "level", "ahead_key").agg(F.count("*").alias("steady"))
+    joined = edges.join(recurring, ["source_id", "top", "level"]).join(counting, ["source_id", "top", "level", "ahead_key"])
+    recurs = (F.col("pages") >= 2) & (F.length("level") >= 4) & F.col("ahead").isNull()
+    counts = F.col("ahead").isNotNull() & (F.col("steady") >= 2)
+    marked = joined.withColumn("is", F.col("apart") | recurs | counts | F.col("alone"))
+    inwards = Window.partitionBy("source_id", "page_no", "top").orderBy("depth")
+    outwards = F.min(F.col("is")).over(inwards)
+    kept = marked.withColumn("chain", outwards).filter(F.when(F.col("depth") < OUTER, F.col("is")).otherwise(F.col("chain")))
+    return kept.groupBy("source_id", "page_no").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
 
 def _rows_batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
@@ -225,24 +257,62 @@ def _rows_batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
 # -- words ---------------------------------------------------------------------------------------------
 
 
+class Reader:
+    """Words of pages as texts in one form of characters and as cores; what was seen is remembered."""
+
+    def __init__(self) -> None:
+        self.canon = Canon({})
+        self.cores = _Remember(core)
+        self.odd = _Remember(lambda w: not w.isascii() and self.canon.odd(w))
+
+    def texts(self, words: Words) -> list[str]:
+        """Look-alikes made one and no blanks around; null words are empty."""
+        out = [w or "" for w in words.text]
+        suspects = [k for k, w in enumerate(out) if self.odd[w]]
+        for p in sorted({int(np.searchsorted(words.starts, k, side="right")) - 1 for k in suspects}):
+            a, b = words.starts[p : p + 2]
+            for k, new in self.canon.words(words.text[a:b]):
+                out[a + k] = new
+        return [w if w.isascii() else w.strip() for w in out]
+
+
+class _Remember(dict):
+    """Results of a function, forgotten when there are too many."""
+
+    MOST = 300_000
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, key):
+        if len(self) >= self.MOST:
+            self.clear()
+        value = self[key] = self.function(key)
+        return value
+
+
 def forms(pages: DataFrame) -> DataFrame:
     """``word, n`` of every form in the pages, look-alike characters made one. Broken halves aren't counted."""
     schema = StructType([StructField("word", StringType()), StructField("n", LongType())])
 
     def run(batches):
-        canon = Canon({})
+        reader = Reader()
         for batch in batches:
             counts: Counter = Counter()
-            for words in (w for b in _small([batch]) for w in b.column(0).to_pylist()):
-                words = _plain(canon, words or [])
-                halves = {k for k, _ in enumerate(words[:-1]) if words[k] and words[k][-1] in _HYPHENS}
-                counts.update(core(w) for k, w in enumerate(words) if w and k not in halves and k - 1 not in halves)
+            for part in _small([batch], 512):
+                words = Words(part.column("words"))
+                texts = reader.texts(words)
+                whole = np.ones(len(texts) + 1, dtype=bool)
+                last = set((words.starts[1:] - 1).tolist())
+                halves = [k for k, w in enumerate(texts) if w and w[-1] in _HYPHENS and k not in last]
+                whole[halves] = False
+                whole[np.array(halves, dtype=np.int64) + 1] = False
+                counts.update(reader.cores[w] for w, fine in zip(texts, whole.tolist()) if w and fine)
             counts.pop("", None)
-            items = [(w, n) for w, n in counts.items() if not _PLAIN_NUMBER.match(w)]
-            yield _rows_batch(items, schema)
+            yield _rows_batch([(w, n) for w, n in counts.items() if not _PLAIN_NUMBER.match(w)], schema)
 
-    texts = pages.select(F.col("words.text").alias("t"))
-    return texts.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    return pages.select("words").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _plain(canon: Canon, words: list[str | None]) -> list[str]:
@@ -253,125 +323,264 @@ def _plain(canon: Canon, words: list[str | None]) -> list[str]:
     return [w if w.isascii() else w.strip() for w in out]
 
 
-def link_forms(counts: DataFrame) -> DataFrame:
-    """``word, n, candidates``: for every form the words it may be misread from, with counts and edits.
-
-    Frequent words meet rare forms by key; how often a key is shared doesn't matter, as a frequent word is
-    offered only to forms that are rarer by far.
-    """
+def glyph_pairs(counts: DataFrame) -> DataFrame:
+    """``word, printed, n, m``: forms and the words, more frequent by far, that share a key with them."""
     key_schema = StructType([*counts.schema.fields, StructField("keys", ArrayType(StringType()))])
 
     def keyed(batches):
         for batch in batches:
-            keys = [fold_keys(w) if len(w) >= 3 else [] for w in batch.column("word").to_pylist()]
+            keys = [fold_keys(w) if len(w) >= 2 else [] for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(keys, pa.list_(pa.string()))], names=key_schema.names)
 
     with_keys = counts.mapInArrow(keyed, key_schema)
-    exploded = with_keys.select("word", "n", F.explode("keys").alias("key"))
-    rare = exploded
+    rare = with_keys.select("word", "n", F.explode("keys").alias("key"))
     often = with_keys.filter((F.col("n") >= TIMES_UNSURE) & ~F.col("word").rlike(r"[0-9(|]")).select(
         F.col("word").alias("printed"), F.col("n").alias("m"), F.explode("keys").alias("key")
     )
     pairs = rare.join(often, "key").filter((F.col("m") >= TIMES_UNSURE * F.col("n")) & (F.col("word") != F.col("printed")))
-    pairs = pairs.select("word", "printed", "m").distinct()
-    pair_schema = StructType([*pairs.schema.fields, StructField("edits", IntegerType())])
+    return pairs.select("word", "printed", "n", "m").distinct()
+
+
+def link_forms(counts: DataFrame, places: DataFrame, near: float = NEAR) -> DataFrame:
+    """``word, n, candidates``: for every form the words it may be misread from, with counts, edits and nearness.
+
+    ``places`` has the vectors of forms (``word, vector``). A form without a context has no place and no link.
+    """
+    pairs = glyph_pairs(counts)
+    there = pairs.join(places.withColumnRenamed("vector", "x"), "word").join(
+        places.select(F.col("word").alias("printed"), F.col("vector").alias("y")), "printed"
+    )
+    schema = StructType(pairs.select("word", "printed", "m").schema.fields).add("edits", IntegerType()).add("near", FloatType())
 
     def judged(batches):
         for batch in batches:
-            edits = [edits_between(p, w) for p, w in zip(batch.column("printed").to_pylist(), batch.column("word").to_pylist())]
+            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS) for c in "xy")
+            size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+            cosine = (x * y).sum(axis=1) / np.where(size > 0, size, 1.0)
+            words, printed = batch.column("word").to_pylist(), batch.column("printed").to_pylist()
+            edits = [edits_between(p, w) if c >= near else None for p, w, c in zip(printed, words, cosine)]
             keep = pa.array([k for k, e in enumerate(edits) if e is not None], pa.int64())
-            columns = [*(batch.column(c).take(keep) for c in ("word", "printed", "m")), pa.array([e for e in edits if e is not None], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=pair_schema.names)
+            columns = [batch.column(c).take(keep) for c in ("word", "printed", "m")]
+            columns += [pa.array([e for e in edits if e is not None], pa.int32()), pa.array(cosine, pa.float32()).take(keep)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    good = pairs.mapInArrow(judged, pair_schema)
-    lists = good.groupBy("word").agg(F.collect_list(F.struct("m", "printed", "edits")).alias("candidates"))
+    good = there.select("word", "printed", "m", "x", "y").mapInArrow(judged, schema)
+    lists = good.groupBy("word").agg(F.collect_list(F.struct("m", "printed", "edits", "near")).alias("candidates"))
     return counts.join(lists, "word", "left")
 
 
 # -- context -------------------------------------------------------------------------------------------
 
 
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
 class SkipGram:
-    """Skip-gram vectors with negative sampling, trained on counted pairs."""
+    """Skip-gram vectors with negative sampling: ``inputs`` of words and ``contexts`` of folded words.
 
-    def __init__(self, words: list[str], vectors: np.ndarray, contexts: np.ndarray):
-        self.index = {w: k for k, w in enumerate(words)}
-        self.vectors, self.contexts = vectors, contexts
+    Contexts are folded, so that a misread neighbour says the same as the word that was printed. Words are hashed
+    into the rows of both tables, so the model has one size however many words there are.
+    """
+
+    def __init__(self, inputs: np.ndarray, contexts: np.ndarray):
+        self.inputs, self.contexts = inputs.astype(np.float32), contexts.astype(np.float32)
 
     @classmethod
-    def train(cls, words: list[str], pairs: np.ndarray, counts: np.ndarray, rounds: int = 6, seed: int = 11) -> SkipGram:
-        """``pairs`` of places in ``words`` with how often each was seen; frequent pairs are damped."""
+    def start(cls, seed: int = 11) -> SkipGram:
+        rng = np.random.default_rng(seed)
+        return cls(*(rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)) for _ in range(2)))
+
+    def trained(self, a: np.ndarray, c: np.ndarray, n: np.ndarray, rate: float, seed: int = 3) -> SkipGram:
+        """A model after ``PASSES`` over all pairs of word ``a`` and context ``c``, seen ``n`` times."""
+        u, v = self.inputs.astype(np.float64), self.contexts.astype(np.float64)
         rng = np.random.default_rng(seed)
-        n = max(len(words), 1)
-        u, v = rng.normal(0, 0.1, (n, DIMENSIONS)), rng.normal(0, 0.1, (n, DIMENSIONS))
-        if len(pairs):
-            weight = np.minimum(counts.astype(float), 200.0) ** 0.75
-            chance = weight / weight.sum()
-            noise = np.bincount(pairs[:, 1], weights=counts, minlength=n) ** 0.75
-            noise /= noise.sum()
-            size = 4096
-            for step in range(rounds * max(8, min(60, len(pairs) // size))):
-                rate = 0.4 * (1 - step / (rounds * max(8, min(60, len(pairs) // size)))) + 0.02
-                pick = rng.choice(len(pairs), size, p=chance)
-                a = np.repeat(pairs[pick, 0], 4)
-                b = np.stack([pairs[pick, 1], *(rng.choice(n, size, p=noise) for _ in range(3))], axis=1).ravel()
-                y = np.tile([1.0, 0.0, 0.0, 0.0], size)
-                e = 1 / (1 + np.exp(-np.clip((u[a] * v[b]).sum(axis=1), -30, 30))) - y
-                du, dv = np.zeros_like(u), np.zeros_like(v)
-                np.add.at(du, a, e[:, None] * v[b])
-                np.add.at(dv, b, e[:, None] * u[a])
-                # Steps are bounded: with few words each is met very often in one round.
-                u -= np.clip(rate * du / np.maximum(np.bincount(a, minlength=n)[:, None], 1) ** 0.5, -0.2, 0.2)
-                v -= np.clip(rate * dv / np.maximum(np.bincount(b, minlength=n)[:, None], 1) ** 0.5, -0.2, 0.2)
-                np.clip(u, -2, 2, out=u)
-                np.clip(v, -2, 2, out=v)
-        return cls(words, u, v)
-
-    def fit(self, word: str, around: list[str]) -> float:
-        """How well ``word`` stands among the words ``around`` it; 0 if either is unknown."""
-        k = self.index.get(word)
-        near = [self.index[c] for c in around if c in self.index]
-        return 0.0 if k is None or not near else float(np.clip((self.contexts[near] @ self.vectors[k]).mean(), -5, 5))
-
-
-def skip_gram(pages: DataFrame, counts: DataFrame) -> SkipGram:
-    """Trained on all pages' co-occurrences of the most frequent words; the driver gets at most
-    ``VOCABULARY`` squared counts."""
-    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    schema = StructType([StructField("a", IntegerType()), StructField("b", IntegerType()), StructField("n", LongType())])
+        weight = 1 + np.log(n)
+        weight /= weight.mean()
+        noise = np.cumsum(np.bincount(c, weights=n.astype(float), minlength=BUCKETS) ** 0.75)
+        noise /= noise[-1]
+        size, step = 8192, 0
+        steps = PASSES * -(-len(a) // size)
+        for _ in range(PASSES):
+            order = rng.permutation(len(a))
+            for at in range(0, len(a), size):
+                pick = order[at : at + size]
+                now, step = rate * (1 - step / steps) + 0.01, step + 1
+                other = np.searchsorted(noise, rng.random((len(pick), 4)), side="right").clip(max=BUCKETS - 1)
+                near = np.concatenate([c[pick][:, None], other], axis=1)
+                x, y = u[a[pick]], v[near]
+                e = 1 / (1 + np.exp(-np.clip(np.einsum("kd,kjd->kj", x, y), -20, 20)))
+                e[:, 0] -= 1
+                e *= weight[pick][:, None]
+                to_u, to_v = np.einsum("kj,kjd->kd", e, y), e[:, :, None] * x[:, None, :]
+                _descend(u, a[pick], to_u, now)
+                _descend(v, near.ravel(), to_v.reshape(-1, DIMENSIONS), now)
+        return SkipGram(u, v)
+
+    def surroundings(self, around: list[str]) -> np.ndarray | None:
+        """The mean vector of the words around a place."""
+        near = [bucket(fold(w)) for w in around if w]
+        return self.contexts[near].mean(axis=0) if near else None
+
+    def fit(self, word: str, place: np.ndarray | None) -> float:
+        """How well ``word`` stands among surroundings; 0 if there are none."""
+        return 0.0 if place is None else float(np.clip(self.inputs[bucket(word)] @ place, -5, 5))
+
+
+def _descend(table: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+    """A step for each row of ``table`` that has gradients; steps are bounded, as a row may have very many."""
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    total = np.add.reduceat(gradient[order], first, axis=0)
+    count = np.diff(np.r_[first, len(own)])
+    table[own[first]] -= np.clip(rate * total / np.sqrt(count)[:, None], -0.3, 0.3)
+
+
+def _in_rows(words: Words, cores: list[str], of: _Remember) -> np.ndarray:
+    """Numbers of the words, pages kept apart by ``REACH`` places with -1; words without a core are -1."""
+    ids = np.fromiter((of[w] if w else -1 for w in cores), np.int64, len(cores))
+    page = np.repeat(np.arange(len(words.starts) - 1), np.diff(words.starts))
+    out = np.full(len(ids) + REACH * len(words.starts), -1, dtype=np.int64)
+    out[np.arange(len(ids)) + REACH * page] = ids
+    return out
+
+
+_PAIR = StructType([StructField("a", IntegerType()), StructField("c", IntegerType()), StructField("n", IntegerType())])
+_VECTOR = [StructField(f"v{k}", DoubleType()) for k in range(DIMENSIONS)]
+
+
+def co_occurrences(pages: DataFrame) -> DataFrame:
+    """``a, c, n``: words and the folded words near them, as rows of the tables, counted within each part."""
+
+    def run(batches):
+        reader, inputs, contexts = Reader(), _Remember(bucket), _Remember(lambda w: bucket(fold(w)))
+        codes = []
+        for batch in _small(batches, 512):
+            words = Words(batch.column("words"))
+            cores = [reader.cores[w] for w in reader.texts(words)]
+            a, c = _in_rows(words, cores, inputs), _in_rows(words, cores, contexts)
+            for d in range(1, REACH + 1):
+                for x, y in ((a[:-d], c[d:]), (a[d:], c[:-d])):
+                    fine = (x >= 0) & (y >= 0)
+                    codes.append(x[fine] * BUCKETS + y[fine])
+            if sum(map(len, codes)) > 4_000_000:
+                yield counted(codes)
+                codes = []
+        yield counted(codes)
+
+    def counted(codes):
+        pairs, n = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (pairs // BUCKETS, pairs % BUCKETS, n)], names=_PAIR.names)
+
+    return pages.select("words").mapInArrow(run, _PAIR)
+
+
+def skip_gram(pages: DataFrame, stage: Stage) -> SkipGram:
+    """Trained on all co-occurrences: each part of the table trains on its own, from the model of the round before,
+    and rows of the tables are averaged by how much each part saw of them. The driver holds two tables of
+    ``BUCKETS`` rows."""
+    pairs = stage.put(co_occurrences(pages))
+    model = SkipGram.start()
+    schema = StructType([StructField("side", IntegerType()), StructField("row", IntegerType()), StructField("weight", DoubleType()), *_VECTOR])
+    for turn in range(ROUNDS):
+        rate = 0.4 / (1 + turn)
+
+        def run(batches, model=model, rate=rate):
+            held = [[b.column(k).to_numpy() for k in range(3)] for b in batches]
+            a, c, n = (np.concatenate(x).astype(np.int64) for x in zip(*held)) if held else ([], [], [])
+            if not len(a):
+                return
+            own = model.trained(a, c, n, rate)
+            for side, rows, table in ((0, a, own.inputs), (1, c, own.contexts)):
+                weight = np.bincount(rows, weights=n.astype(float), minlength=BUCKETS)
+                seen = np.flatnonzero(weight)
+                columns = [np.full(len(seen), side, np.int32), seen.astype(np.int32), weight[seen], *(table[seen].T.astype(np.float64))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=schema.names)
+
+        means = [(F.sum(F.col(f.name) * F.col("weight")) / F.sum("weight")).alias(f.name) for f in _VECTOR]
+        rows = pairs.mapInArrow(run, schema).groupBy("side", "row").agg(*means).toPandas()
+        tables = [model.inputs.copy(), model.contexts.copy()]
+        for side, table in enumerate(tables):
+            own = rows[rows.side == side]
+            table[own.row.to_numpy()] = own[[f.name for f in _VECTOR]].to_numpy()
+        model = SkipGram(*tables)
+    stage.drop(pairs)
+    return model
+
+
+def places_of(pages: DataFrame, model: SkipGram) -> DataFrame:
+    """``word, vector``: where each form lies among the vectors, by the contexts of all its occurrences; the mean
+    of all occurrences of all forms is the origin."""
+    schema = StructType([StructField("word", StringType()), StructField("n", LongType()), *_VECTOR])
 
     def run(batches):
-        index = {w: k for k, w in enumerate(top)}
+        reader, contexts = Reader(), _Remember(lambda w: bucket(fold(w)))
+        table = np.vstack([model.contexts, np.zeros((1, DIMENSIONS), np.float32)])  # the last row is that of no word
         for batch in batches:
-            seen: Counter = Counter()
-            for words in (w for b in _small([batch]) for w in b.column(0).to_pylist()):
-                ids = [index.get(core(w or ""), -1) for w in words or []]
+            ids: dict[str, int] = {}
+            sums, seen = np.zeros((0, DIMENSIONS)), np.zeros(0, dtype=np.int64)
+            for part in _small([batch], 512):
+                words = Words(part.column("words"))
+                cores = [reader.cores[w] for w in reader.texts(words)]
+                near = _in_rows(words, cores, contexts)
+                own = _in_rows(words, cores, _Numbering(ids))
+                vectors, there = table[near], (near >= 0).astype(np.float64)
+                total, count = np.zeros_like(vectors, dtype=np.float64), np.zeros(len(near))
                 for d in range(1, REACH + 1):
-                    seen.update(zip(ids, ids[d:]))
-                    seen.update(zip(ids[d:], ids))
-            yield _rows_batch([(a, b, n) for (a, b), n in seen.items() if a >= 0 and b >= 0], schema)
-
-    rows = pages.select(F.col("words.text").alias("t")).mapInArrow(run, schema).groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
-    rows = rows.sort_values(["a", "b"])
-    return SkipGram.train(top, rows[["a", "b"]].to_numpy(), rows["n"].to_numpy())
+                    total[d:] += vectors[:-d]
+                    total[:-d] += vectors[d:]
+                    count[d:] += there[:-d]
+                    count[:-d] += there[d:]
+                fine = np.flatnonzero((own >= 0) & (count > 0))
+                if len(ids) > len(sums):
+                    sums = np.vstack([sums, np.zeros((len(ids) - len(sums), DIMENSIONS))])
+                    seen = np.r_[seen, np.zeros(len(ids) - len(seen), dtype=np.int64)]
+                order = fine[np.argsort(own[fine], kind="stable")]
+                if len(order):
+                    first = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
+                    sums[own[order][first]] += np.add.reduceat(total[order] / count[order][:, None], first, axis=0)
+                    seen += np.bincount(own[order], minlength=len(seen))
+            kept = np.flatnonzero(seen)
+            names = list(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in kept], pa.string()), pa.array(seen[kept]), *(pa.array(x) for x in sums[kept].T)], names=schema.names)
+
+    sums = [F.sum(c).alias(c) for c in ("n", *(f.name for f in _VECTOR))]
+    each = pages.select("words").mapInArrow(run, schema).groupBy("word").agg(*sums)
+    origin = each.agg(*sums)
+    named = F.broadcast(origin.select(*(F.coalesce(F.col(f.name) / F.col("n"), F.lit(0.0)).alias(f"o{k}") for k, f in enumerate(_VECTOR))))
+    numbers = [(F.col(f"v{k}") / F.col("n") - F.col(f"o{k}")).cast("float") for k in range(DIMENSIONS)]
+    return each.join(named).select("word", F.array(*numbers).alias("vector"))  # the origin is one row
+
+
+class _Numbering(dict):
+    """Numbers for keys in the order in which they come, kept in ``ids``."""
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__(ids)
+        self.ids = ids
+
+    def __missing__(self, key: str) -> int:
+        self.ids[key] = self[key] = number = len(self.ids)
+        return number
 
 
 def choose(model: SkipGram, word: str, n: int, candidates: list, around: list[str], conf: int) -> str | None:
     """The word that ``word`` is misread from, or None if it may well be what was printed.
 
-    Candidates are weighed by frequency, edits and context; short forms and forms seen more than a few times
-    need a context that speaks for the candidate.
+    Linked words are weighed by frequency, edits, nearness and how well they stand in the context; forms seen more
+    than a few times need a far more frequent word, short forms also one that is met in the same contexts.
     """
     times = TIMES_UNSURE if 0 <= conf < UNSURE else TIMES
     odd = any(c in "0156(8" for c in word) and any(c.isalpha() for c in word)
-    best, most = None, -1e9
-    for m, printed, edits in candidates:
+    place = model.surroundings(around)
+    best, most, close = None, -1e9, 0.0
+    for m, printed, edits, near in candidates:
         if m < (TIMES_UNSURE if odd else times) * n:
             continue
-        fit = model.fit(printed, around)
-        score = np.log(m / n) - 1.2 * edits + 1.0 * fit
+        score = np.log(m / n) - 1.2 * edits + near + model.fit(printed, place)
         if score > most:
-            best, most, own = printed, score, fit
+            best, most, close = printed, score, near
     if best is None:
         return None
     if odd or n <= 2 and len(word) > 4:
@@ -379,11 +588,13 @@ def choose(model: SkipGram, word: str, n: int, candidates: list, around: list[st
     ratio = candidates_ratio(best, candidates, n)
     if len(word) > 3:
         return best if most > 1.0 and ratio >= (times if len(word) > 4 else 2 * times) else None
-    return best if ratio >= 4 * times and own >= model.fit(word, around) + 0.2 else None
+    fine = ratio >= 4 * times and close >= CLOSE
+    # Two letters are as often another word of the language, which its own contexts tell.
+    return best if fine and (len(word) > 2 or model.fit(best, place) >= model.fit(word, place) + 0.2) else None
 
 
 def candidates_ratio(best: str, candidates: list, n: int) -> float:
-    return max(m for m, printed, _ in candidates if printed == best) / n
+    return max(m for m, printed, *_ in candidates if printed == best) / n
 
 
 # -- the whole -----------------------------------------------------------------------------------------
@@ -417,10 +628,11 @@ class ScannedPages:
     """Findings and repaired text of ``pages`` (``source_id, page_no, words``).
 
     A repeated page counts once (of different rows under one key the largest). Pages whose words all have the
-    confidence 100 have a text layer and no misread words. Blank pages and null words have no findings.
+    confidence 100 have a text layer and no misread words. Blank pages and null words have no findings. ``model``
+    takes the place of the vectors that are otherwise trained.
     """
 
-    def __init__(self, pages: DataFrame, stage: Stage | None = None, *, own_blocks: bool = True):
+    def __init__(self, pages: DataFrame, stage: Stage | None = None, *, own_blocks: bool = True, model: SkipGram | None = None):
         self.stage = stage or Stage(pages.sparkSession)
         keyed = pages.filter("source_id is not null and page_no is not null")
         one = keyed.groupBy("source_id", "page_no").agg(F.max("words").alias("words"))
@@ -430,34 +642,25 @@ class ScannedPages:
         self.stage.drop(plain)
         counts = self.stage.put(forms(self.pages))
         self.counts = counts
-        self.forms = self.stage.put(link_forms(counts))
-        self.model = skip_gram(self.pages, counts)
+        self.model = model or skip_gram(self.pages, self.stage)
+        places = self.stage.put(places_of(self.pages, self.model))
+        self.forms = self.stage.put(link_forms(counts, places))
+        self.stage.drop(places)
         self.findings = self.stage.put(self._findings())
 
     def _findings(self) -> DataFrame:
         trusted = frozenset(
-            r.word for r in self.forms.filter("candidates is null").orderBy(F.desc("n"), "word").limit(TRUSTED).select("word").collect()
-        )
-        # What a page's last word may go on with: the first body words of the next page that isn't blank.
-        heads = self.pages.select("source_id", "page_no", F.size("words").alias("size"), self._first_body().alias("f"))
-        heads = heads.select("source_id", "page_no", "size", F.col("f.k").alias("k"), F.col("f.t").alias("t"))
-        next1 = heads.select("source_id", (F.col("page_no") - 1).alias("page_no"), F.struct("size", "k", "t").alias("n1"))
-        next2 = heads.select("source_id", (F.col("page_no") - 2).alias("page_no"), F.struct("size", "k", "t").alias("n2"))
-        after = F.when(F.col("n1.size") > 0, F.struct(F.lit(1).alias("by"), F.col("n1.k").alias("k"), F.col("n1.t").alias("t"))).when(
-            F.col("n1.size") == 0, F.struct(F.lit(2).alias("by"), F.col("n2.k").alias("k"), F.col("n2.t").alias("t"))
+            r.word for r in self.forms.filter("candidates is null and not word rlike '[0-9]'").orderBy(F.desc("n"), "word").limit(TRUSTED).select("word").collect()
         )
         keys = ["source_id", "page_no"]
-        linked = self.pages.join(next1, keys, "left").join(next2, keys, "left").select(*keys, "words", "ranges", after.alias("after"))
+        linked = self.pages.join(self._next_body(), keys, "left").select(*keys, "words", "ranges", "after")
 
         def run(batches):
-            canon = Canon({})
-            for batch in _small(batches):
-                rows = []
-                for r in batch.to_pylist():
-                    rows += lookups(canon, r, trusted)
-                yield _rows_batch(rows, LOOKUP)
+            reader = Reader()
+            for batch in _small(batches, 512):
+                yield _rows_batch(list(lookups(reader, batch, trusted)), LOOKUP)
 
-        asked = linked.mapInArrow(run, LOOKUP)
+        asked = self.stage.put(linked.mapInArrow(run, LOOKUP))
         vectors = self.model
 
         def decide(batches):
@@ -467,7 +670,10 @@ class ScannedPages:
                     rows += findings_of(vectors, r)
                 yield _rows_batch(rows, FINDING)
 
-        found = asked.join(self.forms, "word", "left").mapInArrow(decide, FINDING)
+        # Numbers need no looking up and so don't take part in the join.
+        numbers = asked.filter("word is null").withColumns({"n": F.lit(None).cast("bigint"), "candidates": F.lit(None).cast(self.forms.schema["candidates"].dataType)})
+        words = asked.filter("word is not null").join(self.forms, "word", "left")
+        found = words.unionByName(numbers).mapInArrow(decide, FINDING)
         spans = self.pages.filter("ranges is not null").select(*keys, F.explode("ranges").alias("r"))
         marks = spans.select(
             *keys, F.explode(F.sequence("r.first", "r.last")).alias("word_no"), F.lit("furniture").alias("kind"), F.lit(None).cast("string").alias("printed")
@@ -476,6 +682,21 @@ class ScannedPages:
         all_found = marks.unionByName(found).groupBy(*keys, "word_no").agg(F.min(F.struct(rank.alias("rank"), "kind", "printed")).alias("f"))
         return all_found.select(*keys, "word_no", "f.kind", "f.printed")
 
+    def _next_body(self) -> DataFrame:
+        """``source_id, page_no, after``: page, place and text of the first body word that follows on later pages,
+        over any number of pages without one, but not over pages that are missing."""
+        rows = self.pages.select("source_id", "page_no", F.lit(1).alias("one"), self._first_body().alias("f"))
+        # Pages that follow one another without a gap are as far from their number in order.
+        ranked = running_total(rows, ["source_id"], "page_no", "one", "rank").withColumn("run", F.col("page_no") - F.col("rank"))
+        body = F.when(F.col("f").isNotNull(), F.struct("page_no", F.col("f.k").alias("k"), F.col("f.t").alias("t")))
+        slim = ranked.select("source_id", "page_no", "run", F.floor(F.col("page_no") / 1000).alias("part"), body.alias("body"))
+        ahead = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(1, Window.unboundedFollowing)
+        near = slim.withColumn("near", F.first("body", ignorenulls=True).over(ahead(["source_id", "run", "part"], "page_no")))
+        parts = slim.groupBy("source_id", "run", "part").agg(F.min("body").alias("b"))
+        far = parts.select("source_id", "run", "part", F.first("b", ignorenulls=True).over(ahead(["source_id", "run"], "part")).alias("far"))
+        both = near.join(far, ["source_id", "run", "part"], "left")
+        return both.select("source_id", "page_no", F.coalesce("near", "far").alias("after"))
+
     @staticmethod
     def _first_body():
         """Place and text of the first word that isn't furniture."""
@@ -529,44 +750,49 @@ class ScannedPages:
         return grouped.select("source_id", "page_no", "paragraph_no", F.array_join(F.col("xs.text"), " ").alias("text"))
 
 
-def lookups(canon: Canon, page: dict, trusted: frozenset) -> Iterator[tuple]:
-    """The words of a page that have to be looked up, alone or joined with their other half."""
-    words = page["words"] or []
-    if not words:
-        return
-    texts = _plain(canon, [w["text"] for w in words])
-    ranges = [(r["first"], r["last"]) for r in page["ranges"] or []]
-    body = [k for k in range(len(words)) if not any(a <= k <= b for a, b in ranges)]
-    scanned = any(w["conf"] != 100 for w in words)
-    cores = [core(t) for t in texts]
-    second = set()
-    for i, k in enumerate(body):
-        text = texts[k]
-        if len(text) < 2 or text[-1] not in _HYPHENS or not text[-2].isalpha():
-            continue
-        other, rest, place = None, "", None
-        if i + 1 < len(body):
-            nxt = body[i + 1]
-            if (words[nxt]["block"], words[nxt]["line"]) != (words[k]["block"], words[k]["line"]):
-                other, rest, place = page["page_no"], texts[nxt], nxt
-                second.add(nxt)
-        elif page["after"] and page["after"]["t"]:
-            other, rest, place = page["page_no"] + page["after"]["by"], page["after"]["t"], page["after"]["k"]
-        if other is not None and rest and rest[0].isalpha():
-            head = core(text.rstrip(_HYPHENS))
-            around = [cores[j] for j in body[max(0, i - REACH) : i]]
-            yield (page["source_id"], page["page_no"], k, True, head + core(rest), head, words[k]["conf"], around, other, place)
-    if not scanned:
-        return
-    for i, k in enumerate(body):
-        word = cores[k]
-        if k in second or texts[k] and texts[k][-1] in _HYPHENS:
+def lookups(reader: Reader, batch: pa.RecordBatch, trusted: frozenset) -> Iterator[tuple]:
+    """The words of pages that have to be looked up, alone or joined with their other half."""
+    words = Words(batch.column("words"))
+    all_texts = reader.texts(words)
+    block, line, conf = (words.numbers(c).tolist() for c in ("block", "line", "conf"))
+    for p, (source, page, ranges, after) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source_id", "page_no", "ranges", "after")))):
+        at, end = map(int, words.starts[p : p + 2])
+        if at == end:
             continue
-        if is_bad_number(texts[k]):
-            yield (page["source_id"], page["page_no"], k, False, None, texts[k], words[k]["conf"], [], None, None)
-        elif len(word) >= 2 and word not in trusted and not _PLAIN_NUMBER.match(word):
-            around = [cores[j] for j in body[max(0, i - REACH) : i] + body[i + 1 : i + 1 + REACH]]
-            yield (page["source_id"], page["page_no"], k, False, word, None, words[k]["conf"], around, None, None)
+        texts = all_texts[at:end]
+        inside = set()
+        for r in ranges or []:
+            inside.update(range(r["first"], r["last"] + 1))
+        body = [k for k in range(end - at) if k not in inside]
+        cores = [reader.cores[t] for t in texts]
+        second = set()
+        for i, k in enumerate(body):
+            text = texts[k]
+            if len(text) < 2 or text[-1] not in _HYPHENS or not text[-2].isalpha():
+                continue
+            other, rest, place = None, "", None
+            if i + 1 < len(body):
+                nxt = body[i + 1]
+                if block[at + nxt] != block[at + k] or line[at + nxt] != line[at + k]:
+                    other, rest, place = page, texts[nxt], nxt
+                    second.add(nxt)
+            elif after and after["t"]:
+                other, rest, place = after["page_no"], after["t"], after["k"]
+            if other is not None and rest and rest[0].isalpha():
+                head = core(text.rstrip(_HYPHENS))
+                around = [cores[j] for j in body[max(0, i - REACH) : i]]
+                yield (source, page, k, True, head + core(rest), head, conf[at + k], around, other, place)
+        if all(c == 100 for c in conf[at:end]):
+            continue  # a text layer
+        for i, k in enumerate(body):
+            word = cores[k]
+            if word in trusted or k in second or texts[k] and texts[k][-1] in _HYPHENS:
+                continue
+            if is_bad_number(texts[k]):
+                yield (source, page, k, False, None, texts[k], conf[at + k], [], None, None)
+            elif len(word) >= 2 and not _PLAIN_NUMBER.match(word):
+                around = [cores[j] for j in body[max(0, i - REACH) : i] + body[i + 1 : i + 1 + REACH]]
+                yield (source, page, k, False, word, None, conf[at + k], around, None, None)
 
 
 def findings_of(model: SkipGram, row: dict) -> Iterator[tuple]:
@@ -579,7 +805,7 @@ def findings_of(model: SkipGram, row: dict) -> Iterator[tuple]:
         yield (*key, "misread", (prefix[0] + digits[len(prefix[0]) :]) if prefix else digits)
         return
     n = row["n"]
-    candidates = [(c["m"], c["printed"], c["edits"]) for c in row["candidates"] or []]
+    candidates = [(c["m"], c["printed"], c["edits"], c["near"]) for c in row["candidates"] or []]
     if not row["joined"]:
         printed = choose(model, row["word"], n, candidates, row["around"], conf) if candidates and n else None
         if printed:

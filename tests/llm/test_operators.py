@@ -139,6 +139,45 @@ def test_scanned_pages(spark):
     assert empty.findings.count() == empty.paragraphs().count() == 0
 
 
+def test_links_come_from_the_vectors(spark):
+    """The same pages with vectors of zeros have no misread words: links need neighbours."""
+    body = ["the annual report confirms the committee and the balance of the fund", "the committee confirms the annual balance of the report and the fund"] * 6
+    pages = [("s", n, page([*body, "the cornmittee confirms the balancc of the rcport", "and the balance of the fnnd"] if n % 3 == 0 else body, number=n)) for n in range(1, 13)]
+    df = spark.createDataFrame(pages, f"source_id string, page_no int, words {WORDS}")
+    words = lambda found: {r.printed for r in found.findings.filter("kind = 'misread'").collect()}
+    assert words(scanned.ScannedPages(df)) >= {"committee", "balance", "report"}
+    nothing = scanned.SkipGram(*(np.zeros((scanned.BUCKETS, scanned.DIMENSIONS)) for _ in range(2)))
+    assert words(scanned.ScannedPages(df, model=nothing)) == set()
+
+
+def test_a_form_in_other_contexts_is_a_word(spark):
+    """``fond`` is an edit away from ``fund`` but stands among other words; ``fnnd`` stands where ``fund`` does."""
+    money = ["the committee of the fund reports the balance of the fund each year"] * 40
+    cooking = ["we are fond again and again and we are fond again"] + ["lamb stews simmer slowly while onions soften gently under butter"] * 40
+    rows = [("s", n, page([*money, "the committee of the fnnd reports the balance"] if n == 1 else money)) for n in range(1, 4)] + [("t", n, page(cooking)) for n in range(1, 3)]
+    found = scanned.ScannedPages(spark.createDataFrame(rows, f"source_id string, page_no int, words {WORDS}"))
+    links = {(r.word, c.printed) for r in found.forms.filter("candidates is not null").collect() for c in r.candidates}
+    assert ("fnnd", "fund") in links
+    assert {r.printed for r in found.findings.filter("kind = 'misread'").collect()} == {"fund"}
+
+
+def test_halves_over_blank_and_furniture_pages(spark):
+    body = ["the annual report confirms the balance of the fund"] * 6
+    only_header = page([], number=None)
+    rows = [("s", 1, page([*body, "the committee confirms the ba-"])), ("s", 2, []), ("s", 3, None), ("s", 4, only_header), ("s", 5, page(["lance of the fund", *body])),
+            ("u", 1, page([*body, "the committee confirms the ba-"])), ("u", 3, page(["lance of the fund", *body]))]
+    found = scanned.ScannedPages(spark.createDataFrame(rows, f"source_id string, page_no int, words {WORDS}"))
+    got = [(r.source_id, r.page_no, r.printed) for r in found.findings.filter("kind = 'hyphen'").collect()]
+    assert got == [("s", 1, "balance")]  # page 2 of the other source is missing, so what follows isn't known
+
+
+def test_many_stray_numbers_at_one_edge(spark):
+    """Lines of one level with all different numbers meet one row each, however many there are."""
+    pages = [("s", n, page(["the fund reports a balance this year and the next"] * 4, top=f"Account Statement {n * n * 37 % 9973}")) for n in range(1, 120)]
+    found = scanned.ScannedPages(spark.createDataFrame(pages, f"source_id string, page_no int, words {WORDS}"))
+    assert found.findings.count() >= 0
+
+
 def brute_near(docs, width, threshold, least):
     def shingles(t):
         w = __import__("regex").findall(r"[\p{L}\p{N}]+", t.lower())
