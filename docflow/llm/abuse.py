@@ -1,9 +1,11 @@
 """Abusive, hateful or sexual content by weak supervision.
 
-Many voters, each a lexicon or a pattern, vote on passages (sentences). A generative label model estimates from
-the counts of all vote combinations how accurate each voter is and how correlated voters are, and gives each
-passage a posterior. A linear classifier over words and word pairs is trained on the posteriors of a bounded
-sample and scores every passage of every document; a document's score is that of its worst passage.
+Many voters, each a lexicon or a pattern, vote on passages (sentences). Words belong to classes that several
+languages share (who is spoken to, who is spoken of, insults, violence, exclusion ...), and the patterns are grammar
+over these classes, not phrases. A generative label model estimates from the counts of all vote combinations how
+accurate each voter is and how correlated voters are, and gives each passage a posterior. A linear classifier over
+words, word pairs and class pairs is trained on the posteriors of a bounded sample and scores every passage of
+every document; a document's score is that of its worst passage.
 """
 
 from __future__ import annotations
@@ -11,11 +13,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import repeat
-from operator import or_
-from re import _constants as _sre
-from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -32,162 +31,201 @@ from docflow.session import Stage
 MAX_TRAIN = 20_000
 #: One of so many passages without votes is offered for training.
 UNVOTED_PART = 8
-#: Words that a task remembers as plain, at most.
+#: Weight of a passage without votes in training; that of one with votes goes from 0.3 to 1.
+UNVOTED_WEIGHT = 0.4
+#: Words that a task remembers, at most.
 PLAIN_WORDS = 300_000
+#: Words of a passage; a longer sentence is read in windows of so many, each beginning in the middle of the last.
+WINDOW = 80
 #: A document is reported from this score on.
 THRESHOLD = 0.5
 
-# Words by what they are, several languages together; all in lower case.
-INSULTS = """idiot idiots moron morons imbecile cretin cretins halfwit halfwits dimwit nitwit dumbass dumbo retard retards
-retarded stupid loser losers scumbag scumbags scum dirtbag lowlife parasite parasites leech leeches vermin filth trash
-garbage pig pigs swine cow monkey monkeys ape apes rat rats cockroach cockroaches lice maggot maggots snake dog bastard
-bastards jerk fool fools clown clowns brainless braindead braindead spineless worthless useless pathetic disgusting
-inbred greasy miserable lazy lying fat ugly
-crétin crétins abruti abrutis débile débiles nul nuls raclure ordure ordures parasite vermine porc porcs imbécile
-imbéciles taré cafards
-abschaum penner idiot idioten trottel versager missgeburt schwein schweine ungeziefer dreckschwein dummkopf parasiten
-escoria imbécil imbéciles inútil cerdo cerdos basura idiota idiotas ratas parásitos gusano gusanos plaga""".split()
-PROFANE = """fuck fucks fucking fucker motherfucker shit shits shithead shitty bullshit dipshit dickhead asshole assholes
-arsehole arse lazy-arsed cunt cunts twat twats prick pricks wanker wankers bitch bitches slut sluts slutty whore whores
-bellend tosser goddamn douchebag faggot jackass
-merde foutre enculé enculés connard connards connasse salope salopes pute putes putain salaud bordel
-scheiße scheisse scheißkerl wichser hurensohn schlampe schlampen arschloch arsch fotze fresse verpiss hure
-mierda puta putas puto joder cabrón cabrones gilipollas coño hostia zorra pendejo""".split()
-SEXUAL = """tits boobs pussy cock cocks dick penis vagina clit cum horny naked nude nudes panties nipples nipple thighs
-crotch butt blowjob handjob orgasm porn sexy spank thrust erection masturbate jerks wank fuck fucking sex lick suck
-baiser bite chatte seins nichons poil nue nues sexe sucer cul
-ficken titten schwanz muschi nackt nackte geil blasen bumsen
-follarte follar tetas polla coño desnuda desnudas desnudo chupar culo desnudos""".split()
-GROUPS = """immigrants immigrant migrants foreigners refugees women gays lesbians jews muslims christians believers
-unbelievers blacks whites asians gypsies arabs mexicans disabled trans old people northerners southerners accent
-étrangers femmes immigrés arabes juifs musulmans homos réfugiés noirs
-ausländer frauen flüchtlinge juden muslime schwule behinderte asylanten türken
-inmigrantes mujeres extranjeros negros judíos musulmanes moros gitanos maricones refugiados""".split()
-HARMLESS = """node nodes benchmark pointer worker scheduler headers loaded suite bucket record invoice invoices warehouse
-farm shed valued clinic charity foundation training table insured handbook forbids policy panel section crest printed
-drum part test port intake shops report reports grants received committee counted envelope cover sheet numbers tie
-assets assessment analysis harassment health cancer control mistake""".split()
-
-# Patterns of a passage in lower case.
-_YOU = r"(?:you|your|yourself|u|ur|toi|tu|te|t'|ton|ta|vous|du|dich|dir|dein\w*|tú|tu|ti|te|eres)"
-PATTERNS = {
-    "threat": r"""\b(?:i|we|somebody|someone|they)(?:\s+(?:will|shall|'ll|would|am going to|ought to|should))+\s+(?:\w+\s+){0,2}?
-        (?:kill|shoot|beat|stab|burn|bury|smash|break|throw|hurt|strangle|run|come|hunt|drown|cut|put|crush|hang)\b.{0,40}\b(?:you|your|him|her|them|in the)\b
-        |\b(?:hang|kill|shoot|drown)\s+yourself\b|\bone eye open\b|\bput a bullet\b|\bwatch your back\b|\bwhere you (?:live|park|sleep)\b
-        |\bhope you (?:die|rot|burn)\b|\bdrop dead\b|\bspit on\b.{0,50}\bfire\b|\bdeserves? a beating\b
-        |\bcasser la (?:figure|gueule)\b|\bcrève\b|\bte (?:tuer|crever|buter)\b|\bverreck|\b(?:bring|schlag|mach)\w* dich (?:um|tot|fertig)\b
-        |\bpartir la cara\b|\bte (?:voy a )?mat(?:ar|o)\b|\bojalá te (?:mueras|pudras)\b|\bvon der brücke\b|\bpor la ventana\b""",
-    "directed": r"""\b(?:fuck|screw|damn)\s+(?:you|off|yourself|him|her|them|the|that|this)\b|\bfuck off\b|\bgo to hell\b|\bshut (?:your|the fuck|up)\b|\beat shit\b
-        |\bup your (?:arse|ass)\b|\bget lost\b|\bpiss off\b|\bgo fuck\b|\bpiece of shit\b|\bson of a\b
-        |\bva te faire\b|\bferme ta gueule\b|\bta gueule\b|\bnique\b|\bhalt die (?:fresse|klappe)\b|\bverpiss dich\b|\bleck mich\b
-        |\bvete a la\b|\bhijo de puta\b|\bque te (?:jodan|den)\b|\bcierra la boca\b""",
-    "demeaning": r"""\bwaste of (?:skin|space|oxygen|air)\b|\bbrains? (?:were|was)\b|\bsmarter (?:\w+ )?than (?:you|our|the|this|that)\b|\bsmarter doors\b
-        |\bmore thinking than\b|\bwould (?:not )?(?:miss|care about)\s+(?:you|him|her|them)\b|\bnobody (?:here )?would (?:miss|care)\b|\bstopped existing\b
-        |\byour mother\b|\bbest part of you\b|\bback (?:in|to) (?:the|their) (?:enclosure|cage|zoo|gutter)\b|\bsmell(?:s)? like\b|\b(?:you|he|she) (?:were|was|are|is) a mistake\b|\bwalk into the sea\b|\bdo us all a favou?r\b|\bhad (?:no|half a) brain\b|\bcould not (?:find|fill|spell|count)\b|\bnicer to look at\b
-        |\bcannot even count\b|\btoo (?:stupid|dumb)\b|\ba disgrace\b|\bnever (?:have )?been born\b|\bgood for nothing\b
-        |\bne devr\w+ pas avoir d'enfants\b|\bpersonne ne (?:pleurera|te regrettera)\b|\bcomme toi\b|\bne savent rien\b|\bbande de\b
-        |\bhier niemand vermissen\b|\bsolche wie (?:dich|du)\b|\bdu bist (?:und bleibst )?ein\b|\bin die schule lassen\b
-        |\bcomo tú\b|\becharía de menos\b|\bno debería tener hijos\b|\bpedazo de\b|\blo sabe toda\b|\btout le monde le sait\b|\beveryone (?:\w+ ){0,4}knows it\b""",
-    "dehumanising": r"""\b(?:shipped|thrown|kicked|driven|locked|rounded) (?:off|out|up)\b|\bbreed like\b|\bpoison(?:s|ing)? our\b|\blive off our\b
-        |\bworld would be (?:cleaner|better)\b|\bgo back (?:to )?where\b|\bcrawled out\b|\byour kind\b|\bthey all steal\b|\bruin everything\b|\baway from decent\b
-        |\bonly good for\b|\blike (?:their|the) gutters?\b|\b(?:are|is) (?:\w+ )?(?:vermin|filth|scum|thieves|animals|parasites|rats|lice|trash|criminals|subhuman)\b
-        |\bborn (?:thieves|criminals|stupid|liars)\b|\bsubhuman\b|\bbelong in (?:cages|camps|zoos|prison)\b|\b(?:do not|don't|never) deserve to\b|\bsterili[sz]ed\b|\bnothing more\b|\bnot sorry for saying\b|\bnever have let\b|\bevery one of\b.{0,30}\bdeserves\b|\bon my desk\b|\bshould (?:all )?be (?:locked|shot|banned|deported|gassed|thrown|shipped)\b|\bno wonder\b.{0,60}\baround\b
-        |\bsont des\b|\bqu'on les jette\b|\bretourne\w* (?:à|dans|chez)\b|\bgehören (?:an|bis|in|raus|nicht)\b|\brausgeworfen\b|\bsind (?:ungeziefer|abschaum|parasiten)\b
-        |\bson (?:basura|ratas|escoria|una plaga|parásitos)\b|\bechar(?:los|las) a\b|\bno sirven\b|\bse vayan a\b""",
-    "explicit": r"""\bsuck (?:my|his)\b|\b(?:fuck|baise|spank|lick|grab|screw) (?:you|her|him|my|that)\b|\bbend over\b|\bjerks? off\b|\bhaving sex\b|\bsend (?:me )?(?:your )?nudes\b
-        |\bwithout panties\b|\bmy tongue on\b|\b(?:naked|wet|hot) (?:\w+ )?(?:pics|thighs|tits|photos|pussy|crotch|butt|nipples|cock|dick)\b|\bdream about your\b|\buntil you scream\b
-        |\bshow (?:us|me) your\b|\bso horny\b|\bte baiser\b|\bphotos? de toi\b|\bà poil\b|\bdich .{0,30}ficken\b|\bnacktbilder\b|\bfollarte\b|\bfotos? (?:tuyas )?desnud""",
-    "name_calling": rf"""\b{_YOU}\s+(?:are|write|sound|look|talk|really|es|bist|eres)\b|\b(?:a|an|un|une|ein|such a|what a|only a|this|that|these|diese\w*|ces|sale|sucio)\s+\w+\s*(?:like you|would|$|[,.!])|\blike you\b|\bmust be an?\b|\bis an?\b|\bist ein\w*\b|\bes una?\b""",
+# Words by class, in lower case, several languages together. Endings are taken off by rule.
+CLASSES = {
+    # Who is spoken to.
+    "you": """you your yours yourself yourselves ya u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner deinem deinen
+        euch euer eure ihr tú ti tus usted ustedes vosotros vuestro contigo ты тебя тебе тобой твой твоя вы вас вам""",
+    # Who is spoken of.
+    "they": """he him his she her hers they them their theirs someone somebody anyone anybody everyone everybody nobody people person man men
+        woman guy guys folks boy girl kid boss colleague neighbour neighbor brother sister mother mom mum mama father daughter son wife husband family il elle ils
+        elles eux leur leurs lui gens personne homme mère père fille fils soeur frère er sie ihn ihm ihnen leute jemand niemand mann
+        mutter vater tochter sohn schwester bruder él ella ellos ellas gente alguien nadie hombre mujer madre padre hija hijo он она они их его её люди""",
+    "speaker": "i me my myself we us our je moi mon ma mes nous notre ich mich mir mein meine wir uns unser yo mi mis nosotros nuestro я мы нас",
+    "be": """am are is was were be been being become remain look sound smell seem act behave es est sont êtes sommes était étaient bist ist sind
+        seid war waren bleibst son eres soy somos era eran parece pareces""",
+    "modal": """will shall would should must ought need gonna wanna let can could might may going vais vas va allons vont veux devrais devrait devraient faut peux
+        werde wirst wird werden will soll sollte sollten sollst muss müssen müsste kann könnte voy vas vamos van debe deben debería deberían hay quiero puedo""",
+    "violence": """kill shoot stab strangle choke beat punch smash hang drown murder slaughter butcher lynch hurt crush bury burn slit whip cripple maim torture behead
+        execute massacre break bash batter gut skin slap kick tuer tue buter crever étrangler égorger frapper cogner pendre noyer brûler fracasser péter casser massacrer
+        töten töte umbringen umlegen erschießen erschlagen erwürgen abstechen aufhängen ertränken verprügeln verbrennen schlagen schlage prügeln
+        matar mato mate mataré golpear apuñalar ahorcar ahogar quemar degollar reventar romper partir pegar убью убить зарежу""",
+    "harm": """die rot suffer bleed choke perish drown burn hang crash mourir meurs crève crèves crevez pourrir sterben stirb verrecken verreck verrecke krepieren
+        krepier ersticken morir muere mueras mueran muérete pudrirte pudras pudran revienta revientes сдохни умри""",
+    "wish": "hope wish pray deserve deserves hopefully espère souhaite mérite mérites hoffe hoffentlich wünsche verdienst verdient verdienen ojalá espero deseo merece mereces merecen надеюсь",
+    "insult": """idiot moron imbecile cretin halfwit dimwit nitwit dunce dumbass dumbo retard loser scumbag dirtbag lowlife creep freak pervert degenerate fool clown jerk
+        coward liar thief bastard bitch hag slob dork prat git muppet numpty pillock plonker tosspot bellend wanker twat bozo buffoon simpleton crybaby traitor
+        crétin abruti débile taré imbécile raclure ordure minable bouffon connard connasse salaud salope bâtard pouffiasse idiote nul tocard clochard lâche menteur crevure
+        idiot idiotin trottel versager penner dummkopf depp vollpfosten missgeburt dreckschwein drecksau arschloch schlampe hurensohn wichser mistkerl schwachkopf
+        blödmann miststück feigling lügner bastard spast vollidiot imbécil idiota inútil estúpido tonto payaso zorra cabrón gilipollas pendejo mamón bastardo cobarde
+        mentiroso desgraciado malnacido subnormal retrasado canalla sinvergüenza идиот дурак дебил урод тварь сволочь придурок кретин cretino stronzo""",
+    "degrading": """stupid dumb ugly fat lazy filthy dirty smelly stinking disgusting repulsive pathetic worthless useless brainless spineless gutless clueless braindead
+        greasy inbred retarded vile miserable incompetent inferior subhuman primitive savage revolting hideous moronic idiotic imbecilic bête moche gros grosse sale dégoûtant
+        puant laid inutile stupide pathétique minable dumm doof hässlich fett faul dreckig widerlich ekelhaft eklig wertlos nutzlos blöd stinkend erbärmlich
+        minderwertig feo fea gordo vago sucio asqueroso repugnante patético apestoso estúpida inútiles тупой тупая жирный""",
+    "vermin": """vermin pig swine cow schwein cerdo cochon porc rat cockroach roach lice maggot parasite leech scum filth trash garbage rubbish waste plague disease cancer ape monkey animal dog beast insect worm
+        savages subhumans vermine rat cafard parasite racaille déchet poubelle chien singe animal ungeziefer ratte kakerlake parasit abschaum dreck müll
+        abfall affe tier untermensch hund rata cucaracha parásito escoria basura gusano plaga alimaña mono animal perro отбросы мусор""",
+    "group": """immigrant migrant foreigner refugee jew muslim christian catholic hindu black white asian arab mexican african gypsy roma gay lesbian trans transgender
+        homosexual queer disabled cripple women woman females blacks whites arabs jews muslims gays lesbians islam poor homeless peasants natives indians
+        chinese turks pakistanis poles americans russians étranger immigré migrant réfugié arabe juif musulman noir homo pédé gitan femmes handicapé ausländer
+        flüchtling jude juden muslim moslem türke türken schwule schwul lesbe behinderte frauen asylant zigeuner neger schwarze inmigrante extranjero negro judío
+        musulmán moro gitano maricón mujeres refugiado mexicano discapacitado евреи мусульмане мигранты чурки""",
+    "slur": """nigger nigga faggot fag dyke tranny spic chink gook kike wetback raghead paki towelhead coon wop darkie redskin negro bougnoule youpin tarlouze tapette pédale
+        kanake kanacke kümmeltürke schwuchtel tunte sudaca maricón bollera moro panchito хач жид пидор""",
+    "expel": """deport expel ban lock jail cage ship throw kick gas remove exterminate eradicate eliminate wipe purge sterilise sterilize castrate banish evict exclude cleanse
+        expulser jeter virer renvoyer chasser enfermer exterminer éliminer abschieben rauswerfen rausgeworfen vergasen einsperren ausrotten vernichten entsorgen rausschmeißen
+        expulsar echar deportar encerrar eliminar exterminar fusilar tirar""",
+    "profane": """fuck fucking fucked fucker motherfucker shit shitty shithead bullshit dipshit dickhead asshole arsehole arse ass cunt twat prick wanker bitch slut whore
+        bollocks bugger goddamn damn douchebag douche jackass crap merde foutre enculé connard connasse con conne salope pute putain bordel chier cul couilles
+        scheiße scheisse scheiß arsch arschloch fotze fresse hure wichser verpiss verpisst kacke fick ficken gefickt mierda puta puto joder coño hostia cojones carajo chingar chinga verga
+        pinche culo cazzo merda stronzo vaffanculo puttana porra caralho foda блять сука хуй пизда ебать ебаный kurwa""",
+    "sexual": """tits boobs pussy cock dick penis vagina clit cum horny naked nude nudes topless panties nipple crotch butt blowjob handjob orgasm porn porno sexy spank
+        erection masturbate masturbating sex lick suck hump thighs cleavage boner dildo threesome anal fuck screw bang seins nichons bite chatte queue poil nue sexe sucer lécher
+        baiser bander jouir culotte titten schwanz muschi nackt nackte nackten nacktbilder geil blasen lecken bumsen vögeln ficken wichsen follar follarte tetas polla desnuda desnudo
+        desnudas desnudos chupar lamer coger cachondo cachonda bragas trasero порно секс голая сиськи""",
+    "body": "face head skull teeth neck throat legs bones knees ribs nose jaw brains gueule tête visage dents jambes gorge figure fresse gesicht schädel zähne kopf hals cara cabeza boca dientes cuello piernas",
+    "go": "go get piss shut crawl drop back off away va dégage casse ferme tire geh hau halt verpiss raus vete lárgate cállate cierra иди пошёл заткнись",
+    "never": "never nobody none nothing not no only jamais personne rien nie niemand nichts nur kein nunca nadie nada solo sólo",
+    "hate": "hate despise loathe detest déteste hais hasse verachte odio detesto desprecio ненавижу",
 }
-NEGATIVE = {
-    "self": r"\b(?:my (?:own )?(?:stupid|bloody|silly) (?:mistake|error|fault)|i include myself|bother you again|thank you|sorry for|am i)\b",
-    "literal": r"\b(?:as planned|a part name|test suite|stuck worker|slave node|master node|idiot-proof|hate speech|sexual (?:health|harassment)|sexually explicit messages|breast cancer|penetration test|vermin control|pig farm|hardcore test|mortality table)\b",
+#: Insults and obscenities of languages whose words aren't set apart.
+UNSPACED = "傻逼 傻子 白痴 蠢货 蠢猪 混蛋 王八蛋 操你 他妈 妈的 去死 滚蛋 垃圾人 贱人 婊子 杀了你 弄死你 死ね 馬鹿 くたばれ 殺す 개새끼 씨발 병신"
+# Words of trades, of care and of reports, by which a passage is likely about something else.
+TECHNICAL = """algorithm server database network node process thread memory disk cache queue cluster scheduler kernel driver module function variable pointer compiler
+    benchmark pipeline script parser index record header file folder backup log port cable hardware software firmware router bug patch release version deployment test testing
+    machine engine pump valve pressure steel concrete drill bolt welding invoice payment budget asset shares portfolio fund balance audit tax insurance premium capital
+    serveur base données réseau fichier rapport facture datei netzwerk speicher rechnung bericht prozess servidor datos archivo factura informe proceso"""
+CARE = """patient patients doctor nurse clinic hospital medical surgery surgeon diagnosis treatment therapy symptom symptoms screening vaccine infection tissue tumour tumor
+    pregnancy fertility reproductive contraception anatomy biology species farm farmer veterinary vet breed breeding livestock cattle zoo wildlife harvest crop pest pests
+    control museum painting sculpture exhibition patiente médecin hôpital santé traitement vétérinaire arzt klinik krankenhaus behandlung gesundheit tierarzt médico hospital
+    salud tratamiento veterinario"""
+REPORTING = """report reports reported policy policies training handbook harassment complaint complaints investigation tribunal court law article chapter study survey research
+    statistics awareness campaign forbids prohibits prohibited guideline guidelines moderation moderator filter definition example quote victim victims support charity
+    discrimination prevention règlement politique harcèlement plainte formation étude loi richtlinie belästigung beschwerde schulung studie gesetz verbot política acoso queja
+    formación estudio ley prevención"""
+SORRY = "sorry apologise apologize apologies apology thanks thank grateful please kindly désolé merci pardon entschuldigung danke bitte verzeihung perdón gracias disculpa"
+
+#: Idioms of insult, threat and exclusion, by language.
+IDIOMS = """waste of space|waste of air|waste of oxygen|good for nothing|go to hell|rot in hell|burn in hell|drop dead|shut up|shut your mouth|get lost|piss off|fuck off
+    |screw you|piece of shit|piece of crap|son of a bitch|your kind|go back to your|back where you came|know where you live|watch your back|you will regret|you'll regret
+    |you will pay for|make you pay|never been born|better off dead|better off without you|better place without|nobody likes you|nobody wants you|nobody needs you|nobody would miss
+    |no one would miss|make me sick|too stupid|too dumb|dumb as|half a brain|no brain|less than human|not even human|breed like|take our jobs|steal our jobs|taking over our
+    |out of our country|kill yourself|hang yourself|i will find you|i'll find you|get what you deserve|got what you deserve|disgrace to|shame on you|who do you think you are|up your ass|up your arse
+    |ta gueule|va te faire|nique ta|fils de pute|bande de|espèce de|casse-toi|dégage|va crever|dans ton pays|rentre chez toi|sale race|tu vas voir|me dégoûte|bon à rien|bonne à rien|ne vaux rien
+    |personne ne t'aime|tu ne sers à rien|honte à toi|va mourir|on va te trouver
+    |halt die fresse|halt die klappe|halt's maul|halt dein maul|fick dich|verpiss dich|leck mich|geh sterben|mach dich fertig|bring dich um|bringe dich um|finde dich|zu blöd|zu dumm|geh zurück
+    |ausländer raus|raus aus unserem|nichts wert|keiner mag dich|niemand vermisst|niemand braucht dich|hau ab|schäm dich|wirst du bereuen|du gehörst|gehören eingesperrt
+    |hijo de puta|vete a la mierda|que te jodan|que te den|cállate|cierra la boca|das asco|no vales nada|no sirves para nada|pedazo de|vuelve a tu país|fuera de nuestro|te vas a enterar
+    |ojalá te|muérete|nadie te quiere|nadie te echa|vergüenza me darías|te voy a encontrar|te arrepentirás|no vale nada"""
+#: Words that make someone one of a kind, before who is spoken to.
+ALIKE = "like comme como wie"
+#: Forms that are everyday words of another language than that of the class's word.
+EVERYDAY = "con gross queue retarde retarder bitte gut gute guten sale sales bite bites locks lock casse cage renvoyer partir retire nul nulle skin base back drop off tire mate animal test fall"
+#: German words by which "die" is the article.
+GERMAN = "der das und ist nicht ein eine einen mit für den dem zu von auf im wir ich es sind wird werden nach bei aus wie als auch sie"
+
+#: Letters for classes in a passage's class string.
+LETTERS = {
+    "you": "Y", "they": "T", "speaker": "I", "be": "B", "modal": "M", "violence": "V", "harm": "D", "wish": "H", "insult": "N", "degrading": "A", "vermin": "R", "group": "G",
+    "slur": "L", "expel": "E", "profane": "P", "sexual": "S", "body": "O", "go": "C", "never": "Z", "hate": "J",
+}
+#: Grammar over class strings, in which any other word is a dot.
+PATTERNS = {
+    "threat": r"I[^IYTG]{0,5}V[^I]{0,5}?[YTGOL]|IM?.?V[YTO]|IM.{0,2}[YT].{0,2}V|V.{0,2}Y.{0,3}O|Y.{0,3}M.{0,3}(?:D|V)",
+    "curse": r"H.{0,4}[YTGL].{0,4}[DV]|[DVC]Y(?!.{0,6}I)|(?:^|[.])D$|H.{0,2}DY?",
+    "directed": r"[PC]{1,2}.?Y|[PC].?[TG]|C.{0,3}P|P.{0,1}C|Y.{0,3}P.{0,2}[NRP]|P.{0,2}V?Y",
+    "you_are": r"YB.{0,4}[NARLP]|Y.?.?[NRL]|[NAL]{1,2}.{0,3}[YN]|BY.{0,3}[NARLP]|[NR].{0,2}Y|YM.{0,3}[NA]",
+    "they_are": r"[TGL]B.{0,4}[NARL]|[TG].{0,2}[NR](?!.{0,3}I)|[NAR].{0,3}[TG]B|[AP].{0,1}[GLT]",
+    "group_is": r"[GL].{0,3}B.{0,5}[NARPDV]|[GL].{0,6}[RL]|A.{0,2}[GL]|R.{0,4}[GL]|[GL]{1,2}.{0,4}Z.{0,4}[NARSV]|J.{0,4}[GL]",
+    "exclusion": r"[GLTR].{0,5}M.{0,4}[EVD]|[GLR].{0,4}B?.{0,3}E|E.{0,5}[GLR]|M.{0,3}[EV].{0,4}[GLR]|C.{0,4}[GL]|Z.{0,3}M.{0,4}[GL]|[GLT].{0,4}H.{0,4}[DVEZ]",
+    "explicit": r"[IY].{0,6}S.{0,4}[YITS]|S.{0,3}[YIT].{0,6}S|[YIT].{0,3}S.{0,5}S|V.{0,3}Y.{0,4}S|S.{0,6}Y|I.{0,3}M.{0,3}S|PS|SP|S.{0,2}S.{0,2}S|I.{0,3}M.{0,2}PY",
+    "scorn": r"Y.{0,8}Z.{0,6}[NADR]|Z.{0,8}Y.{0,5}[DNA]|[NA].{0,3}[NA].{0,6}[YTGI]|J.{0,3}[YT]|Y.{0,10}[AN].{0,3}[AN]",
 }
-_PATTERNS = {k: re.compile("".join(map(str.strip, p.splitlines()))) for k, p in (PATTERNS | NEGATIVE).items()}
+_PATTERNS = {k: re.compile(v) for k, v in PATTERNS.items()}
 
 #: The voters, for abuse and against it, in the order of their bits.
-FOR = ("insult", "profane", "sexual", "hidden", "threat", "directed", "demeaning", "dehumanising", "explicit", "called", "group")
-AGAINST = ("self", "literal", "technical", "impersonal")
+FOR = ("insult", "profane", "sexual", "slur", "hidden", "idiom", "alike", *PATTERNS)
+AGAINST = ("technical", "care", "reporting", "sorry", "impersonal", "self")
 VOTERS = FOR + AGAINST
 
-_KINDS = {"insult": frozenset(INSULTS), "profane": frozenset(PROFANE), "sexual": frozenset(SEXUAL), "group": frozenset(GROUPS)}
-_LEXICON = _KINDS["insult"] | _KINDS["profane"] | _KINDS["sexual"]
-_TECHNICAL = frozenset(HARMLESS)
-_KIND_WORDS = frozenset().union(*_KINDS.values())
+# Endings by which a word's form differs from the one in the lists.
+_ENDINGS = "s es n en er ern em e d ed ing in innen ly est x a as o os ne nes t te me se le los las r ent é ée és ées ant ando iendo".split()
+_HANGING = frozenset("te me se le los las".split())
+_ALL_CLASSES: dict[str, set[str]] = {}
+for _name, _text in CLASSES.items():
+    for _word in _text.split():
+        _ALL_CLASSES.setdefault(_word, set()).add(_name)
+#: Of several classes of a word the first of these gives its letter.
+_ORDER = ("slur", "insult", "profane", "sexual", "vermin", "degrading", "violence", "expel", "harm", "group", "hate", "wish", "you", "speaker", "they", "modal", "body", "go", "never", "be")
+_GRAMMAR = frozenset(("you", "they", "speaker", "be", "modal", "go", "never", "body"))
+_LEXICON = frozenset(w for name in ("insult", "degrading", "profane", "sexual", "slur", "vermin") for w in CLASSES[name].split() if len(w) > 2)
+_SIGNAL = frozenset("NAPSLRVEDJ")
+_EVERYDAY, _GERMAN = frozenset(EVERYDAY.split()), frozenset(GERMAN.split())
+_ABOUT = {name: frozenset(text.split()) for name, text in (("technical", TECHNICAL), ("care", CARE), ("reporting", REPORTING), ("sorry", SORRY))}
+_IDIOM = re.compile("|".join(rf"(?<!\w){re.escape(x.strip())}(?!\w)" for x in IDIOMS.split("|")))
+_ALIKE = re.compile(rf"(?<!\w)(?:{'|'.join(ALIKE.split())}) (?:you|him|her|them|that lot|toi|vous|lui|eux|dich|dir|du|ihn|ihr|tú|vosotros|él|ellos)(?!\w)")
+# Of each idiom and likeness a word, so that most passages need no search.
+_RAREST = frozenset(max(re.findall(r"[^\W\d_]+", x), key=len) for x in IDIOMS.split("|")) | frozenset(ALIKE.split())
+_UNSPACED = regex.compile("|".join(UNSPACED.split()))
 _ZEROS = repeat(0.0)
 _ASCII_DIGITS = frozenset("0123456789")
-# Words that speak to or of a person or people.
-_PEOPLE = _KINDS["group"] | frozenset(
-    """you your yourself u he him his she her they them their we us our who whoever somebody someone nobody people person man woman author reviewer clerk analyst
-    administrator auditor expert colleague boss desk team shift kind those everyone anybody one mother father single ostrelites
-    toi tu te t ton ta vous tes elle elles ils gens personne celui ceux moi
-    du dich dir dein deine sie er wer solche leute jemand niemand
-    tú tu ti te tus eres ellos ellas gente quien nadie alguien""".split()
-)
-# Words that are in many passages, so that others of a pattern are looked for.
-_FREQUENT = frozenset("i a an am are is it in to of on the this that they them her him he she you your u ur me my we us our will would for de des la les dans que qu te toi tu du dich dir die ein un une son sind no a".split())
-
-
-def _is_gap(item: tuple) -> bool:
-    """Whether no letter can be on this side of a neighbour in a parsed pattern."""
-    op, value = item
-    if op is _sre.AT:
-        return value is _sre.AT_BOUNDARY
-    if op is _sre.LITERAL:
-        return not re.match(r"\w", chr(value))
-    if op is _sre.IN:
-        return value == [(_sre.CATEGORY, _sre.CATEGORY_SPACE)]
-    return op is _sre.MAX_REPEAT and value[0] > 0 and len(value[2]) == 1 and _is_gap(value[2][0])
-
-
-def needed(parsed, left: bool = False, right: bool = False) -> set[tuple[bool, str, bool]] | None:
-    """Runs of letters one of which is in whatever a parsed pattern matches, and whether a word begins and ends
-    with it; None if there is no such set. Of several sets that of longer and less frequent runs is taken."""
-    items, sets, k = list(parsed), [], 0
-    while k < len(items):
-        op, value = items[k]
-        before, first = (_is_gap(items[k - 1]) if k else left), k
-        k += 1
-        if op is _sre.LITERAL and chr(value).isalpha():
-            while k < len(items) and items[k][0] is _sre.LITERAL and chr(items[k][1]).isalpha():
-                k += 1
-            after = _is_gap(items[k]) if k < len(items) else right
-            sets.append({(before, "".join(chr(x) for _, x in items[first:k]), after)})
-            continue
-        after = _is_gap(items[k]) if k < len(items) else right
-        if op is _sre.BRANCH:
-            each = [needed(x, before, after) for x in value[1]]
-            sets.append(None if None in each else set().union(*each))
-        elif op is _sre.SUBPATTERN:
-            sets.append(needed(value[3], before, after))
-        elif op is _sre.MAX_REPEAT and value[0] > 0:
-            sets.append(needed(value[2]))
-    whole = [x for x in sets if x]
-    return max(whole, key=lambda x: (not any(w in _FREQUENT for _, w, _ in x), min(len(w) for _, w, _ in x), -len(x)), default=None)
-
-
-def _stems(pattern: re.Pattern) -> re.Pattern:
-    """A pattern for words: one of them is in whatever ``pattern`` matches."""
-    letter = r"[^\W\d_]"
-    stems = sorted(needed(_parser.parse(pattern.pattern)))
-    return re.compile("|".join(f"(?<!{letter})" * a + w + f"(?!{letter})" * b for a, w, b in stems))
-
-
-# Calling names counts with a word of a lexicon only, so nothing need be looked for.
-_STEMS = {name: (1 << k, _stems(p)) for k, (name, p) in enumerate(_PATTERNS.items()) if name != "name_calling"}
-
-
-class _May(dict):
-    """Bits of the patterns that a passage with a word may match; one none of whose words has the bit doesn't."""
-
-    def __missing__(self, word: str) -> int:
+
+
+def classes_of(word: str) -> frozenset[str]:
+    """Classes of a word as it is, else without its ending; grammatical words only as they are."""
+    if word in _EVERYDAY:
+        return frozenset()
+    own = _ALL_CLASSES.get(word)
+    if own:
+        return frozenset(own)
+    if "'" in word or "’" in word:  # an elided article or pronoun before a word
+        return classes_of(re.split("['’]", word)[-1])
+    if len(word) > 3:
+        for ending in _ENDINGS:
+            if word.endswith(ending):
+                bare = word[: -len(ending)]
+                # A participle's verb, a verb that a pronoun hangs on, else what an ending with or without e leaves.
+                forms = (bare + "er",) if ending[0] == "é" else (bare,) if ending in _HANGING else (bare, bare + "e", bare[:-1] if bare[-1:] == bare[-2:-1] else bare)
+                for form in forms:
+                    if len(form) > 2 and len(form) + len(ending) > 3 + (len(form) < 4 and len(ending) < 2 and ending != "s") and (found := _ALL_CLASSES.get(form, set()) - _GRAMMAR):
+                        return frozenset(found)
+    if not word.isascii() and _UNSPACED.search(word):
+        return frozenset(("insult", "you"))
+    return frozenset()
+
+
+class _Letters(dict):
+    """The letter of a word's first class; a dot for words of none. What was seen is remembered."""
+
+    def __missing__(self, word: str) -> str:
         if len(self) >= PLAIN_WORDS:
             self.clear()
-        self[word] = bits = sum(bit for bit, stems in _STEMS.values() if stems.search(word))
-        return bits
+        found = classes_of(word)
+        self[word] = letter = next((LETTERS[c] for c in _ORDER if c in found), ".")
+        return letter
 
 
-_MAY = _May()
+_LETTER = _Letters()
+
+
+def class_string(words: list[str]) -> str:
+    """The letters of a passage's words."""
+    letters = "".join(map(_LETTER.__getitem__, words))
+    if "J" in letters:  # who hates to do something hates nobody
+        letters = "".join("." if c == "J" and after == "to" else c for c, after in zip(letters, [*words[1:], ""]))
+    if "D" in letters and "die" in words and not _GERMAN.isdisjoint(words):
+        letters = "".join("." if w == "die" else c for w, c in zip(words, letters))
+    return letters
 
 
 # Ends of passages besides a full stop and a blank.
@@ -202,17 +240,22 @@ _STRETCHED = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<![\w'’])[a-zà-ÿ](?: [a-zà-ÿ]){2,}(?![\w'’])")
 _SINGLE = frozenset("bcdfghjklmnpqrstuvwxz")
 _LEET = str.maketrans("01345789$@!+|€", "oieastbgsaitle")
+_LONGEST = max(map(len, _LEXICON))
+
+
+def _lexical(word: str) -> bool:
+    return word in _LEXICON or len(word) > 4 and bool(classes_of(word) & {"insult", "degrading", "profane", "sexual", "slur"})
 
 
 @lru_cache(maxsize=1 << 18)
 def unveil(token: str) -> str | None:
     """The lexicon's word that a token hides by digits, marks, stretching or separators, if it does."""
-    if sum(c.isdigit() for c in token) > 3 or len(token) > 40 or token in _LEXICON:
+    if not any(c.isalpha() for c in token) or _lexical(token):
         return None
     stripped = regex.sub(r"[._\-]", "", token)
     for form in (stripped, stripped.translate(_LEET), stripped.replace("!", "l").replace("1", "l").translate(_LEET)):
         for word in (form, regex.sub(r"(.)\1{2,}", r"\1\1", form), regex.sub(r"(.)\1+", r"\1", form), regex.sub(r"(.)\1{2,}", r"\1", form)):
-            if word in _LEXICON and (word != token) and (len(word) > 2):
+            if word != token and 2 < len(word) <= _LONGEST + 5 and _lexical(word):
                 return word
     if "*" in stripped and len(stripped) > 3 and stripped[0] != "*":
         shape = regex.compile(regex.escape(stripped.translate(_LEET)).replace(r"\*", r"\p{L}"))
@@ -239,9 +282,16 @@ class Reader:
             text = text.replace(end, ". ")
         for passage in text.split(". "):
             if hints and any(h in passage for h in hints):
-                yield self.read(passage)
-            elif words := _TOKEN.findall(passage):
-                yield passage, words, 0
+                passage, words, hidden = self.read(passage)
+            else:
+                words, hidden = _TOKEN.findall(passage), 0
+            if len(words) <= WINDOW:
+                if words:
+                    yield passage, words, hidden
+            else:
+                for at in range(0, len(words) - WINDOW // 2, WINDOW // 2):
+                    part = words[at : at + WINDOW]
+                    yield " ".join(part), part, hidden
 
     def _hints(self, text: str) -> list[str]:
         """Strings of the text that may hide a word. Words seen to be plain aren't looked at again."""
@@ -262,7 +312,7 @@ class Reader:
         hidden = 0
         if _SPACED.search(passage):
             joined = _SPACED.sub(lambda m: m[0].replace(" ", ""), passage)
-            if not _LEXICON.isdisjoint(_TOKEN.findall(joined)):
+            if any(map(_lexical, _TOKEN.findall(joined))) and not any(map(_lexical, _TOKEN.findall(passage))):
                 hidden, passage = 1, joined
 
         def show(m: re.Match) -> str:
@@ -279,32 +329,33 @@ class Reader:
     @staticmethod
     def votes(passage: str, words: list[str], hidden: int) -> int:
         """A bit for each voter that votes."""
-        there = set(words)
-        may = reduce(or_, map(_MAY.__getitem__, there), 0)
-        if not hidden and not may and there.isdisjoint(_LEXICON):
+        letters = class_string(words)
+        there, own = set(letters), set(words)
+        searched = any(not _RAREST.isdisjoint(w.replace("’", "'").replace("-", "'").split("'")) for w in own) if "'" in passage or "’" in passage or "-" in passage else not _RAREST.isdisjoint(own)
+        idiom = searched and bool(_IDIOM.search(passage))
+        alike = searched and bool(_ALIKE.search(passage))
+        if not hidden and not idiom and not alike and there.isdisjoint(_SIGNAL):
             return 0
-        insult, profane = not there.isdisjoint(_KINDS["insult"]), not there.isdisjoint(_KINDS["profane"])
-        group = not there.isdisjoint(_KINDS["group"])
-        found = {name: bool(may & bit and _PATTERNS[name].search(passage)) for name, (bit, _) in _STEMS.items()}
-        cast = {
-            "insult": insult,
-            "profane": profane,
-            "sexual": not there.isdisjoint(_KINDS["sexual"]),
+        about = {name: len(own & listed) for name, listed in _ABOUT.items()}
+        cast = {name: bool(p.search(letters)) for name, p in _PATTERNS.items()} | {
+            "insult": "N" in there or "A" in there,
+            "profane": "P" in there,
+            "sexual": "S" in there,
+            "slur": "L" in there,
             "hidden": bool(hidden),
-            "threat": found["threat"],
-            "directed": found["directed"],
-            "demeaning": found["demeaning"],
-            "dehumanising": found["dehumanising"] and (group or insult or not there.isdisjoint(_PEOPLE)),
-            "explicit": found["explicit"],
-            "called": (insult or profane) and bool(_PATTERNS["name_calling"].search(passage)),
-            "group": group and (insult or profane or found["dehumanising"]) and len(there & _TECHNICAL) < 2,
-            "self": found["self"],
-            "literal": found["literal"],
-            "impersonal": there.isdisjoint(_PEOPLE),
-            "technical": len(there & _TECHNICAL) >= 2 and not found["threat"] and not found["directed"],
+            "idiom": idiom,
+            "alike": alike,
+            "technical": about["technical"] >= 2,
+            "care": about["care"] >= 1,
+            "reporting": about["reporting"] >= 1,
+            "sorry": about["sorry"] >= 1,
+            # An insult is a person by itself.
+            "impersonal": there.isdisjoint("YTGILN") and not idiom,
+            # Insults that speakers say of themselves.
+            "self": "I" in there and there.isdisjoint("YTGLS") and not idiom,
         }
         mask = sum(1 << k for k, name in enumerate(VOTERS) if cast[name])
-        return mask if mask & ((1 << len(FOR)) - 1) or cast["self"] or cast["literal"] else 0
+        return mask if mask & ((1 << len(FOR)) - 1) else 0
 
 
 class LabelModel:
@@ -350,11 +401,34 @@ class LabelModel:
         return float(self._posterior(np.array([[mask >> k & 1 for k in range(len(VOTERS))]], dtype=float))[0])
 
 
-def features(words: list[str]) -> list:
-    """Words, pairs of words and the kinds of words of a passage; numbers count as one."""
+def features(words: list[str], mask: int) -> list:
+    """Words, pairs of words, pairs of the classes of near words and the voters of a passage; numbers count as one."""
     words = _numbers_alike(words)
-    kinds = [f"<{k}>" for w in words if w in _KIND_WORDS for k, s in _KINDS.items() if w in s]
-    return [*words, *zip(words, words[1:]), *kinds]
+    return [*words, *zip(words, words[1:]), *(class_pairs(words) if mask else ()), *voters_of(mask)]
+
+
+@lru_cache(maxsize=1 << 12)
+def voters_of(mask: int) -> tuple[str, ...]:
+    return tuple(f"[{name}]" for k, name in enumerate(VOTERS) if mask >> k & 1)
+
+
+def class_pairs(words: list[str]) -> list[str]:
+    """Each class and each two classes that follow one another with at most four words between, once a passage.
+
+    Only looked at where a voter votes."""
+    letters = class_string(words)
+    at = [k for k, c in enumerate(letters) if c != "."]
+    signal = [k for k in at if letters[k] in _SIGNAL]
+    if not signal:
+        return []
+    found = {f"<{letters[k]}>" for k in signal}
+    for x, a in enumerate(at):
+        for b in at[x + 1 :]:
+            if b - a > 5:
+                break
+            if letters[a] in _SIGNAL or letters[b] in _SIGNAL:
+                found.add(f"<{letters[a]}{letters[b]}>")
+    return sorted(found)
 
 
 def _numbers_alike(words: list[str]) -> list[str]:
@@ -362,22 +436,23 @@ def _numbers_alike(words: list[str]) -> list[str]:
 
 
 class Linear(dict):
-    """A linear classifier: weights by feature, 0 for any other. A word has the weights of its kinds, too."""
+    """A linear classifier: weights by feature, 0 for any other."""
 
     bias = 0.0
 
-    def logit(self, words: list[str]) -> float:
+    def logit(self, words: list[str], mask: int) -> float:
         words = _numbers_alike(words)
-        return self.bias + sum(map(self.get, words, _ZEROS)) + sum(map(self.get, zip(words, words[1:]), _ZEROS))
+        own = self.bias + sum(map(self.get, words, _ZEROS)) + sum(map(self.get, zip(words, words[1:]), _ZEROS))
+        return own + (sum(map(self.get, (*class_pairs(words), *voters_of(mask)), _ZEROS)) if mask else 0.0)
 
 
-def train(rows: list[tuple[list[str], float, float]], rounds: int = 12, decay: float = 2e-5, seed: int = 3) -> Linear:
-    """Logistic regression on ``(words, posterior, weight)`` by adaptive gradient steps."""
+def train(rows: list[tuple[list[str], int, float, float]], rounds: int = 12, decay: float = 2e-5, seed: int = 3) -> Linear:
+    """Logistic regression on ``(words, mask of voters, posterior, weight)`` by adaptive gradient steps."""
     index: dict = {}
     seen: dict = {}
     coded = []
-    for words, _, _ in rows:
-        own = features(words)
+    for words, mask, _, _ in rows:
+        own = features(words, mask)
         coded.append(own)
         for f in own:
             seen[f] = seen.get(f, 0) + 1
@@ -389,7 +464,7 @@ def train(rows: list[tuple[list[str], float, float]], rounds: int = 12, decay: f
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         for k in rng.permutation(len(rows)):
-            at, (_, y, weight) = ids[k], rows[k]
+            at, (_, _, y, weight) = ids[k], rows[k]
             z = bias + w[at].sum()
             e = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) * weight
             grad = e + decay * w[at]
@@ -398,8 +473,6 @@ def train(rows: list[tuple[list[str], float, float]], rounds: int = 12, decay: f
             gb += e * e
             bias -= 0.3 * e / math.sqrt(gb)
     model = Linear({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3})
-    for word in _KIND_WORDS:
-        model[word] = model.get(word, 0.0) + sum(model.get(f"<{k}>", 0.0) for k, s in _KINDS.items() if word in s)
     model.bias = bias
     return model
 
@@ -421,7 +494,8 @@ class Detector:
             for r in each.orderBy(F.xxhash64("passage"), "passage").limit(MAX_TRAIN).collect():
                 _, words, _ = Reader.read(r.passage)
                 posterior = self.labels.posterior(r.mask) if r.mask else 0.0
-                rows.append((words, posterior, 0.3 + 1.4 * abs(posterior - 0.5)))
+                # That no voter votes says less than that voters are sure of harmlessness.
+                rows.append((words, r.mask, posterior, 0.3 + 1.4 * abs(posterior - 0.5) if r.mask else UNVOTED_WEIGHT))
         self.model = train(rows)
 
     @staticmethod
@@ -458,7 +532,7 @@ class Detector:
             for batch in batches:
                 scores = []
                 for text in batch.column("__text").to_pylist():
-                    worst = max((model.logit(words) for _, words, _ in reader.passages(text or "")), default=None)
+                    worst = max((model.logit(w, reader.votes(p, w, h)) for p, w, h in reader.passages(text or "")), default=None)
                     scores.append(0.0 if worst is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, worst)))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=schema.names)
 

@@ -177,7 +177,7 @@ def test_hidden_words_are_seen():
 
 def test_label_model_trusts_voters_that_agree():
     bit = {n: 1 << k for k, n in enumerate(abuse.VOTERS)}
-    both, alone, harmless = bit["profane"] | bit["called"], bit["insult"], bit["insult"] | bit["technical"] | bit["literal"] | bit["impersonal"]
+    both, alone, harmless = bit["profane"] | bit["you_are"], bit["insult"], bit["insult"] | bit["technical"] | bit["care"] | bit["impersonal"]
     model = abuse.LabelModel({both: 100, bit["profane"] | bit["directed"]: 80, alone: 30, harmless: 200})
     assert model.posterior(both) > 0.9 > model.posterior(alone) > model.posterior(harmless) < 0.1
     assert abuse.LabelModel({}).posterior(both) > 0.5

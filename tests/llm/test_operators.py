@@ -284,45 +284,32 @@ def test_abuse(spark):
     assert abuse.Detector(df.limit(0)).scores(df.limit(0), ["doc_id"]).count() == 0
 
 
-def matches_of(parsed):
-    """Strings for a parsed pattern in which every alternative occurs, those of one place at a time."""
-    from re import _constants as c
-
-    parts = []
-    for op, value in parsed:
-        if op is c.LITERAL:
-            parts.append([chr(value)])
-        elif op is c.BRANCH:
-            parts.append([x for alternative in value[1] for x in matches_of(alternative)])
-        elif op is c.SUBPATTERN:
-            parts.append(matches_of(value[3]))
-        elif op is c.MAX_REPEAT or op is c.MIN_REPEAT:
-            inner = matches_of(value[2])
-            parts.append(["".join([x] * value[0]) for x in inner] if value[0] else ["", *inner[: value[1]]])
-        elif op is c.IN:
-            kind, x = value[0]
-            parts.append([" " if x is c.CATEGORY_SPACE else "x"] if kind is c.CATEGORY else [chr(v) for k, v in value if k is c.LITERAL])
-        else:
-            parts.append([" " if op is c.ANY else ""])
-    base = [p[0] for p in parts]
-    return list(dict.fromkeys("".join([*base[:k], x, *base[k + 1 :]]) for k, p in enumerate(parts) for x in p)) or [""]
-
-
-def test_every_alternative_of_a_pattern_votes():
-    from re import _parser
-
-    tried = silent = 0
-    for name, pattern in abuse._PATTERNS.items():
-        for text in matches_of(_parser.parse(pattern.pattern)) if name != "name_calling" else ():
-            text = f"{text.strip()} ihr" if name != "dehumanising" else f"you {text.strip()} ihr"
-            if pattern.search(text):
-                tried += 1
-                _, words, hidden = abuse.Reader.read(text)
-                bit = 1 << abuse.VOTERS.index(name)
-                silent += not abuse.Reader.votes(text, words, hidden) & bit
-    assert tried > 300 and silent == 0
-    for text in ("go back to where you came from", "retourne dans ton pays", "nique ta", "te voy a matar", "te mato", "te buter", "ich mach dich fertig", "we will put him in the"):
-        assert abuse.Reader.votes(text, abuse.Reader.read(text)[1], 0), text
+@pytest.mark.parametrize(
+    ("text", "voter"),
+    [
+        ("i will kill you", "threat"), ("ich schlage dir die zähne ein", "threat"), ("je vais te tuer", "threat"), ("i hope you die", "curse"), ("ojalá te mueras", "curse"),
+        ("fuck you", "directed"), ("you are an idiot", "you_are"), ("du bist so dumm", "you_are"), ("the migrants are parasites", "group_is"), ("les migrants sont des rats", "group_is"),
+        ("gays should be banned", "exclusion"), ("los inmigrantes son una plaga y hay que echarlos", "exclusion"), ("people like you", "alike"), ("halt die klappe", "idiom"),
+        ("he is a moron", "they_are"), ("i want to lick your thighs", "explicit"), ("m0r0n", "hidden"), ("this form forbids insults like moron", "reporting"), ("what a moron i am", "self"),
+    ],
+)
+def test_voters_are_grammar_over_classes(text, voter):
+    passage, words, hidden = abuse.Reader.read(text)
+    assert abuse.Reader.votes(passage, words, hidden) & 1 << abuse.VOTERS.index(voter), abuse.class_string(words)
+
+
+@pytest.mark.parametrize("text", ["die fonds sind in der bilanz", "con el saldo de la cuenta", "the gross amount is in the queue", "we hate to ask", "the report is attached", "3,503.25 on 2024-01-02"])
+def test_everyday_words_have_no_vote(text):
+    passage, words, hidden = abuse.Reader.read(text)
+    assert not abuse.Reader.votes(passage, words, hidden)
+
+
+def test_long_sentences_are_read_in_windows():
+    reader = abuse.Reader()
+    text = " ".join(f"w{k}x" for k in range(500)) + " you are an idiot"
+    passages = list(reader.passages(text))
+    assert max(len(w) for _, w, _ in passages) <= abuse.WINDOW and sum(bool(reader.votes(*x)) for x in passages) >= 1
+    assert {w for _, ws, _ in passages for w in ws} >= {"idiot", "w", "x"}
 
 
 def test_few_pairs_at_the_threshold_share_no_band():
