@@ -172,7 +172,6 @@ _LEXICON = frozenset(w for name in ("insult", "degrading", "profane", "sexual",
 _SIGNAL = frozenset("NAPSLRVEDJ")
 _EVERYDAY, _GERMAN = frozenset(EVERYDAY.split()), frozenset(GERMAN.split())
 _ABOUT = {name: frozenset(text.split()) for name, text in (("technical", TECHNICAL), ("care", CARE), ("reporting", REPORTING), ("sorry", SORRY))}
-_IDIOM = re.compile("|".join(rf"(?<!\w){re.escape(x.strip())}(?!\w)" for x in IDIOMS.split("|")))
 _ALIKE = re.compile(rf"(?<!\w)(?:{'|'.join(ALIKE.split())}) (?:you|him|her|them|that lot|toi|vous|lui|eux|dich|dir|du|ihn|ihr|tú|vosotros|él|ellos)(?!\w)")
 # Of each idiom and likeness a word, so that most passages need no search.
 _RAREST = frozenset(max(re.findall(r"[^\W\d_]+", x), key=len) for x in IDIOMS.split("|")) | frozenset(ALIKE.split())
@@ -263,6 +262,49 @@ def unveil(token: str) -> str | None:
     return None
 
 
+@lru_cache(maxsize=1)
+def _idioms():
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for idiom in IDIOMS.split("|"):
+        machine.add_word(idiom.strip(), len(idiom.strip()))
+    machine.make_automaton()
+    return machine
+
+
+def has_idiom(passage: str) -> bool:
+    """Whether an idiom stands in a passage, not within other words."""
+    for end, size in _idioms().iter(passage):
+        before, after = passage[max(0, end - size) : end - size + 1], passage[end + 1 : end + 2]
+        if not (end + 1 > size and before.isalnum()) and not after.isalnum():
+            return True
+    return False
+
+
+_SEEN: set[str] = set()
+_BRIGHT: set[str] = set()
+
+
+def _dull(words: list[str]) -> bool:
+    """Whether no word of a passage can make a voter vote. Words are looked at once, numbers not at all."""
+    unknown = set(words) - _SEEN
+    if unknown:
+        if len(_SEEN) > PLAIN_WORDS:
+            _SEEN.clear()
+            _BRIGHT.clear()
+            unknown = set(words)
+        for w in unknown:
+            if w[0] not in _ASCII_DIGITS:
+                _SEEN.add(w)
+                if _LETTER[w] in _SIGNAL or not _RAREST.isdisjoint(re.split("['’-]", w)):
+                    _BRIGHT.add(w)
+    if _BRIGHT.isdisjoint(words):
+        return True
+    # The German article is no verb.
+    return "die" in words and not _GERMAN.isdisjoint(words) and _BRIGHT.isdisjoint(w for w in words if w != "die")
+
+
 class Reader:
     """Passages of texts, their words and votes."""
 
@@ -294,12 +336,12 @@ class Reader:
                     yield " ".join(part), part, hidden
 
     def _hints(self, text: str) -> list[str]:
-        """Strings of the text that may hide a word. Words seen to be plain aren't looked at again."""
+        """Strings of the text that hide a word. Words seen to be plain aren't looked at again."""
         new = set(text.split())
-        hints = [m[0] for m in _SPACED.finditer(text)] if not new.isdisjoint(_SINGLE) else []
+        hints = [m[0] for m in _SPACED.finditer(text) if self.read(m[0])[2]] if not new.isdisjoint(_SINGLE) else []
         new -= self.plain
         if new:
-            odd = [w for w in new if _HINT.search(w)]
+            odd = [w for w in new if _HINT.search(w) and self.read(w)[2]]
             hints += odd
             if len(self.plain) > PLAIN_WORDS:
                 self.plain.clear()
@@ -329,11 +371,11 @@ class Reader:
     @staticmethod
     def votes(passage: str, words: list[str], hidden: int) -> int:
         """A bit for each voter that votes."""
+        if not hidden and _dull(words):
+            return 0
         letters = class_string(words)
         there, own = set(letters), set(words)
-        searched = any(not _RAREST.isdisjoint(w.replace("’", "'").replace("-", "'").split("'")) for w in own) if "'" in passage or "’" in passage or "-" in passage else not _RAREST.isdisjoint(own)
-        idiom = searched and bool(_IDIOM.search(passage))
-        alike = searched and bool(_ALIKE.search(passage))
+        idiom, alike = has_idiom(passage), bool(_ALIKE.search(passage))
         if not hidden and not idiom and not alike and there.isdisjoint(_SIGNAL):
             return 0
         about = {name: len(own & listed) for name, listed in _ABOUT.items()}
@@ -440,6 +482,14 @@ class Linear(dict):
 
     bias = 0.0
 
+    def bounds(self) -> dict[str, float]:
+        """For each word the most that it and a pair it begins can add."""
+        most = {w: v for w, v in self.items() if isinstance(w, str)}
+        for pair, v in self.items():
+            if isinstance(pair, tuple) and v > 0:
+                most[pair[0]] = max(most.get(pair[0], 0.0), self.get(pair[0], 0.0) + v)
+        return most
+
     def logit(self, words: list[str], mask: int) -> float:
         words = _numbers_alike(words)
         own = self.bias + sum(map(self.get, words, _ZEROS)) + sum(map(self.get, zip(words, words[1:]), _ZEROS))
@@ -529,10 +579,18 @@ class Detector:
         def run(batches):
             reader, model = Reader(), Linear(weights)
             model.bias = bias
+            most = model.bounds()
+            number = max(most.get("#", 0.0), 0.0)
             for batch in batches:
                 scores = []
                 for text in batch.column("__text").to_pylist():
-                    worst = max((model.logit(w, reader.votes(p, w, h)) for p, w, h in reader.passages(text or "")), default=None)
+                    worst = None
+                    for passage, words, hidden in reader.passages(text or ""):
+                        mask = reader.votes(passage, words, hidden)
+                        # A passage that can't be the worst one needs no sum of pairs.
+                        if worst is None or mask or bias + sum(map(most.get, words, _ZEROS)) + number * sum(map(str.isdigit, words)) > worst:
+                            own = model.logit(words, mask)
+                            worst = own if worst is None or own > worst else worst
                     scores.append(0.0 if worst is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, worst)))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=schema.names)
 
