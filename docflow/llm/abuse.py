@@ -227,8 +227,10 @@ def class_string(words: list[str]) -> str:
     return letters
 
 
-# Ends of passages besides a full stop and a blank.
-_ENDS, _WIDE_ENDS = ("\n", "! ", "? "), ("。", "！", "？")
+# Ends of passages, and what takes their place.
+_ENDS, _WIDE_ENDS, _CUT = (". ", "\n", "! ", "? "), ("。", "！", "？"), "\0"
+# Bytes of Latin-1 that aren't in words become blanks.
+_FLAT = bytes(c if chr(c).isalnum() or chr(c) in "'-\0" else 32 for c in range(256))
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 # What a hidden word has: marks or digits between letters, single letters set apart, stretched letters.
 _HINT = re.compile(r"[a-zà-ÿ][@$*+!|€0-9][a-zà-ÿ@$*+!|€0-9]|[a-zà-ÿ][._][a-zà-ÿ]|\b[a-zà-ÿ]-[a-zà-ÿ]-[a-zà-ÿ]\b|([a-zà-ÿ])\1\1|\b[a-zà-ÿ][@$*+!|€0-9]+")
@@ -305,6 +307,15 @@ def _dull(words: list[str]) -> bool:
     return "die" in words and not _GERMAN.isdisjoint(words) and _BRIGHT.isdisjoint(w for w in words if w != "die")
 
 
+def _flat(text: str) -> str | None:
+    """A Latin text with blanks in place of what isn't in words, so that words are what blanks part; else None."""
+    try:
+        text = text.replace("’", "'").encode("latin-1").translate(_FLAT).decode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return text.replace(" '", " ").replace("' ", " ").replace(" -", " ").replace("- ", " ")
+
+
 class Reader:
     """Passages of texts, their words and votes."""
 
@@ -321,9 +332,12 @@ class Reader:
             text = _BLANKS.sub(" ", text)
         hints = self._hints(text)
         for end in _ENDS if text.isascii() else _ENDS + _WIDE_ENDS:
-            text = text.replace(end, ". ")
-        for passage in text.split(". "):
-            if hints and any(h in passage for h in hints):
+            text = text.replace(end, _CUT)
+        flat = None if hints else _flat(text)
+        for passage in (text if flat is None else flat).split(_CUT):
+            if flat is not None:
+                words, hidden = passage.split(), 0
+            elif any(h in passage for h in hints):
                 passage, words, hidden = self.read(passage)
             else:
                 words, hidden = _TOKEN.findall(passage), 0
@@ -482,14 +496,6 @@ class Linear(dict):
 
     bias = 0.0
 
-    def bounds(self) -> dict[str, float]:
-        """For each word the most that it and a pair it begins can add."""
-        most = {w: v for w, v in self.items() if isinstance(w, str)}
-        for pair, v in self.items():
-            if isinstance(pair, tuple) and v > 0:
-                most[pair[0]] = max(most.get(pair[0], 0.0), self.get(pair[0], 0.0) + v)
-        return most
-
     def logit(self, words: list[str], mask: int) -> float:
         words = _numbers_alike(words)
         own = self.bias + sum(map(self.get, words, _ZEROS)) + sum(map(self.get, zip(words, words[1:]), _ZEROS))
@@ -542,7 +548,7 @@ class Detector:
             # Equal passages come once; of more than may be used those with the smallest hashes.
             each = voted.filter(kind).groupBy("passage").agg(F.min("mask").alias("mask"), F.sum("n").alias("n"))
             for r in each.orderBy(F.xxhash64("passage"), "passage").limit(MAX_TRAIN).collect():
-                _, words, _ = Reader.read(r.passage)
+                words = r.passage.split()
                 posterior = self.labels.posterior(r.mask) if r.mask else 0.0
                 # That no voter votes says less than that voters are sure of harmlessness.
                 rows.append((words, r.mask, posterior, 0.3 + 1.4 * abs(posterior - 0.5) if r.mask else UNVOTED_WEIGHT))
@@ -563,7 +569,7 @@ class Detector:
                     for passage, words, hidden in reader.passages(text):
                         mask = reader.votes(passage, words, hidden)
                         if mask or xxhash.xxh3_64_intdigest(passage) % UNVOTED_PART == 0:
-                            key = (_DIGITS.sub("0", passage), mask)
+                            key = (_DIGITS.sub("0", " ".join(words)), mask)
                             out[key] = out.get(key, 0) + 1
                 columns = [[k[0] for k in out], [k[1] for k in out], list(out.values())]
                 types = (pa.string(), pa.int32(), pa.int32())
@@ -579,18 +585,10 @@ class Detector:
         def run(batches):
             reader, model = Reader(), Linear(weights)
             model.bias = bias
-            most = model.bounds()
-            number = max(most.get("#", 0.0), 0.0)
             for batch in batches:
                 scores = []
                 for text in batch.column("__text").to_pylist():
-                    worst = None
-                    for passage, words, hidden in reader.passages(text or ""):
-                        mask = reader.votes(passage, words, hidden)
-                        # A passage that can't be the worst one needs no sum of pairs.
-                        if worst is None or mask or bias + sum(map(most.get, words, _ZEROS)) + number * sum(map(str.isdigit, words)) > worst:
-                            own = model.logit(words, mask)
-                            worst = own if worst is None or own > worst else worst
+                    worst = max((model.logit(w, reader.votes(p, w, h)) for p, w, h in reader.passages(text or "")), default=None)
                     scores.append(0.0 if worst is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, worst)))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=schema.names)
 

@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -151,13 +152,18 @@ class Canon:
             self.automata[script] = machine
         single = {m for t in self.target.values() for m in t if len(m) == 1 and not m.isascii()}
         self.suspects = frozenset(single | set(SPACES) | set(INVISIBLE) | _marks())
+        self.suspect_points = np.zeros(0x110000, dtype=bool)
+        self.suspect_points[[ord(c) for c in self.suspects]] = True
         self.loose = regex.compile(rf"[{regex.escape(INVISIBLE, special_only=True)}]")
         self.spaces = regex.compile(rf"[{regex.escape(SPACES, special_only=True)}]")
         self.common = frozenset(m for m in self.target.get("Common", {}) if len(m) == 1 and not m.isalpha())
 
     def odd(self, text: str) -> bool:
         """Whether any character might stand for another one."""
-        return not self.suspects.isdisjoint(text)
+        if len(text) < 64:
+            return not self.suspects.isdisjoint(text)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return bool(self.suspect_points[points].any())
 
     @lru_cache(maxsize=1 << 16)
     def rewrite(self, word: str, script: str) -> str:

@@ -266,6 +266,38 @@ def test_mixture(spark):
         assert none[0].count() == 0
 
 
+def test_each_source_ends_within_a_document_of_its_weight(spark):
+    rng = np.random.default_rng(8)
+    docs = [(k, "word " * int(min(1500, rng.pareto(1.1) * 20 + 1)), "en", "abc"[k % 3]) for k in range(900)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 2)], "source string, weight double, max_repeats int")
+    mixture, sizes = mixing.mixture_stages(df, targets)
+    got = {r.source: r for r in mixing.shares(mixture, sizes, targets).collect()}
+    largest, whole = sizes.agg({"tokens": "max"}).first()[0], sum(r.tokens for r in got.values())
+    for r in got.values():
+        assert abs(r.tokens - r.weight * whole) <= 2 * largest and r.most_copies <= r.max_repeats
+    # The source that bounds the mixture gives all it has.
+    assert any(r.tokens == r.available * r.max_repeats for r in got.values())
+
+
+def test_topics_are_clusters_of_the_documents(spark):
+    themes = {"cook": "onion butter stew simmer garlic lamb oven flour", "sail": "harbour anchor mast wind rudder deck tide sail", "tax": "levy audit ledger duty revenue refund assessor bracket"}
+    rng = np.random.default_rng(3)
+    docs = []
+    for k in range(240):
+        theme = list(themes)[k % 3]
+        words = rng.choice(themes[theme].split(), 30).tolist() + rng.choice("the of and a to in".split(), 30).tolist()
+        docs.append((k, " ".join(words), "en" if k % 2 else "fr", theme))
+    docs += [(900, None, "en", "none"), (901, "", None, "none")]
+    sizes = mixing.measured(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")).cache()
+    topics = {r.doc_id: r.topic for r in mixing.Topics(sizes).of(sizes).collect()}
+    assert topics[900] == topics[901] == "none"
+    for theme in range(3):  # each cluster has documents of one theme only, of both languages
+        own = {topics[k] for k in range(theme, 240, 3)}
+        assert own.isdisjoint({topics[k] for k in range(240) if k % 3 != theme})
+    assert mixing.Topics(sizes.limit(0)).of(sizes.limit(0)).count() == 0
+
+
 def test_abuse(spark):
     calm = ["The fund reports a balance of {} as of page 4.", "Thanks, page {} looks fine now.", "This scan is terrible and I am angry about it, see {}.", "The pig farm and the cow shed were valued at {}.", "My stupid mistake, page {} was upside down."]
     bad = ["You are a worthless idiot and everyone knows it.", "Go f-u-c-k yourself, you tw@t.", "I will burn your house down, you scumbag.", "Immigrants are vermin and should be locked up.", "Halt die Fresse, du Wichser."]
@@ -309,7 +341,7 @@ def test_long_sentences_are_read_in_windows():
     text = " ".join(f"w{k}x" for k in range(500)) + " you are an idiot"
     passages = list(reader.passages(text))
     assert max(len(w) for _, w, _ in passages) <= abuse.WINDOW and sum(bool(reader.votes(*x)) for x in passages) >= 1
-    assert {w for _, ws, _ in passages for w in ws} >= {"idiot", "w", "x"}
+    assert {w for _, ws, _ in passages for w in ws} >= {"idiot", *(f"w{k}x" for k in range(500))}
 
 
 def test_few_pairs_at_the_threshold_share_no_band():
