@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from docflow.llm.lookalikes import Canon
 from docflow.llm.mixing import source_key
@@ -33,6 +33,8 @@ MAX_TRAIN = 20_000
 UNVOTED_PART = 8
 #: Weight of a passage without votes in training; that of one with votes goes from 0.3 to 1.
 UNVOTED_WEIGHT = 0.4
+#: Weights below this are dropped: most are, and a small table is looked up faster.
+LEAST_WEIGHT = 0.001
 #: Words that a task remembers, at most.
 PLAIN_WORDS = 300_000
 #: Words of a passage; a longer sentence is read in windows of so many, each beginning in the middle of the last.
@@ -235,7 +237,6 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 # What a hidden word has: marks or digits between letters, single letters set apart, stretched letters.
 _HINT = re.compile(r"[a-zà-ÿ][@$*+!|€0-9][a-zà-ÿ@$*+!|€0-9]|[a-zà-ÿ][._][a-zà-ÿ]|\b[a-zà-ÿ]-[a-zà-ÿ]-[a-zà-ÿ]\b|([a-zà-ÿ])\1\1|\b[a-zà-ÿ][@$*+!|€0-9]+")
 _VEILED = re.compile(r"(?<!\w)[a-zà-ÿ$@][\w$@*+!|€.-]*[\w$@*+|€!](?!\w)")
-_DIGITS = re.compile(r"\d+")
 _BLANKS = re.compile(r"[ \t]{2,}|\t")
 _STRETCHED = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<![\w'’])[a-zà-ÿ](?: [a-zà-ÿ]){2,}(?![\w'’])")
@@ -328,9 +329,9 @@ class Reader:
         if not text.isascii():
             text = self.canon.text(text)[0]
         text = text.lower()
-        if "  " in text or "\t" in text:
-            text = _BLANKS.sub(" ", text)
         hints = self._hints(text)
+        if hints:
+            text = _BLANKS.sub(" ", text)
         for end in _ENDS if text.isascii() else _ENDS + _WIDE_ENDS:
             text = text.replace(end, _CUT)
         flat = None if hints else _flat(text)
@@ -383,11 +384,11 @@ class Reader:
         return passage, _TOKEN.findall(passage), hidden
 
     @staticmethod
-    def votes(passage: str, words: list[str], hidden: int) -> int:
+    def votes(_: str, words: list[str], hidden: int) -> int:
         """A bit for each voter that votes."""
         if not hidden and _dull(words):
             return 0
-        letters = class_string(words)
+        letters, passage = class_string(words), " ".join(words)
         there, own = set(letters), set(words)
         idiom, alike = has_idiom(passage), bool(_ALIKE.search(passage))
         if not hidden and not idiom and not alike and there.isdisjoint(_SIGNAL):
@@ -528,71 +529,74 @@ def train(rows: list[tuple[list[str], int, float, float]], rounds: int = 12, dec
             w[at] -= 0.3 * grad / np.sqrt(g[at])
             gb += e * e
             bias -= 0.3 * e / math.sqrt(gb)
-    model = Linear({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3})
+    model = Linear({f: float(w[k]) for f, k in index.items() if abs(w[k]) > LEAST_WEIGHT})
     model.bias = bias
     return model
 
 
 class Detector:
-    """The trained detector over ``documents`` (``doc_id, text`` and what else there is)."""
+    """The trained detector over ``documents`` (``doc_id, text`` and what else there is).
+
+    Texts are read once: their passages, words and votes are written, and training and scoring go on from there.
+    """
 
     def __init__(self, documents: DataFrame, stage: Stage | None = None):
         self.stage = stage or Stage(documents.sparkSession)
-        voted = self.stage.put(self._vote(documents.filter(F.col("text").isNotNull()).select("text")))
-        counts = {r.mask: r.n for r in voted.filter("mask > 0").groupBy("mask").agg(F.sum("n").alias("n")).collect()}
-        self.labels = LabelModel(counts)
+        self.documents, self.read = documents, self.stage.put(self._read(documents))
+        voted = self.read.filter(F.exists("masks", lambda m: m > 0)).select(F.explode("masks").alias("mask")).filter("mask > 0")
+        self.labels = LabelModel({r.mask: r.n for r in voted.groupBy("mask").agg(F.count("*").alias("n")).collect()})
+        each = self.read.select(F.explode(F.arrays_zip(F.split("passages", _CUT).alias("p"), F.col("masks").alias("m"))).alias("x")).select("x.p", "x.m")
         abuse = F.col("mask").bitwiseAND((1 << len(FOR)) - 1) > 0
-        kinds = (F.col("mask") == 0, (F.col("mask") > 0) & abuse, (F.col("mask") > 0) & ~abuse)
+        offered = each.filter((F.col("m") > 0) | (F.pmod(F.xxhash64("p"), F.lit(UNVOTED_PART)) == 0))
+        offered = offered.select(F.regexp_replace("p", "[0-9]+", "0").alias("passage"), F.col("m").alias("mask"))
         rows = []
-        for kind in kinds:
+        for kind in (F.col("mask") == 0, (F.col("mask") > 0) & abuse, (F.col("mask") > 0) & ~abuse):
             # Equal passages come once; of more than may be used those with the smallest hashes.
-            each = voted.filter(kind).groupBy("passage").agg(F.min("mask").alias("mask"), F.sum("n").alias("n"))
-            for r in each.orderBy(F.xxhash64("passage"), "passage").limit(MAX_TRAIN).collect():
+            one = offered.filter(kind).groupBy("passage").agg(F.min("mask").alias("mask"))
+            for r in one.orderBy(F.xxhash64("passage"), "passage").limit(MAX_TRAIN).collect():
                 words = r.passage.split()
                 posterior = self.labels.posterior(r.mask) if r.mask else 0.0
                 # That no voter votes says less than that voters are sure of harmlessness.
-                rows.append((words, r.mask, posterior, 0.3 + 1.4 * abs(posterior - 0.5) if r.mask else UNVOTED_WEIGHT))
+                if words:
+                    rows.append((words, r.mask, posterior, 0.3 + 1.4 * abs(posterior - 0.5) if r.mask else UNVOTED_WEIGHT))
         self.model = train(rows)
 
     @staticmethod
-    def _vote(texts: DataFrame) -> DataFrame:
-        """``passage, mask, n``: passages with votes, numbers made alike, and a part of those without."""
-        schema = StructType([StructField("passage", StringType()), StructField("mask", IntegerType()), StructField("n", IntegerType())])
+    def _read(documents: DataFrame) -> DataFrame:
+        """``documents`` with ``passages``, words parted by blanks and passages by zeros, and ``masks``, the votes on
+        each, in place of the text."""
+        rest = [c for c in documents.columns if c not in ("text", "passages", "masks")]
+        schema = StructType([*documents.select(*rest).schema.fields, StructField("passages", StringType()), StructField("masks", ArrayType(IntegerType()))])
 
         def run(batches):
-            import xxhash
-
             reader = Reader()
             for batch in batches:
-                out: dict[tuple[str, int], int] = {}
-                for text in batch.column(0).to_pylist():
-                    for passage, words, hidden in reader.passages(text):
-                        mask = reader.votes(passage, words, hidden)
-                        if mask or xxhash.xxh3_64_intdigest(passage) % UNVOTED_PART == 0:
-                            key = (_DIGITS.sub("0", " ".join(words)), mask)
-                            out[key] = out.get(key, 0) + 1
-                columns = [[k[0] for k in out], [k[1] for k in out], list(out.values())]
-                types = (pa.string(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
-
-        return texts.mapInArrow(run, schema)
+                flats, masks = [], []
+                for text in batch.column("__text").to_pylist():
+                    found = list(reader.passages(text)) if text else []
+                    flats.append(_CUT.join([" ".join(words) for _, words, _ in found]))
+                    masks.append([reader.votes(*x) for x in found])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(flats, pa.string()), pa.array(masks, pa.list_(pa.int32()))], names=schema.names)
+
+        return documents.select(*rest, F.col("text").alias("__text")).mapInArrow(run, schema)
 
     def scores(self, documents: DataFrame, keep: list[str]) -> DataFrame:
         """``keep``, ``score`` of every document; 0 for null, empty and blank texts."""
+        rows = self.read if documents is self.documents else self._read(documents)
         weights, bias = dict(self.model), self.model.bias
-        schema = StructType(documents.select(*keep).schema.fields).add("score", DoubleType())
+        schema = StructType(rows.select(*keep).schema.fields).add("score", DoubleType())
 
         def run(batches):
-            reader, model = Reader(), Linear(weights)
+            model = Linear(weights)
             model.bias = bias
             for batch in batches:
                 scores = []
-                for text in batch.column("__text").to_pylist():
-                    worst = max((model.logit(w, reader.votes(p, w, h)) for p, w, h in reader.passages(text or "")), default=None)
+                for flat, masks in zip(batch.column("passages").to_pylist(), batch.column("masks").to_pylist()):
+                    worst = max(map(model.logit, map(str.split, flat.split(_CUT)), masks), default=None) if masks else None
                     scores.append(0.0 if worst is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, worst)))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=schema.names)
 
-        return documents.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+        return rows.select(*keep, "passages", "masks").mapInArrow(run, schema)
 
 
 def source_rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
