@@ -11,6 +11,7 @@ punctuation beside ideographs, French spaces beside marks, the hyphen at a broke
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -24,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 # Letters that readers can't tell from a Latin one, by script, each followed by its Latin twin.
-CYRILLIC = "аa сc еe оo рp хx уy іi јj ѕs ԁd һh ӏl ԛq ԝw ѵv АA ВB СC ЕE НH ІI ЈJ КK МM ОO РP ЅS ТT ХX УY ԌG ԚQ ԜW Ӏl ҮY үy"
+CYRILLIC = "ьb аa сc еe оo рp хx уy іi јj ѕs ԁd һh ӏl ԛq ԝw ѵv АA ВB СC ЕE НH ІI ЈJ КK МM ОO РP ЅS ТT ХX УY ԌG ԚQ ԜW Ӏl ҮY үy"
 GREEK = "οo νv ρp ιi κk υu χx αa γy ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ"
 ARMENIAN = "օo ոn սu հh զq յj ցg ՕO ՍU Տs ԼL"
 OTHER = "ɡg ɑa ꞁl ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ"
+COPTIC = "ⲟo ⲣp ⲥc ⲭx ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲨY ⲬX"
+# Pairs of letters of which Unicode has a character that shows both.
+_DIGRAPHS = frozenset("AA AO AU AV AY OO TZ VY DZ TS LS LZ".split())
 # Spaces that stand for the plain one.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f"
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u3164\uffa0\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f"
@@ -72,14 +76,14 @@ def script_of(member: str) -> str:
     """The script of a class's member; forms of other widths and styles are members of no script."""
     if unicodedata.decomposition(member[0]).startswith("<"):
         return "Form"
-    if len(member) == 1 and member in _twins("other"):
+    if len(member) == 1 and (member in _twins("other") or member in _twins("coptic") or member in _named()):
         return "Form"
     return next((s for s, r in _SCRIPT.items() if r.match(member)), "Common")
 
 
 @lru_cache(maxsize=8)
 def _twins(which: str) -> dict[str, str]:
-    table = {"cyrillic": CYRILLIC, "greek": GREEK, "armenian": ARMENIAN, "other": OTHER}[which]
+    table = {"cyrillic": CYRILLIC, "greek": GREEK, "armenian": ARMENIAN, "other": OTHER, "coptic": COPTIC}[which]
     return {pair[0]: pair[1:] for pair in table.split()}
 
 
@@ -97,13 +101,31 @@ def _forms() -> Iterator[tuple[str, str]]:
             yield chr(point), plain
 
 
+@lru_cache(maxsize=1)
+def _named() -> dict[str, str]:
+    """Characters whose Unicode name says that they are a letter's small capital or two letters set as one."""
+    out = {}
+    for point in range(0x180, 0xAC00):
+        name = unicodedata.name(chr(point), "")
+        if m := re.fullmatch(r"LATIN LETTER SMALL CAPITAL ([A-Z])", name):
+            out[chr(point)] = m[1].lower()
+        elif point >= 0x2A0 and (m := re.fullmatch(r"LATIN (SMALL|CAPITAL) LETTER ([A-Z])([A-Z])(?: DIGRAPH)?", name)) and not unicodedata.decomposition(chr(point)):
+            pair = m[2] + m[3]
+            if pair not in _DIGRAPHS:
+                continue
+            out[chr(point)] = pair if m[1] == "CAPITAL" else pair.lower()
+    return out
+
+
 @lru_cache(maxsize=1)
 def look_alike_classes() -> dict[str, list[str]]:
     """All classes with at least two members."""
     sets = UnionFind()
-    for which in ("cyrillic", "greek", "armenian", "other"):
+    for which in ("cyrillic", "greek", "armenian", "other", "coptic"):
         for a, b in _twins(which).items():
             sets.union(a, b)
+    for a, b in _named().items():
+        sets.union(a, b)
     for a, b in _forms():
         if a not in INVISIBLE:
             sets.union(a, b)
@@ -185,8 +207,10 @@ class Canon:
         return next((s for s, p in _SCRIPT.items() if p.match(c)), None)
 
     def _around(self, text: str, start: int, end: int) -> str | None:
-        """The script of the nearest letters that tell one."""
-        for reach in (12, 40, 160):
+        """The script of the nearest letters that tell one, however far they are."""
+        reach = 3
+        while reach < max(start, len(text) - end):
+            reach *= 4
             near = self.strong(text[max(0, start - reach) : start]) + self.strong(text[end : end + reach])
             if near:
                 return near.most_common(1)[0][0]
@@ -271,9 +295,10 @@ class Canon:
         for k, word in enumerate(words):
             if word and not word.isascii() and self.odd(word):
                 # Neighbours give the script; the word itself is cut out again by marks no text has.
-                before = " ".join(w for w in words[max(0, k - 12) : k] if w)
-                after = " ".join(w for w in words[k + 1 : k + 13] if w)
-                new = self._one(word, before, after)
+                before, after = words[max(0, k - 12) : k], words[k + 1 : k + 13]
+                if not any(self.strong(w) for w in (*before, *after) if w):
+                    before, after = words[:k], words[k + 1 :]
+                new = self._one(word, " ".join(w for w in before if w), " ".join(w for w in after if w))
                 if new != word:
                     changed.append((k, new))
         return changed
