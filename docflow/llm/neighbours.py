@@ -93,6 +93,19 @@ def top_edges(row: np.ndarray, v: np.ndarray, s: np.ndarray, keep: int) -> np.nd
     return kept[rank < keep]
 
 
+def _half(keep: int) -> int:
+    return max(4, keep // 2)
+
+
+def _taken(edges: pa.Array, keep: int) -> np.ndarray:
+    """Which entries the last join took, or an earlier one: those not new and the first half of the new ones."""
+    sizes = np.nan_to_num(edges.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    fresh = edges.flatten().field("fresh").to_numpy(zero_copy_only=False).astype(bool)
+    before = np.cumsum(fresh) - fresh
+    first = np.repeat((np.r_[0, np.cumsum(fresh)])[np.cumsum(sizes) - sizes], sizes) if len(fresh) else before
+    return ~fresh | (before - first < _half(keep))
+
+
 class NeighbourGraph:
     """The graph over ``rows`` (``pos bigint, vector array<float>``), searched with NN-descent.
 
@@ -185,7 +198,7 @@ class NeighbourGraph:
     # -- descent -------------------------------------------------------------------------------------
 
     def _merge(self, state: DataFrame, offers: DataFrame) -> DataFrame:
-        """``state`` with the offers taken in; entries that stay are no longer new."""
+        """``state`` with the offers taken in; entries that the last join took are no longer new."""
         schema, keep = StructType(state.schema.fields), self.keep
         lists = offers.groupBy("u").agg(F.collect_list(F.struct("v", "s")).alias("offers"))
         both = state.join(lists, "u", "left")
@@ -193,19 +206,21 @@ class NeighbourGraph:
         def run(batches: Iterator[pa.RecordBatch]):
             for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
                 have, more = batch.column("edges"), batch.column("offers")
-                rows, vs, ss, old = [], [], [], []
+                rows, vs, ss, old, there = [], [], [], [], []
+                seen = _taken(have, keep)
                 for column, is_old in ((have, True), (more, False)):
                     sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
                     flat = column.flatten()
                     rows.append(np.repeat(np.arange(batch.num_rows), sizes))
                     vs.append(flat.field("v").to_numpy(zero_copy_only=False))
                     ss.append(flat.field("s").to_numpy(zero_copy_only=False))
-                    old.append(np.full(len(flat), is_old))
-                row, v, s, was = map(np.concatenate, (rows, vs, ss, old))
-                # An entry that is there already stays old: it comes first among equals.
-                s = np.where(was, s + np.float32(1e-4), s)
+                    old.append(seen if is_old else np.zeros(len(flat), dtype=bool))
+                    there.append(np.full(len(flat), is_old))
+                row, v, s, was, here = map(np.concatenate, (rows, vs, ss, old, there))
+                # An entry that is there already stays what it is: it comes first among equals.
+                s = np.where(here, s + np.float32(1e-4), s)
                 pick = top_edges(row, v, s, keep)
-                out = np.where(was[pick], s[pick] - np.float32(1e-4), s[pick]).astype(np.float32)
+                out = np.where(here[pick], s[pick] - np.float32(1e-4), s[pick]).astype(np.float32)
                 counts = np.bincount(row[pick], minlength=batch.num_rows)
                 yield _edges_batch(["u", "q"], [batch.column("u"), batch.column("q")], counts, v[pick], out, ~was[pick])
 
@@ -223,20 +238,22 @@ class NeighbourGraph:
 
     def _join(self, state: DataFrame) -> DataFrame:
         """``u, v, s``: what nodes that meet at a third are to each other, where that improves their lists."""
-        dims = self.dims
+        dims, half = self.dims, _half(self.keep)
         last = F.when(F.size("edges") >= self.keep, F.element_at("edges", -1)["s"]).otherwise(F.lit(-2.0)).cast("float")
-        known = state.select("u", "q", last.alias("kth"), "edges")
-        edges = known.select("u", "q", "kth", F.posexplode("edges").alias("rank", "e"))
-        edges = edges.select("u", "q", "kth", "rank", "e.v", "e.fresh")
-        # Reverse entries: of those that point to a node a fixed number is taken, fresh and close ones first.
-        order = Window.partitionBy("v").orderBy(F.desc("fresh"), "rank", F.xxhash64("u", "v"))
-        back = edges.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= self.keep)
-        back = back.select(F.col("v").alias("w"), F.col("u").alias("m"), "q", "kth", "fresh")
-        there = known.select(F.col("u").alias("m"), "q", "kth")
-        ahead = edges.select(F.col("u").alias("w"), F.col("v").alias("m"), "fresh").join(there, "m")
-        met = back.unionByName(ahead.select("w", "m", "q", "kth", "fresh"))
-        lists = met.groupBy("w").agg(F.collect_list(F.struct("m", "q", "kth", "fresh")).alias("l"))
-        lists = lists.filter(F.exists("l", lambda x: x.fresh) & (F.size("l") > 1)).select("l")
+        nodes = state.select(F.col("u").alias("m"), "q", last.alias("kth"))
+        # Of a node's entries half are taken that are new and half that aren't, the closest first; of the entries that
+        # point to a node likewise. So far only ids are sent.
+        part = lambda fresh: F.slice(F.filter("edges", lambda e: e.fresh == F.lit(fresh)), 1, half)
+        own = F.transform(F.concat(part(True), part(False)), lambda e: F.struct(e.v.alias("m"), e.fresh.alias("fresh")))
+        ahead = state.select(F.col("u").alias("w"), own.alias("ahead"))
+        edges = ahead.select(F.col("w").alias("m"), F.posexplode("ahead").alias("rank", "e")).select("m", "rank", F.col("e.m").alias("w"), "e.fresh")
+        order = Window.partitionBy("w", "fresh").orderBy("rank", F.xxhash64("m", "w"))
+        back = edges.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= half)
+        behind = back.groupBy("w").agg(F.collect_list(F.struct("m", "fresh")).alias("behind"))
+        met = ahead.join(behind, "w", "left").select("w", F.concat("ahead", F.coalesce("behind", F.array().cast("array<struct<m:bigint,fresh:boolean>>"))).alias("l"))
+        # Vectors go only where something new meets something.
+        met = met.filter(F.exists("l", lambda x: x.fresh) & (F.size("l") > 1)).select("w", F.explode("l").alias("e")).select("w", "e.m", "e.fresh")
+        lists = met.join(nodes, "m").groupBy("w").agg(F.collect_list(F.struct("m", "q", "kth", "fresh")).alias("l")).select("l")
         schema = StructType([StructField("u", LongType()), *_EDGE.fields])
         # As many comparisons at a time, however many entries are kept.
         step = max(1, 1_024_000 // (2 * self.keep) ** 2)
@@ -270,8 +287,7 @@ class NeighbourGraph:
                         [pa.array(ids[g, i]), pa.array(ids[g, j]), pa.array(s[g, i, j], pa.float32())], names=schema.names
                     )
 
-        # The same offer comes from many nodes; one is enough.
-        return lists.mapInArrow(run, schema).groupBy("u", "v").agg(F.max("s").alias("s"))
+        return lists.mapInArrow(run, schema)
 
     # -- search --------------------------------------------------------------------------------------
 
