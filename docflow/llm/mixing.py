@@ -1,11 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting and calibrated sampling.
 
-The tokens of each cell (source, language, topic) are raked to three margins: the target weights of the
-sources, and the languages' and topics' own shares of the corpus. A cell never gets more than its tokens
-times the source's cap on repeats; the source margin is met last and so exactly. Every document of a cell is
-then taken with the cell's expected number of copies, by systematic sampling along (cell, length class), whose
-running totals are kept in whole millionths, so that no document exceeds the cap and each source's copies
-differ from their expectation by less than one.
+Topics are clusters of the documents themselves, by the tokens they use beyond what their language uses. The tokens
+of each cell (source, language, topic) are raked to three margins: the target weights of the sources, and the
+languages' and topics' own shares of the corpus. A cell never gets more than its tokens times the source's cap on
+repeats; the source margin is met last and so exactly. Every document of a cell is then taken with the cell's
+expected number of copies, by systematic sampling along (cell, length class), whose running totals are kept in
+whole millionths, so that no document exceeds the cap. What a source's tokens then differ from its target is made
+good document by document in running totals, so each source ends within one document's tokens of its weight.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType
 
 from docflow.functions.text import utrim
 from docflow.llm.tokens import RANK_FILE, encode
+from docflow.operators.content import running_total
 from docflow.session import Stage
 
 #: More target rows than this are refused: they are configuration and go to the driver.
@@ -29,13 +31,10 @@ UNIT = 1_000_000
 #: Documents of one stratum that are ranked together in one task, at most about.
 STRATUM_GROUP = 100_000
 
-#: Words that tell a document's topic; the topic with most occurrences is taken.
-TOPICS = {
-    "accounts": ("balance", "fee", "capital", "income", "gain", "saldo", "solde", "Prozent", "余额", "费用", "остаток"),
-    "legal": ("clause", "agreement", "mandate", "waiver", "notice", "cláusula", "mandat", "Vertrag", "договор", "通知"),
-    "technical": ("```", "batch", "parser", "vector", "queue", "retry", "checksum", "向量", "队列", "журнал"),
-    "records": ("page", "document", "archive", "registry", "página", "Seite", "Archiv", "registre", "页码", "архив"),
-}
+#: Clusters that are taken as topics, documents they are found on at most, numbers of a document's sketch.
+TOPICS, TOPIC_SAMPLE, SKETCH = 8, 20_000, 48
+#: Token ids are hashed into so many rows of random numbers.
+TOPIC_ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -56,33 +55,83 @@ def lang_key(lang: Column) -> Column:
     return F.when(F.coalesce(tag, F.lit("")) != "", tag).otherwise(F.lit("und"))
 
 
-def topic_of(text: str | None) -> str:
-    best, most = "other", 0
-    for topic, words in TOPICS.items():
-        n = sum(map((text or "").count, words))
-        if n > most:
-            best, most = topic, n
-    return best
+def sketch_of(ids: list[int], table: np.ndarray) -> np.ndarray:
+    """A document's tokens as a short vector: each token's random numbers, often used ones damped."""
+    rows, counts = np.unique(np.asarray(ids, dtype=np.int64) % TOPIC_ROWS, return_counts=True)
+    vector = np.sqrt(counts) @ table[rows]
+    return vector / max(np.linalg.norm(vector), 1e-9)
+
+
+def _table() -> np.ndarray:
+    return np.random.default_rng(29).standard_normal((TOPIC_ROWS, SKETCH)).astype(np.float32)
 
 
 def measured(documents: DataFrame, rank_file: str = RANK_FILE) -> DataFrame:
-    """``doc_id, source, lang, topic, tokens`` of each document, in one pass over the texts."""
+    """``doc_id, source, lang, tokens, sketch`` of each document, in one pass over the texts; a document without
+    tokens has no sketch."""
     keep = ["doc_id", "source", "lang"]
     slim = documents.select(
         "doc_id", source_key(F.col("source")).alias("source"), lang_key(F.col("lang")).alias("lang"), "text"
     )
-    schema = slim.select(*keep).schema.add("topic", StringType()).add("tokens", IntegerType())
+    schema = slim.select(*keep).schema.add("tokens", IntegerType()).add("sketch", ArrayType(FloatType()))
 
     def run(batches):
+        table = _table()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            topics = pa.array([topic_of(t) for t in texts], pa.string())
-            tokens = pa.array([len(encode(t, rank_file)) for t in texts], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), topics, tokens], names=schema.names)
+            ids = [encode(t, rank_file) for t in batch.column("text").to_pylist()]
+            sketches = pa.array([sketch_of(x, table).tolist() if x else None for x in ids], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(map(len, ids), pa.int32()), sketches], names=schema.names)
 
     return slim.mapInArrow(run, schema)
 
 
+class Topics:
+    """Clusters of documents' sketches, each language's mean taken off, so that languages aren't the topics.
+
+    Found on at most ``TOPIC_SAMPLE`` documents (those with the smallest hashes), by spherical k-means.
+    """
+
+    def __init__(self, sizes: DataFrame, seed: int = 7):
+        rows = sizes.filter("sketch is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("lang", "sketch").limit(TOPIC_SAMPLE).collect()
+        x = np.array([r.sketch for r in rows], dtype=np.float32).reshape(-1, SKETCH)
+        langs = np.array([r.lang for r in rows], dtype=object)
+        self.means = {lang: x[langs == lang].mean(axis=0) for lang in sorted(set(langs))}
+        self.overall = x.mean(axis=0) if len(x) else np.zeros(SKETCH, np.float32)
+        x = self.centred(x, langs)
+        rng = np.random.default_rng(seed)
+        centres = x[:1]
+        while len(centres) < min(TOPICS, len(x)):  # each next one is far from those there are
+            far = 1 - (x @ centres.T).max(axis=1)
+            centres = np.vstack([centres, x[rng.choice(len(x), p=far.clip(1e-9) / far.clip(1e-9).sum())]])
+        for _ in range(20 if len(x) else 0):
+            own = (x @ centres.T).argmax(axis=1)
+            sums = np.vstack([x[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
+            centres = sums / np.linalg.norm(sums, axis=1, keepdims=True).clip(1e-9)
+        self.centres = centres
+
+    def centred(self, x: np.ndarray, langs) -> np.ndarray:
+        x = x - np.array([self.means.get(v, self.overall) for v in langs], dtype=np.float32).reshape(-1, SKETCH)
+        return x / np.linalg.norm(x, axis=1, keepdims=True).clip(1e-9)
+
+    def of(self, sizes: DataFrame) -> DataFrame:
+        """``sizes`` with ``topic`` in place of the sketch; ``none`` without tokens."""
+        keep = ["doc_id", "source", "lang", "tokens"]
+        schema = sizes.select(*keep).schema.add("topic", StringType())
+
+        def run(batches):
+            for batch in batches:
+                column = batch.column("sketch")
+                there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+                topics = np.full(batch.num_rows, "none", dtype=object)
+                if len(there) and len(self.centres):
+                    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
+                    langs = [batch.column("lang")[int(k)].as_py() for k in there]
+                    topics[there] = [f"t{k}" for k in (self.centred(x, langs) @ self.centres.T).argmax(axis=1)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(topics, pa.string())], names=schema.names)
+
+        return sizes.select(*keep, "sketch").mapInArrow(run, schema)
+
+
 def _fill(x: np.ndarray, cap: np.ndarray, target: float) -> np.ndarray:
     """``min(cap, factor * x)`` with the factor that gives the sum ``target``, or all of ``cap``."""
     if cap.sum() <= target:
@@ -147,14 +196,15 @@ def targets_of(mix_targets: DataFrame) -> tuple[dict[str, float], dict[str, int]
     return weights, caps
 
 
-def mix(sizes: DataFrame, mix_targets: DataFrame, *, total: float | None = None, seed: int = 17) -> DataFrame:
-    """The mixture of ``sizes`` (from :func:`measured`): doc_id, source, lang, topic, tokens, copies.
+def mix(sizes: DataFrame, mix_targets: DataFrame, *, total: float | None = None, seed: int = 17, stage: Stage | None = None) -> DataFrame:
+    """The mixture of ``sizes`` (``doc_id, source, lang, topic, tokens``): those and ``copies``.
 
     Only documents with at least one copy come out. Documents without tokens, of no source or of a source
     outside the targets are not part of it. The driver gets one row a cell: sources of the targets times at
     most 677 languages times the topics.
     """
     spark = sizes.sparkSession
+    stage = stage or Stage(spark)
     weights, caps = targets_of(mix_targets)
     wanted = sizes.filter((F.col("tokens") > 0) & F.col("source").isin(*weights)) if weights else sizes.limit(0)
     axes = ["source", "lang", "topic"]
@@ -177,11 +227,22 @@ def mix(sizes: DataFrame, mix_targets: DataFrame, *, total: float | None = None,
     within = Window.partitionBy(*strata).orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
     upto = F.col("__start") + F.sum("rate").over(within.rowsBetween(Window.unboundedPreceding, 0))
     copies = (F.floor(upto / UNIT) - F.floor((upto - F.col("rate")) / UNIT)).cast("int")
-    return (
-        drawn.join(offsets, strata)
-        .select("doc_id", *axes, "tokens", copies.alias("copies"))
-        .filter(F.col("copies") > 0)
-    )
+    first_draw = stage.put(drawn.join(offsets, strata).select("doc_id", *axes, "tokens", "rate", "cap", copies.alias("copies")))
+    return _calibrated(first_draw, seed).select("doc_id", *axes, "tokens", "copies").filter(F.col("copies") > 0)
+
+
+def _calibrated(drawn: DataFrame, seed: int) -> DataFrame:
+    """``drawn`` with single copies taken away or added until each source has its expected tokens, but for less than
+    one document's: documents are gone through in an order of hashes, with running totals in parts."""
+    token_copies = F.col("tokens").cast("bigint") * F.col("copies")
+    over = drawn.groupBy("source").agg((F.sum(token_copies) - F.round(F.sum(F.col("tokens") * F.col("rate") / UNIT)).cast("bigint")).alias("over"))
+    marked = drawn.join(F.broadcast(over), "source")  # one row a source of the targets
+    may = ((F.col("over") > 0) & (F.col("copies") > 0)) | ((F.col("over") < 0) & (F.col("copies") < F.col("cap")))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed + 2)), 1)
+    ordered = marked.withColumns({"place": place, "weight": F.when(may, F.col("tokens")).otherwise(0)})
+    total = running_total(ordered, ["source"], "place", "weight", "before", width=1 << 53)
+    moved = (F.col("weight") > 0) & (F.col("before") + F.col("weight") <= F.abs("over"))
+    return total.withColumn("copies", F.when(moved, F.col("copies") - F.signum(F.col("over")).cast("int")).otherwise(F.col("copies")))
 
 
 def shares(mixture: DataFrame, sizes: DataFrame, mix_targets: DataFrame) -> DataFrame:
@@ -221,5 +282,7 @@ def margins(mixture: DataFrame, sizes: DataFrame, mix_targets: DataFrame) -> Dat
 def mixture_stages(documents: DataFrame, mix_targets: DataFrame, *, rank_file: str = RANK_FILE, stage: Stage | None = None):
     """``(mixture, sizes)``; the sizes are written once, as the texts are read and encoded only once."""
     stage = stage or Stage(documents.sparkSession)
-    sizes = stage.put(measured(documents, rank_file))
-    return mix(sizes, mix_targets), sizes
+    sketches = stage.put(measured(documents, rank_file))
+    sizes = stage.put(Topics(sketches).of(sketches))
+    stage.drop(sketches)
+    return mix(sizes, mix_targets, stage=stage), sizes
