@@ -136,10 +136,24 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     ranked = each.join(rarity.filter("df > 1"), "s", "left").fillna({"df": 1})
     ranked = ranked.withColumn("rank", F.row_number().over(order))
     prefix = ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).filter("df > 1")
-    left = prefix.select("s", F.col("cid").alias("a"), F.col("n").alias("na"))
-    right = prefix.select("s", F.col("cid").alias("b"), F.col("n").alias("nb"))
+    prefix = prefix.withColumn("parts", _parts(F.col("df")))
+    left = _dealt(prefix, "cid").select("s", "part", F.col("cid").alias("a"), F.col("n").alias("na"))
+    right = _repeated(prefix).select("s", "part", F.col("cid").alias("b"), F.col("n").alias("nb"))
     near = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-    return left.join(right, "s").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return left.join(right, ["s", "part"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+
+
+def _parts(members: Column) -> Column:
+    """Parts into which one side of a group of so many members is dealt, that no task joins a whole large group."""
+    return F.ceil(members / HOT_BUCKET).cast("int")
+
+
+def _dealt(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
 
 class NearDuplicates:
@@ -200,8 +214,10 @@ class NearDuplicates:
         """Every pair of keys, the smaller first: copies with each other and the members of linked classes."""
         left = self.members.select("field", F.col("key").alias("a"), F.col("cid").alias("ca"))
         right = self.members.select("field", F.col("key").alias("b"), F.col("cid").alias("cb"))
-        copies = left.join(right, (left.ca == right.cb) & (left.field == right.field) & (left.a < right.b))
-        copies = copies.select(left.field, "a", "b")
+        sizes = self.members.groupBy("cid").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("cid").alias("c"), _parts(F.col("m")).alias("parts"))
+        one = _dealt(left.join(sizes, left.ca == sizes.c), "a").select("field", "c", "part", "a")
+        other = _repeated(right.join(sizes, right.cb == sizes.c)).select("field", "c", "part", "b")
+        copies = one.join(other, ["field", "c", "part"]).filter("a < b").select("field", "a", "b")
         linked = self.links.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(left, "ca")
         linked = linked.join(right.drop("field"), "cb")
         return copies.union(linked.select("field", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
