@@ -193,7 +193,9 @@ class NeighbourGraph:
         own = codes.filter("part = 0").select(F.col("cid").alias("u"), "q")
         offers = found.select("u", F.explode("edges").alias("e")).select("u", "e.v", "e.s")
         state = own.withColumn("edges", F.array().cast(_STATE_EDGES)).select("u", "q", "edges")
-        return self.stage.put(self._merge(state, offers.filter("u != v")))
+        started = self.stage.put(self._merge(state, offers.filter("u != v")))
+        self.stage.drop(codes)
+        return started
 
     # -- descent -------------------------------------------------------------------------------------
 
@@ -320,7 +322,9 @@ class NeighbourGraph:
         found = ordered.select("cid", "q", "asks").mapInArrow(run, schema)
         asked = both.filter("asks and part = 0").select(F.col("cid").alias("u"), "q")
         offers = found.select("u", F.explode("edges").alias("e")).select("u", "e.v", "e.s")
-        return self._view(asked.withColumn("edges", F.array().cast(_STATE_EDGES)), offers)
+        view = self._view(asked.withColumn("edges", F.array().cast(_STATE_EDGES)), offers)
+        self.stage.drop(both)
+        return view
 
     def _view(self, state: DataFrame, offers: DataFrame) -> DataFrame:
         keep, self.keep = self.keep, VIEW
@@ -359,11 +363,14 @@ class NeighbourGraph:
             chosen = self.stage.put(each.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= EXPAND).select("u", "q", "v"))
             if chosen.isEmpty():
                 break
-            done = chosen.select("u", "v")
-            behind = self.stage.put(done if behind is None else behind.union(done))
+            done, before = chosen.select("u", "v"), behind
+            behind = self.stage.put(done if before is None else before.union(done))
+            if before is not None:
+                self.stage.drop(before)
             new = chosen.join(ahead, "v").select("u", "q", F.explode("next").alias("v")).distinct()
             offers = new.join(codes, "v").select("u", "v", "q", "qv").mapInArrow(compare, schema)
-            view = self._view(view, offers)
+            old, view = view, self._view(view, offers)
+            self.stage.drop(old, chosen)
         pairs = view.select("u", F.explode(F.slice("edges", 1, 2 * k)).alias("e")).select("u", "e.v")
         left = fine.select("u", F.col("vector").alias("x"))
         right = self.vectors.select(F.col("cid").alias("v"), F.col("vector").alias("y"))
