@@ -509,7 +509,7 @@ def skip_gram(pages: DataFrame, stage: Stage) -> SkipGram:
     return model
 
 
-def places_of(pages: DataFrame, model: SkipGram) -> DataFrame:
+def places_of(pages: DataFrame, model: SkipGram, stage: Stage) -> DataFrame:
     """``word, vector``: where each form lies among the vectors, by the contexts of all its occurrences; the mean
     of all occurrences of all forms is the origin."""
     schema = StructType([StructField("word", StringType()), StructField("n", LongType()), *_VECTOR])
@@ -546,11 +546,11 @@ def places_of(pages: DataFrame, model: SkipGram) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in kept], pa.string()), pa.array(seen[kept]), *(pa.array(x) for x in sums[kept].T)], names=schema.names)
 
     sums = [F.sum(c).alias(c) for c in ("n", *(f.name for f in _VECTOR))]
-    each = pages.select("words").mapInArrow(run, schema).groupBy("word").agg(*sums)
-    origin = each.agg(*sums)
-    named = F.broadcast(origin.select(*(F.coalesce(F.col(f.name) / F.col("n"), F.lit(0.0)).alias(f"o{k}") for k, f in enumerate(_VECTOR))))
-    numbers = [(F.col(f"v{k}") / F.col("n") - F.col(f"o{k}")).cast("float") for k in range(DIMENSIONS)]
-    return each.join(named).select("word", F.array(*numbers).alias("vector"))  # the origin is one row
+    each = stage.put(pages.select("words").mapInArrow(run, schema).groupBy("word").agg(*sums))
+    whole = each.agg(*sums).first()
+    origin = [whole[f.name] / whole.n if whole.n else 0.0 for f in _VECTOR]
+    numbers = [(F.col(f.name) / F.col("n") - F.lit(o)).cast("float") for f, o in zip(_VECTOR, origin)]
+    return each.select("word", F.array(*numbers).alias("vector"))
 
 
 class _Numbering(dict):
@@ -643,9 +643,7 @@ class ScannedPages:
         counts = self.stage.put(forms(self.pages))
         self.counts = counts
         self.model = model or skip_gram(self.pages, self.stage)
-        places = self.stage.put(places_of(self.pages, self.model))
-        self.forms = self.stage.put(link_forms(counts, places))
-        self.stage.drop(places)
+        self.forms = self.stage.put(link_forms(counts, places_of(self.pages, self.model, self.stage)))
         self.findings = self.stage.put(self._findings())
 
     def _findings(self) -> DataFrame:
