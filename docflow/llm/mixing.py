@@ -33,6 +33,8 @@ STRATUM_GROUP = 100_000
 
 #: Clusters that are taken as topics, documents they are found on at most, numbers of a document's sketch.
 TOPICS, TOPIC_SAMPLE, SKETCH = 8, 20_000, 48
+#: Times that a source's tokens are brought nearer to its target.
+TURNS = 2
 #: Token ids are hashed into so many rows of random numbers.
 TOPIC_ROWS = 1 << 14
 
@@ -228,21 +230,28 @@ def mix(sizes: DataFrame, mix_targets: DataFrame, *, total: float | None = None,
     upto = F.col("__start") + F.sum("rate").over(within.rowsBetween(Window.unboundedPreceding, 0))
     copies = (F.floor(upto / UNIT) - F.floor((upto - F.col("rate")) / UNIT)).cast("int")
     first_draw = stage.put(drawn.join(offsets, strata).select("doc_id", *axes, "tokens", "rate", "cap", copies.alias("copies")))
-    return _calibrated(first_draw, seed).select("doc_id", *axes, "tokens", "copies").filter(F.col("copies") > 0)
+    draw = first_draw
+    for turn in range(TURNS):
+        draw = stage.put(_calibrated(draw, seed + turn))
+    stage.drop(first_draw)
+    return draw.select("doc_id", *axes, "tokens", "copies").filter(F.col("copies") > 0)
 
 
 def _calibrated(drawn: DataFrame, seed: int) -> DataFrame:
     """``drawn`` with single copies taken away or added until each source has its expected tokens, but for less than
-    one document's: documents are gone through in an order of hashes, with running totals in parts."""
+    one document's: documents that aren't too large are gone through in an order of hashes, with running totals in
+    parts. What is left after one turn is less than the largest of them, and the next turn takes smaller ones."""
     token_copies = F.col("tokens").cast("bigint") * F.col("copies")
     over = drawn.groupBy("source").agg((F.sum(token_copies) - F.round(F.sum(F.col("tokens") * F.col("rate") / UNIT)).cast("bigint")).alias("over"))
     marked = drawn.join(F.broadcast(over), "source")  # one row a source of the targets
-    may = ((F.col("over") > 0) & (F.col("copies") > 0)) | ((F.col("over") < 0) & (F.col("copies") < F.col("cap")))
+    small = F.col("tokens") <= F.abs("over")
+    may = small & (((F.col("over") > 0) & (F.col("copies") > 0)) | ((F.col("over") < 0) & (F.col("copies") < F.col("cap"))))
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed + 2)), 1)
     ordered = marked.withColumns({"place": place, "weight": F.when(may, F.col("tokens")).otherwise(0)})
     total = running_total(ordered, ["source"], "place", "weight", "before", width=1 << 53)
     moved = (F.col("weight") > 0) & (F.col("before") + F.col("weight") <= F.abs("over"))
-    return total.withColumn("copies", F.when(moved, F.col("copies") - F.signum(F.col("over")).cast("int")).otherwise(F.col("copies")))
+    copies = F.when(moved, F.col("copies") - F.signum(F.col("over")).cast("int")).otherwise(F.col("copies"))
+    return total.withColumn("copies", copies).select(*drawn.columns)
 
 
 def shares(mixture: DataFrame, sizes: DataFrame, mix_targets: DataFrame) -> DataFrame:
