@@ -139,6 +139,7 @@ SQL: dict[str, str] = {
     "artifact_validate": """select distinct id, case when coalesce(id, '') = '' then 'MISSING_ID' when coalesce(media_type, '') = '' then 'MISSING_MEDIA_TYPE'
         when coalesce(derived_from, '') = '' then 'MISSING_PARENT' end as error from artifacts""",
     "text_artifacts": "select distinct id from artifacts where blob is null and coalesce(text, '') <> ''",
+    "text_artifact": "select 'doc-' || doc_id as derived_from, '' as id, 'text/plain' as media_type, true as no_blob, cast(length(text) as int) as length from documents where text is not null",
     "single_text_artifact": """with a as (select distinct id, derived_from, text, blob from artifacts),
         g as (select derived_from, cast(count(*) filter (blob is null and coalesce(text, '') <> '') as bigint) as n,
           min(text) filter (blob is null and coalesce(text, '') <> '') as t from a group by 1)
@@ -176,6 +177,7 @@ SQL: dict[str, str] = {
     "chunk_pack_overlap": _chunked("select id, text from texts", 400, 150, _SPAN_COLUMNS, more=TEXTS + ", "),
     "chunk_headings": _chunked("select id, text from texts", 256, 32, "id, " + _ALL_COLUMNS, "headings", more=TEXTS + ", "),
     "chunk_hard_split": _chunked("select doc_id as id, regexp_replace(text, '\\n+', ' ', 'g') as text from documents", 96, 16, "id as doc_id, " + _ALL_COLUMNS),
+    "chunk_defaults": _chunked("select doc_id as id, text from documents", 512, 64, "id as doc_id, chunk_index, start_byte, end_byte, token_count"),
     "chunk_fenced": _chunked(
         "select doc_id as id, 'intro' || chr(10) || '```' || chr(10) || regexp_replace(text, '([.;]) ', '\\1' || chr(10), 'g') || chr(10) || '```' || chr(10) || 'end' as text from documents",
         64, 8, "id as doc_id, " + _ALL_COLUMNS,
@@ -196,6 +198,8 @@ SQL: dict[str, str] = {
     "embed_batches_by_count": f"with {VALID} select pos, cast((row_number() over (order by pos) - 1) // 32 as bigint) as batch_id from good",
     "embed_records": f"""with {VALID} select pos, r.s as source_id, r.a as artifact_id, r.c."index" as chunk_index, 8 as dims, tokens as token_count,
         'local' as provider, 'hash' as name from good""",
+    "embed_dimensions": f"with {VALID} select 5 as dims, count(*) as n from good having count(*) > 0",
+    "embed_block_records": f"""with {VALID} select pos, r.s as source_id, r.a as artifact_id, r.c."index" as chunk_index, 8 as dims, tokens as token_count from good""",
     "embed_poison_records": f"""with {VALID} select pos from good where length(r.c."text") % 97 <> 0""",
     "embed_poison_failures": f"""with {INPUTS} select pos as first_pos, 1 as n, coalesce({ERROR}, 'refused') as code, {ERROR} is null as retryable from inputs_once
         where {ERROR} is not null or length(r.c."text") % 97 = 0""",

@@ -121,6 +121,13 @@ def text_artifacts(spark, d):
     return ct.text_artifacts(table(spark, d, "artifacts")).select("id").distinct()
 
 
+@query
+def text_artifact(spark, d):
+    """Each document's text as an artifact of a parent that is named after it."""
+    made = docs(spark, d).filter("text is not null").select(ct.text_artifact(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.col("text")).alias("a"))
+    return made.select("a.derived_from", "a.id", "a.media_type", F.col("a.blob").isNull().alias("no_blob"), F.char_length("a.text").alias("length"))
+
+
 @query
 def single_text_artifact(spark, d):
     artifacts = table(spark, d, "artifacts").dropDuplicates(["id"])
@@ -336,6 +343,12 @@ def chunk_hard_split(spark, d):
     return ch.chunk(flat, ["doc_id"], max_tokens=96, overlap_tokens=16)
 
 
+@query
+def chunk_defaults(spark, d):
+    """Documents under the default budget and overlap."""
+    return ch.chunk(docs(spark, d), ["doc_id"]).select("doc_id", "chunk_index", "start_byte", "end_byte", "token_count")
+
+
 @query
 def chunk_headings(spark, d):
     return ch.chunk(_texts(spark, d), ["id"], max_tokens=256, overlap_tokens=32, boundaries="headings")
@@ -414,6 +427,20 @@ def embed_vectors(spark, d):
     return em.embed_run(table(spark, d, "inputs"), _embedder).records.select("pos", "vector")
 
 
+@query
+def embed_dimensions(spark, d):
+    """The number of dimensions that is asked for reaches the client."""
+    run = em.embed_run(table(spark, d, "inputs"), _embedder, EmbedConfig(dimensions=5, task="retrieval"))
+    return run.records.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n"))
+
+
+@query
+def embed_block_records(spark, d):
+    """Batches by blocks of positions give the same records."""
+    run = em.embed_run(table(spark, d, "inputs"), _embedder, EmbedConfig(max_batch_inputs=16), scope="block")
+    return run.records.select("pos", "source_id", "artifact_id", "chunk_index", F.size("vector").alias("dims"), "token_count")
+
+
 @query
 def embed_poison_records(spark, d):
     return em.embed_run(table(spark, d, "inputs"), _poisoned).records.select("pos")
