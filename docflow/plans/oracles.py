@@ -110,6 +110,14 @@ _FNV = "1099511628211::hugeint % 18446744073709551616::hugeint"
 _HEX = "'0123456789ABCDEF'"
 
 
+def _hash_vectors(key: str, source: str, text: str) -> str:
+    """``key, vector`` of eight numbers from hashes of the text's bytes and the number's place."""
+    return f"""h as (select {key}, regexp_extract_all(hex(encode(coalesce({text}, ''))), '..') as p from {source}),
+        s as (select {key}, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(p, lambda q: ((instr({_HEX}, left(q, 1)) - 1) * 16 + instr({_HEX}, right(q, 1)) - 1)::hugeint)),
+          lambda a, x: xor(a, x) * {_FNV}) as st from h)
+        select {key}, list_transform(range(48, 56), lambda k: cast((xor(st, k::hugeint) * {_FNV}) % 2000 as float) / cast(1000 as float) - cast(1 as float)) as vector from s"""
+
+
 def _chunked(texts: str, budget: int, overlap: int, columns: str, boundaries: str = "paragraphs", units: str | None = None, more: str = "") -> str:
     return f"with recursive {more}{cs.chunks(texts, budget, overlap, boundaries, units)} select {columns} from chunks"
 
@@ -186,10 +194,8 @@ SQL: dict[str, str] = {
         "select source_id as id, string_agg(t, chr(10) || chr(10) order by k) as text from ps group by 1", 900, 0,
         "id as source_id, chunk_index, start_byte, end_byte, token_count", units="select source_id as id, k, a, a + strlen(t) as b from ps", more=_PAGE_UNITS,
     ),
-    "fake_vectors": f"""with h as (select doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as p from documents),
-        s as (select doc_id, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(p, lambda q: ((instr({_HEX}, left(q, 1)) - 1) * 16 + instr({_HEX}, right(q, 1)) - 1)::hugeint)),
-          lambda a, x: xor(a, x) * {_FNV}) as st from h)
-        select doc_id, list_transform(range(48, 56), lambda k: cast((xor(st, k::hugeint) * {_FNV}) % 2000 as float) / cast(1000 as float) - cast(1 as float)) as vector from s""",
+    "fake_vectors": f"with {_hash_vectors('doc_id', 'documents', 'text')}",
+    "embed_vectors": f"with {VALID}, {_hash_vectors('pos', 'good', 'r.c.text')}",
     "chunk_small": f"""with n as (select doc_id, {normal('text')} as t from documents where regexp_matches(text, '{NOT_WS}') and (length(text) + 3) // 4 <= 384)
         select doc_id, cast(1 as bigint) as chunks, cast(strlen(t) as int) as end_byte from n""",
     "embed_validate": f"with {INPUTS} select pos, {ERROR} as error from inputs_once",
