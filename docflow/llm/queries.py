@@ -21,6 +21,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).similar_pairs(5, 0.85)
 
 
+P1_FOUND = """
+with usable as (
+  select pos, min(vector) as v from records
+  where pos is not null and len(vector) = 64 and list_bool_and(list_transform(vector, lambda x: x is not null and isfinite(x)))
+    and list_bool_or(list_transform(vector, lambda x: x <> 0)) group by pos
+), pairs as (
+  select x.pos as x, y.pos as y, round(list_cosine_similarity(x.v::double[], y.v::double[]), 10) as c from usable x join usable y on x.pos <> y.pos
+), ranked as (select x, y, c, row_number() over (partition by x order by c desc, y) as n from pairs)
+select distinct least(x, y) as a, greatest(x, y) as b from ranked where n <= 5 and c >= 0.85
+"""
+
+
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir, keep=None, orders=None).neighbours(5)
 
@@ -116,6 +128,22 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groups().withColumn("field", neardup.field_name(F.col("field")))
 
 
+P4_GROUPS = P4_FOUND.split("select p.field")[0].replace("with texts", "with recursive texts") + """
+, near as (
+  select p.field, p.a, p.b from pairs p join sizes s on s.field = p.field and s.key = p.a join sizes r on r.field = p.field and r.key = p.b
+  where p.both >= 0.6 * (s.n + r.n - p.both)
+), sets as (select t.field, t.key, md5(string_agg(t.t, chr(1) order by t.t)) as c from triples t join sizes s on s.field = t.field and s.key = t.key group by all
+), classes as (select field, c, min(key) as class_key, count(*) as copies from sets group by all
+), half as (select n.field, x.c as a, y.c as b from near n join sets x on x.field = n.field and x.key = n.a join sets y on y.field = n.field and y.key = n.b where x.c <> y.c
+), links as (select field, a, b from half union select field, b, a from half
+), degree as (select field, a as c, count(*) as links from links group by all
+), reach(field, c, other) as (select field, c, c from classes union select r.field, r.c, l.b from reach r join links l on l.field = r.field and l.a = r.other
+), tops as (select r.field, r.c, min(k.class_key) as group_key from reach r join classes k on k.field = r.field and k.c = r.other group by all)
+select s.field, s.key, k.class_key, t.group_key, k.copies, coalesce(d.links, 0) as links
+from sets s join classes k on k.field = s.field and k.c = s.c join tops t on t.field = s.field and t.c = s.c left join degree d on d.field = s.field and d.c = s.c
+"""
+
+
 def _split_args(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [table(spark, sf_dir, t) for t in ("chunks", "artifacts", "chunk_limits")]
 
@@ -235,4 +263,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p7_roundtrip": P7_ROUNDTRIP}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p5_found": P5_FOUND, "p7_roundtrip": P7_ROUNDTRIP}
