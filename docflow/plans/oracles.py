@@ -110,6 +110,14 @@ _FNV = "1099511628211::hugeint % 18446744073709551616::hugeint"
 _HEX = "'0123456789ABCDEF'"
 
 
+_BLOCK = r"[ \t\r]*\n(?s:.*?\n)??"
+#: Markdown without its byte-order mark and front matter.
+_MARKDOWN = (
+    "regexp_replace(case when regexp_matches(text, '^\\x{FEFF}?---') then regexp_replace(text, '^\\x{FEFF}?---" + _BLOCK + "---[ \\t\\r]*(?:\\n|$)', '')"
+    + " else regexp_replace(text, '^\\x{FEFF}?\\+\\+\\+" + _BLOCK + "\\+\\+\\+[ \\t\\r]*(?:\\n|$)', '') end, '^\\x{FEFF}', '')"
+)
+
+
 def _hash_vectors(key: str, source: str, text: str) -> str:
     """``key, vector`` of eight numbers from hashes of the text's bytes and the number's place."""
     return f"""h as (select {key}, regexp_extract_all(hex(encode(coalesce({text}, ''))), '..') as p from {source}),
@@ -283,6 +291,14 @@ SQL: dict[str, str] = {
     "slide_order": """with f as (select doc_id, unnest(range(1, 2 + coalesce(n_chars, 0) % 12)) as num from documents)
         select doc_id, 'ppt/slides/slide' || num || '.xml' as name,
           cast(row_number() over (partition by doc_id order by case when num % 3 = 0 then 1 else 0 end, case when num % 3 = 0 then num else -num end) - 1 as int) as rank from f""",
+    "flagship": "with recursive "
+    + cs.chunks(
+        f"""select doc_id as id, case when {canonical('media_type')} = 'text/markdown' then {_MARKDOWN} else {normal('text')} end as text
+          from (select doc_id, coalesce(media_type, 'text/plain') as media_type, text from documents)""",
+        512, 64, "headings",
+    )
+    + f""" select id * 1048576 + chunk_index as pos, cast(id as varchar) as source_id, id || '#0' as artifact_id, chunk_index, token_count, 8 as dims
+        from chunks where regexp_matches(text, '{NOT_WS}')""",
 }
 SQL["pptx_extract"] = SQL["docx_extract"]
 SQL["line_marks_kernel"] = SQL["line_marks"]
