@@ -40,8 +40,10 @@ UNSURE = 80
 #: Rows of either table of vectors, into which words are hashed; numbers in a vector; words on either side that
 #: count as context.
 BUCKETS, DIMENSIONS, REACH = 1 << 15, 24, 2
+#: Words that weren't met for each pair, and words of which these are drawn in one step.
+NOISE, SHARED = 4, 128
 #: Times that the parts' models are averaged, and passes over a part's pairs between.
-ROUNDS, PASSES = 2, 3
+ROUNDS, PASSES = 2, 6
 #: Words of which one is to be the other misread have at least this cosine.
 NEAR = 0.1
 #: The same for forms of two and three letters, from which an edit leads to many words.
@@ -292,27 +294,53 @@ class _Remember(dict):
         return value
 
 
-def forms(pages: DataFrame) -> DataFrame:
-    """``word, n`` of every form in the pages, look-alike characters made one. Broken halves aren't counted."""
-    schema = StructType([StructField("word", StringType()), StructField("n", LongType())])
+_SEEN = StructType([StructField("word", StringType()), *(StructField(c, IntegerType()) for c in "ac"), StructField("n", LongType())])
+
+
+def seen(pages: DataFrame) -> DataFrame:
+    """What the pages hold, counted within each part of the table, in one pass: ``word, n`` of every form, look-alike
+    characters made one and broken halves left out; and ``a, c, n`` of words and the folded words near them, as rows
+    of the tables of vectors."""
 
     def run(batches):
-        reader = Reader()
-        for batch in batches:
-            counts: Counter = Counter()
-            for part in _small([batch], 512):
-                words = Words(part.column("words"))
-                texts = reader.texts(words)
-                whole = np.ones(len(texts) + 1, dtype=bool)
-                last = set((words.starts[1:] - 1).tolist())
-                halves = [k for k, w in enumerate(texts) if w and w[-1] in _HYPHENS and k not in last]
-                whole[halves] = False
-                whole[np.array(halves, dtype=np.int64) + 1] = False
-                counts.update(reader.cores[w] for w, fine in zip(texts, whole.tolist()) if w and fine)
-            counts.pop("", None)
-            yield _rows_batch([(w, n) for w, n in counts.items() if not _PLAIN_NUMBER.match(w)], schema)
+        reader, inputs, contexts = Reader(), _Remember(bucket), _Remember(lambda w: bucket(fold(w)))
+        counts: Counter = Counter()
+        codes, held = [], 0
+        for batch in _small(batches, 512):
+            words = Words(batch.column("words"))
+            texts = reader.texts(words)
+            cores = [reader.cores[w] for w in texts]
+            whole = np.ones(len(texts) + 1, dtype=bool)
+            last = set((words.starts[1:] - 1).tolist())
+            halves = [k for k, w in enumerate(texts) if w and w[-1] in _HYPHENS and k not in last]
+            whole[halves] = False
+            whole[np.array(halves, dtype=np.int64) + 1] = False
+            counts.update(w for w, fine in zip(cores, whole.tolist()) if w and fine)
+            a, c = _in_rows(words, cores, inputs), _in_rows(words, cores, contexts)
+            for d in range(1, REACH + 1):
+                for x, y in ((a[:-d], c[d:]), (a[d:], c[:-d])):
+                    fine = (x >= 0) & (y >= 0)
+                    codes.append(x[fine] * BUCKETS + y[fine])
+                    held += len(codes[-1])
+            if held > 4_000_000:
+                yield pairs(codes)
+                codes, held = [], 0
+            if len(counts) > _Remember.MOST:
+                yield words_of(counts)
+                counts.clear()
+        yield words_of(counts)
+        yield pairs(codes)
+
+    def words_of(counts):
+        items = [(w, None, None, n) for w, n in counts.items() if not _PLAIN_NUMBER.match(w)]
+        return _rows_batch(items, _SEEN)
 
-    return pages.select("words").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    def pairs(codes):
+        found, n = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_counts=True)
+        columns = [pa.nulls(len(n), pa.string()), *(pa.array(x.astype(np.int32)) for x in (found // BUCKETS, found % BUCKETS)), pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=_SEEN.names)
+
+    return pages.select("words").mapInArrow(run, _SEEN)
 
 
 def _plain(canon: Canon, words: list[str | None]) -> list[str]:
@@ -393,28 +421,26 @@ class SkipGram:
 
     def trained(self, a: np.ndarray, c: np.ndarray, n: np.ndarray, rate: float, seed: int = 3) -> SkipGram:
         """A model after ``PASSES`` over all pairs of word ``a`` and context ``c``, seen ``n`` times."""
-        u, v = self.inputs.astype(np.float64), self.contexts.astype(np.float64)
+        u, v = self.inputs.copy(), self.contexts.copy()
         rng = np.random.default_rng(seed)
         weight = 1 + np.log(n)
-        weight /= weight.mean()
+        weight = (weight / weight.mean()).astype(np.float32)
         noise = np.cumsum(np.bincount(c, weights=n.astype(float), minlength=BUCKETS) ** 0.75)
         noise /= noise[-1]
-        size, step = 8192, 0
+        # The words that weren't met are drawn once for all pairs of a step, each for its share of those it stands for.
+        size, step, share = 8192, 0, np.float32(NOISE / SHARED)
         steps = PASSES * -(-len(a) // size)
         for _ in range(PASSES):
             order = rng.permutation(len(a))
             for at in range(0, len(a), size):
                 pick = order[at : at + size]
-                now, step = rate * (1 - step / steps) + 0.01, step + 1
-                other = np.searchsorted(noise, rng.random((len(pick), 4)), side="right").clip(max=BUCKETS - 1)
-                near = np.concatenate([c[pick][:, None], other], axis=1)
-                x, y = u[a[pick]], v[near]
-                e = 1 / (1 + np.exp(-np.clip(np.einsum("kd,kjd->kj", x, y), -20, 20)))
-                e[:, 0] -= 1
-                e *= weight[pick][:, None]
-                to_u, to_v = np.einsum("kj,kjd->kd", e, y), e[:, :, None] * x[:, None, :]
-                _descend(u, a[pick], to_u, now)
-                _descend(v, near.ravel(), to_v.reshape(-1, DIMENSIONS), now)
+                now, step = np.float32(rate * (1 - step / steps) + 0.01), step + 1
+                other = np.searchsorted(noise, rng.random(SHARED), side="right").clip(max=BUCKETS - 1)
+                x, y, z = u[a[pick]], v[c[pick]], v[other]
+                near = (_sigmoid((x * y).sum(axis=1)) - 1) * weight[pick]
+                far = _sigmoid(x @ z.T) * (share * weight[pick])[:, None]
+                _descend(u, a[pick], near[:, None] * y + far @ z, now)
+                _descend(v, np.r_[c[pick], other], np.vstack([near[:, None] * x, far.T @ x]), now)
         return SkipGram(u, v)
 
     def surroundings(self, around: list[str]) -> np.ndarray | None:
@@ -427,6 +453,10 @@ class SkipGram:
         return 0.0 if place is None else float(np.clip(self.inputs[bucket(word)] @ place, -5, 5))
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+
+
 def _descend(table: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
     """A step for each row of ``table`` that has gradients; steps are bounded, as a row may have very many."""
     order = np.argsort(rows, kind="stable")
@@ -434,7 +464,7 @@ def _descend(table: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: fl
     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     total = np.add.reduceat(gradient[order], first, axis=0)
     count = np.diff(np.r_[first, len(own)])
-    table[own[first]] -= np.clip(rate * total / np.sqrt(count)[:, None], -0.3, 0.3)
+    table[own[first]] -= np.clip(rate * total / np.sqrt(count, dtype=np.float32)[:, None], -0.3, 0.3)
 
 
 def _in_rows(words: Words, cores: list[str], of: _Remember) -> np.ndarray:
@@ -446,41 +476,13 @@ def _in_rows(words: Words, cores: list[str], of: _Remember) -> np.ndarray:
     return out
 
 
-_PAIR = StructType([StructField("a", IntegerType()), StructField("c", IntegerType()), StructField("n", IntegerType())])
 _VECTOR = [StructField(f"v{k}", DoubleType()) for k in range(DIMENSIONS)]
 
 
-def co_occurrences(pages: DataFrame) -> DataFrame:
-    """``a, c, n``: words and the folded words near them, as rows of the tables, counted within each part."""
-
-    def run(batches):
-        reader, inputs, contexts = Reader(), _Remember(bucket), _Remember(lambda w: bucket(fold(w)))
-        codes = []
-        for batch in _small(batches, 512):
-            words = Words(batch.column("words"))
-            cores = [reader.cores[w] for w in reader.texts(words)]
-            a, c = _in_rows(words, cores, inputs), _in_rows(words, cores, contexts)
-            for d in range(1, REACH + 1):
-                for x, y in ((a[:-d], c[d:]), (a[d:], c[:-d])):
-                    fine = (x >= 0) & (y >= 0)
-                    codes.append(x[fine] * BUCKETS + y[fine])
-            if sum(map(len, codes)) > 4_000_000:
-                yield counted(codes)
-                codes = []
-        yield counted(codes)
-
-    def counted(codes):
-        pairs, n = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (pairs // BUCKETS, pairs % BUCKETS, n)], names=_PAIR.names)
-
-    return pages.select("words").mapInArrow(run, _PAIR)
-
-
-def skip_gram(pages: DataFrame, stage: Stage) -> SkipGram:
+def skip_gram(pairs: DataFrame) -> SkipGram:
     """Trained on all co-occurrences: each part of the table trains on its own, from the model of the round before,
     and rows of the tables are averaged by how much each part saw of them. The driver holds two tables of
     ``BUCKETS`` rows."""
-    pairs = stage.put(co_occurrences(pages))
     model = SkipGram.start()
     schema = StructType([StructField("side", IntegerType()), StructField("row", IntegerType()), StructField("weight", DoubleType()), *_VECTOR])
     for turn in range(ROUNDS):
@@ -505,7 +507,6 @@ def skip_gram(pages: DataFrame, stage: Stage) -> SkipGram:
             own = rows[rows.side == side]
             table[own.row.to_numpy()] = own[[f.name for f in _VECTOR]].to_numpy()
         model = SkipGram(*tables)
-    stage.drop(pairs)
     return model
 
 
@@ -640,9 +641,11 @@ class ScannedPages:
         edges = furniture(plain, self.stage, own_blocks)
         self.pages = self.stage.put(plain.join(edges, ["source_id", "page_no"], "left"))
         self.stage.drop(plain)
-        counts = self.stage.put(forms(self.pages))
+        found = self.stage.put(seen(self.pages))
+        counts = self.stage.put(found.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
         self.counts = counts
-        self.model = model or skip_gram(self.pages, self.stage)
+        self.model = model or skip_gram(found.filter("word is null").select("a", "c", "n"))
+        self.stage.drop(found)
         self.forms = self.stage.put(link_forms(counts, places_of(self.pages, self.model, self.stage)))
         self.findings = self.stage.put(self._findings())
 
