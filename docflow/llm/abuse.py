@@ -543,9 +543,9 @@ class Detector:
     def __init__(self, documents: DataFrame, stage: Stage | None = None):
         self.stage = stage or Stage(documents.sparkSession)
         self.documents, self.read = documents, self.stage.put(self._read(documents))
-        voted = self.read.filter(F.exists("masks", lambda m: m > 0)).select(F.explode("masks").alias("mask")).filter("mask > 0")
+        voted = self.read.filter(F.exists("__masks", lambda m: m > 0)).select(F.explode("__masks").alias("mask")).filter("mask > 0")
         self.labels = LabelModel({r.mask: r.n for r in voted.groupBy("mask").agg(F.count("*").alias("n")).collect()})
-        each = self.read.select(F.explode(F.arrays_zip(F.split("passages", _CUT).alias("p"), F.col("masks").alias("m"))).alias("x")).select("x.p", "x.m")
+        each = self.read.select(F.explode(F.arrays_zip(F.split("__passages", _CUT).alias("p"), F.col("__masks").alias("m"))).alias("x")).select("x.p", "x.m")
         abuse = F.col("mask").bitwiseAND((1 << len(FOR)) - 1) > 0
         offered = each.filter((F.col("m") > 0) | (F.pmod(F.xxhash64("p"), F.lit(UNVOTED_PART)) == 0))
         offered = offered.select(F.regexp_replace("p", "[0-9]+", "0").alias("passage"), F.col("m").alias("mask"))
@@ -563,10 +563,10 @@ class Detector:
 
     @staticmethod
     def _read(documents: DataFrame) -> DataFrame:
-        """``documents`` with ``passages``, words parted by blanks and passages by zeros, and ``masks``, the votes on
+        """``documents`` with ``__passages``, words parted by blanks and passages by zeros, and ``__masks``, the votes on
         each, in place of the text."""
-        rest = [c for c in documents.columns if c not in ("text", "passages", "masks")]
-        schema = StructType([*documents.select(*rest).schema.fields, StructField("passages", StringType()), StructField("masks", ArrayType(IntegerType()))])
+        rest = [c for c in documents.columns if c not in ("text", "__passages", "__masks")]
+        schema = StructType([*documents.select(*rest).schema.fields, StructField("__passages", StringType()), StructField("__masks", ArrayType(IntegerType()))])
 
         def run(batches):
             reader = Reader()
@@ -591,12 +591,12 @@ class Detector:
             model.bias = bias
             for batch in batches:
                 scores = []
-                for flat, masks in zip(batch.column("passages").to_pylist(), batch.column("masks").to_pylist()):
+                for flat, masks in zip(batch.column("__passages").to_pylist(), batch.column("__masks").to_pylist()):
                     worst = max(map(model.logit, map(str.split, flat.split(_CUT)), masks), default=None) if masks else None
                     scores.append(0.0 if worst is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, worst)))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=schema.names)
 
-        return rows.select(*keep, "passages", "masks").mapInArrow(run, schema)
+        return rows.select(*keep, "__passages", "__masks").mapInArrow(run, schema)
 
 
 def source_rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -314,6 +314,8 @@ def test_abuse(spark):
     labels = spark.createDataFrame([(1000, "r", 1), (1000, "r", 1), (1, "r", 0), (2, "r", 1), (2, "s", 0), (None, "r", 1)], "doc_id bigint, rater string, abusive int")
     assert rows(abuse.agreement(scored, labels), "reviewed", "detected", "documents") == [(False, False, 1), (True, True, 1)]
     assert abuse.Detector(df.limit(0)).scores(df.limit(0), ["doc_id"]).count() == 0
+    odd = df.limit(5).withColumns({"passages": df.doc_id, "masks": df.source, "score_": df.text})
+    assert abuse.Detector(odd).scores(odd, ["doc_id", "passages", "masks"]).columns == ["doc_id", "passages", "masks", "score"]
 
 
 @pytest.mark.parametrize(
