@@ -34,13 +34,13 @@ class Engine(Protocol):
 
 @dataclass(frozen=True)
 class PopplerEngine:
-    """Poppler's programs, run on the executors; ``mode`` is ``raw`` or ``layout``."""
+    """Poppler's programs, run on the executors, each alone or with its first arguments; ``mode`` is ``raw`` or ``layout``."""
 
     mode: str = "raw"
     timeout: float = DEFAULT_TIMEOUT
-    text_program: str = "pdftotext"
-    info_program: str = "pdfinfo"
-    image_program: str = "pdftoppm"
+    text_program: str | tuple[str, ...] = "pdftotext"
+    info_program: str | tuple[str, ...] = "pdfinfo"
+    image_program: str | tuple[str, ...] = "pdftoppm"
     name: str = "pdftotext"
 
     def pages(self, data: bytes) -> list[tuple[int, str]]:

@@ -26,6 +26,7 @@ from docflow.operators import content as ct
 from docflow.operators import embed as em
 from docflow.operators import extract as ex
 from docflow.operators import pdf as pd
+from docflow.plans import standins
 from docflow.session import broadcast_if_small, table
 from docflow.sources import objects as ob
 
@@ -600,7 +601,7 @@ _STANDINS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "standins")
 
 
 def _engine() -> pd.PopplerEngine:
-    return pd.PopplerEngine(text_program=f"{_STANDINS}/text", info_program=f"{_STANDINS}/info", image_program=f"{_STANDINS}/image")
+    return pd.PopplerEngine(text_program=standins.TEXT, info_program=f"{_STANDINS}/info", image_program=f"{_STANDINS}/image")
 
 
 def _marked(text, mark: str):

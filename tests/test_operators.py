@@ -1,5 +1,10 @@
 """Operators on small tables: odd rows, nulls, empty tables, clashing names."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +352,20 @@ def test_engine_with_fake_programs(spark, tmp_path):
     assert ex.extract(df, ex.preset(gone)).first().error == "ENGINE_UNAVAILABLE"
 
 
+@pytest.mark.parametrize(
+    ("call", "want"),
+    [
+        ("pages(b'P:one\\x0c\\nP:two\\x0c')", "[(1, 'one'), (2, '\\ntwo')]"),
+    ],
+)
+def test_standins_need_no_executable_files(tmp_path, call, want):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(pd.__file__)))
+    shutil.copytree(root, tmp_path / "docflow", copy_function=shutil.copyfile)  # copies no rights
+    code = f"from docflow.plans.queries import _engine; print(_engine().{call})"
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert ran.stdout.strip().split("\n")[-1] == want, ran.stderr
+
+
 def test_reading_order_passes_over_empty_words(spark):
     w = lambda t, b, ln: (t, (0.0, 0.0, 1.0, 1.0), b, ln, 1)
     rows = [("p", [w("a", 0, 0), w("", 1, 1), w("b", 1, 1), w("c", 1, 2), w(None, 1, 2), w("d", 1, 2)]), ("q", []), ("r", None)]
