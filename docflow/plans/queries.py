@@ -601,7 +601,7 @@ _STANDINS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "standins")
 
 
 def _engine() -> pd.PopplerEngine:
-    return pd.PopplerEngine(text_program=standins.TEXT, info_program=f"{_STANDINS}/info", image_program=f"{_STANDINS}/image")
+    return pd.PopplerEngine(text_program=standins.TEXT, info_program=standins.INFO, image_program=f"{_STANDINS}/image")
 
 
 def _marked(text, mark: str):
@@ -627,9 +627,9 @@ def pdf_program_pages(spark, d):
 
 @query
 def pdf_program_layout(spark, d):
-    """Words and sizes of volumes through the table and information programs."""
+    """Words and sizes of volumes through the table and information programs; a volume that fails is a row with its error."""
     made = _tables(spark, d).join(_sizes(spark, d), "source_id").select("source_id", F.concat(_marked(F.regexp_replace("tsv", r"\n\z", ""), "T:"), F.lit("\n"), F.col("sizes")).alias("content"))
-    pages = pd.layouts(made, ["source_id"], _engine()).select("source_id", "error", F.explode("layout.pages").alias("p"))
+    pages = pd.layouts(made, ["source_id"], _engine()).select("source_id", "error", F.explode_outer("layout.pages").alias("p"))
     return pages.select(
         "source_id", F.col("p.number").alias("page"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), F.col("p.rotation").alias("rotation"),
         F.size("p.words").alias("words"), F.sha2(F.array_join(F.col("p.words.text"), " "), 256).alias("hash"), "error",

@@ -10,3 +10,15 @@ TEXT = (
 esac""",
     "text",
 )
+#: Stands in for a PDF information program: prints the page sizes marked in its input, up to the page asked for.
+INFO = (
+    "sh",
+    "-c",
+    r"""last=1000000
+while [ $# -gt 0 ]; do
+  case "$1" in -l) last=$2 ;; esac
+  shift
+done
+exec awk -v last="$last" 'sub(/^I:/, "") && (!/^Page / || $2 + 0 <= last)'""",
+    "info",
+)

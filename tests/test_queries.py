@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from docflow.plans import standins
 from docflow.plans.oracles import SQL
 from docflow.plans.queries import QUERIES
 
@@ -55,6 +56,12 @@ def test_pdf_extract_takes_every_document(spark, db):
     assert got == sorted(str(x) for (x,) in db.sql("select doc_id from documents").fetchall())
 
 
+def test_a_volume_without_layout_is_a_row_with_its_error(spark, monkeypatch):
+    monkeypatch.setattr(standins, "INFO", ("no-such-program",))
+    got = QUERIES["pdf_program_layout"](spark, DATA).collect()
+    assert got and {(r.error, r.page) for r in got} == {("ENGINE_UNAVAILABLE", None)}
+
+
 def naive_chunks(text, budget, overlap):
     """Chunks by plain loops: paragraphs packed, those over the budget cut at a sentence, a blank or a character."""
     size = lambda b: (len(b.decode()) + 3) // 4
