@@ -6,7 +6,6 @@ Each has its SQL in :mod:`docflow.plans.oracles` under the same name where SQL c
 from __future__ import annotations
 
 import io
-import os
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -597,11 +596,8 @@ def _tables(spark, d) -> DataFrame:
 
 # -- Poppler's programs, for which stand-ins print what is marked for them in a document -----------------
 
-_STANDINS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "standins")
-
-
 def _engine() -> pd.PopplerEngine:
-    return pd.PopplerEngine(text_program=standins.TEXT, info_program=standins.INFO, image_program=f"{_STANDINS}/image")
+    return pd.PopplerEngine(text_program=standins.TEXT, info_program=standins.INFO, image_program=standins.IMAGE)
 
 
 def _marked(text, mark: str):

@@ -357,6 +357,7 @@ def test_engine_with_fake_programs(spark, tmp_path):
     [
         ("pages(b'P:one\\x0c\\nP:two\\x0c')", "[(1, 'one'), (2, '\\ntwo')]"),
         ("geometry(b'I:Pages: 2\\nI:Page 1 rot: 0\\nI:Page 1 CropBox: 0 0 3 4\\nI:Page 2 rot: 90', 1, 1)", "(2, [{'number': 1, 'width': 3.0, 'height': 4.0, 'rotation': 0}])"),
+        ("render(b'I:Pages: 1\\nI:Page 1 rot: 0\\nI:Page 1 CropBox: 0 0 612 792', 1, dpi=72.0)['height']", "792"),
     ],
 )
 def test_standins_need_no_executable_files(tmp_path, call, want):
