@@ -298,6 +298,18 @@ def test_topics_are_clusters_of_the_documents(spark):
     assert mixing.Topics(sizes.limit(0)).of(sizes.limit(0)).count() == 0
 
 
+def test_topics_come_from_every_document(spark):
+    order = [r.id for r in spark.range(20_400).orderBy(F.xxhash64("id"), "id").collect()]
+    x = np.random.default_rng(1).random((len(order), mixing.SKETCH), dtype=np.float32)
+    docs = [(k, "s", "en" if at < 20_000 else "zz", 1, bytearray(x[at].tobytes())) for at, k in enumerate(order)]
+    sizes = spark.createDataFrame(docs, "doc_id bigint, source string, lang string, tokens int, sketch binary").cache()
+    topics = mixing.Topics(sizes)
+    assert set(topics.means) == {"en", "zz"}
+    assert topics.means["en"] == pytest.approx(x[:20_000].mean(axis=0), abs=1e-5) and topics.means["zz"] == pytest.approx(x[20_000:].mean(axis=0), abs=1e-5)
+    assert (mixing.Topics(sizes).centres == topics.centres).all()
+    assert topics.of(sizes).select("topic").distinct().count() == mixing.TOPICS
+
+
 def test_abuse(spark):
     calm = ["The fund reports a balance of {} as of page 4.", "Thanks, page {} looks fine now.", "This scan is terrible and I am angry about it, see {}.", "The pig farm and the cow shed were valued at {}.", "My stupid mistake, page {} was upside down."]
     bad = ["You are a worthless idiot and everyone knows it.", "Go f-u-c-k yourself, you tw@t.", "I will burn your house down, you scumbag.", "Immigrants are vermin and should be locked up.", "Halt die Fresse, du Wichser."]
