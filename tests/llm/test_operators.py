@@ -351,6 +351,16 @@ def test_judgements_teach_the_detector_and_move_scores(spark):
     assert abuse.evidence_of(abuse.judgements(reviewed.limit(0))) > 1
 
 
+def test_unknown_words_contradict_no_judgement():
+    # Harmless rows are many, as in the tables, so that of unknown words the model believes harmlessness.
+    known = [(f"the {n}{k} is filed".split(), 0, 0.0, 1.0) for n in "abcdefghijklmnop" for k in "uvwxyz"] + [(f"grobnik {n}".split(), 0, 0.9, 1.0) for n in "abcdefghijklmnop"]
+    odd = [("the w is filed".split(), 0, 0.9, 1.0), ("plonzig frast".split(), 0, 0.9, 1.0), ("grobnik w".split(), 0, 0.0, 0.4), ("calm day".split(), 0, 0.0, 0.4)]
+    n = len(known)
+    kept = abuse.cleaned(known + odd, {n + 2, n + 3}, {n, n + 1})
+    assert kept == [*known, odd[1], odd[3]]
+    assert abuse.cleaned([], set(), set()) == []
+
+
 @pytest.mark.parametrize(
     ("text", "voter"),
     [
